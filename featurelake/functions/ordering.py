@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from featurelake.session import broadcast_if_small, cut_lineage
 
@@ -95,9 +96,12 @@ def overlap_buckets(df: DataFrame, position: Column, width: int, lookback: int,
 def tail_rows(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
     """Last ``n`` rows by arrival.
 
-    A count per day finds the earliest day that can matter; the filter on it reaches the scan, so
-    only the newest files take part in the ordered limit.
+    For a time column a count per day finds the earliest day that can matter; the filter on it
+    reaches the scan, so only the newest files take part in the ordered limit. Any other order
+    column goes straight to the ordered limit.
     """
+    if not isinstance(df.schema[ts].dataType, (DateType, TimestampType, TimestampNTZType)):
+        return df.orderBy(F.desc(ts), F.desc(tie)).limit(n)
     days = df.groupBy(F.date_trunc("day", F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     newer = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0))

@@ -30,19 +30,24 @@ def value_of(row: str, metric: str):
     return F.col(row)["metrics"][metric].alias("value")
 
 
+def _entries(kinds: Sequence[str]):
+    """All map entries of a run as one array of (kind, entry, value) with text values."""
+    def of(kind: str):
+        return F.transform(F.map_entries(kind), lambda e: F.struct(
+            F.lit(kind).alias("kind"), e["key"].alias("entry"), e["value"].cast("string").alias("value")))
+
+    return F.flatten(F.array(*[of(k) for k in kinds]))
+
+
 def compare_runs(runs: DataFrame, ids: DataFrame | Sequence) -> DataFrame:
     """Parameters, metrics and tags of the chosen runs, one row per entry: (run_id, status,
-    start_time, kind, name, value)."""
+    start_time, kind, entry, value)."""
     if isinstance(ids, DataFrame):
         chosen = runs.join(ids.select(F.col(ids.columns[0]).alias("run_id")).distinct(), "run_id", "left_semi")
     else:
         chosen = runs.where(F.col("run_id").isin(list(ids)))
     kinds = [k for k in ("params", "metrics", "tags") if k in runs.columns]
-    entries = F.flatten(F.array(*[
-        F.transform(F.map_entries(k), lambda e, k=k: F.struct(
-            F.lit(k).alias("kind"), e["key"].alias("name"), e["value"].cast("string").alias("value")))
-        for k in kinds]))
-    return chosen.select("run_id", "status", "start_time", F.inline(entries))
+    return chosen.select("run_id", "status", "start_time", F.inline(_entries(kinds)))
 
 
 def latest_per_stage(versions: DataFrame) -> DataFrame:
@@ -75,12 +80,8 @@ def compare_versions(pairs: DataFrame, versions: DataFrame, runs: DataFrame) ->
         F.struct(F.lit(2).alias("side"), F.col("version2").alias("version")))))
     picked = sides.join(versions.select("name", "version", "stage", "run_id"), ["name", "version"], "left")
     kinds = [k for k in ("params", "metrics") if k in runs.columns]
-    entries = F.flatten(F.array(*[
-        F.transform(F.map_entries(k), lambda e, k=k: F.struct(
-            F.lit(k).alias("kind"), e["key"].alias("entry"), e["value"].cast("string").alias("value")))
-        for k in kinds]))
     long = picked.join(runs.select("run_id", *kinds), "run_id", "left").select(
-        "name", "side", "version", "stage", F.inline_outer(entries))
+        "name", "side", "version", "stage", F.inline_outer(_entries(kinds)))
 
     def of(side: int, c: str):
         return F.max(F.when(F.col("side") == side, F.col(c)))

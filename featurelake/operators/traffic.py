@@ -122,7 +122,7 @@ def latency_quantiles(df: DataFrame, ts: str = "ts", length: str = "5 minutes",
     counted = rolling(df, ts, length, slide, buckets)
     values = {n: quantile_from_counts(q, bounds) for n, q in quantiles.items()}
     out = counted.select("window_start", "window_end", F.col(f"le_{len(bounds)}").alias("n"),
-                         *[F.round(v, 4).alias(n) for n, v in values.items()],
+                         *[v.alias(n) for n, v in values.items()],
                          (values["p95"] > limit).alias("alert") if "p95" in values else F.lit(None).alias("alert"))
     return out
 

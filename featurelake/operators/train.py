@@ -99,3 +99,9 @@ def save_model(model: PipelineModel, base: str, version: str) -> str:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def stage_path(model_path: str, model: PipelineModel) -> str:
+    """Folder of the classifier inside a saved pipeline."""
+    last = len(model.stages) - 1
+    return f"{model_path}/stages/{last:0{len(str(len(model.stages)))}d}_{model.stages[-1].uid}"

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurelake.sources.files import read_or_empty, remove_path
@@ -94,7 +94,7 @@ class OfflineStore:
 
     def ingest(self, df: DataFrame, dataset: str, entity_column: str, timestamp_column: str | None = None,
                version: str | None = None) -> str:
-        """Write one immutable version and log it; rows are counted during the write."""
+        """Write one immutable version and log it; the row count comes from the Parquet footers."""
         now = datetime.now(timezone.utc)
         version = version or now.strftime("%Y%m%d_%H%M%S")
         if entity_column not in df.columns:
@@ -102,10 +102,10 @@ class OfflineStore:
         if not self.list_versions(dataset).where(F.col("version") == version).isEmpty():
             raise ValueError(f"version {version!r} of data set {dataset!r} already exists")
         path = f"{self.base}/dataset={dataset}/version={version}"
-        written = Observation()
-        df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").parquet(path)
+        rows = self.spark.read.parquet(path).count()
         seq = (self._log().agg(F.max("seq")).first()[0] or 0) + 1
-        self._append([seq, dataset, version, path, entity_column, timestamp_column, written.get["rows"],
+        self._append([seq, dataset, version, path, entity_column, timestamp_column, rows,
                       len(df.columns), df.columns, now, False])
         return path
 

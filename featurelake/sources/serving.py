@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurelake.session import broadcast_if_small
@@ -90,18 +90,17 @@ class ServingStore:
             features = [c for c in df.columns if c != entity_column]
         now = datetime.now(timezone.utc)
         path = f"{self.base}/{table}/at={now.strftime('%Y%m%d%H%M%S%f')}"
-        written = Observation()
         (
             df.select(entity_column, *features)
             .withColumn(MATERIALIZED_AT, F.lit(now))
             .repartitionByRange(entity_column).sortWithinPartitions(entity_column)
-            .observe(written, F.count(F.lit(1)).alias("rows"))
             .write.mode("errorifexists").parquet(path)
         )
+        rows = self.spark.read.parquet(path).count()
         previous = self._entry(table)
         created = previous["created_at"] if previous else now
-        self._log_table(table, entity_column, list(features), path, written.get["rows"], created, now, False)
-        return written.get["rows"]
+        self._log_table(table, entity_column, list(features), path, rows, created, now, False)
+        return rows
 
     def drop_old_generations(self, table: str) -> int:
         """Remove replaced folders once no reader uses them; returns how many went."""
