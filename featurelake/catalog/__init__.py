@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["preparation", "stores", "monitoring", "models", "runlog"]
+AREAS = ["preparation", "stores", "monitoring", "models", "runlog", "streams"]
 
 
 def load() -> tuple[dict, dict]:

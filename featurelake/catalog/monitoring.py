@@ -335,7 +335,7 @@ def _(spark, sf):
     return traffic.sustained(evaluated, "window_end", "bad", 10)
 
 
-@catalog.add("latency_quantiles", f"""
+@catalog.add("histogram_quantile", f"""
 WITH q AS (SELECT * FROM ({REQUESTS})),
 b AS (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]::DOUBLE[]) AS le),
 hours AS (SELECT date_trunc('hour', ts) AS window_start, duration FROM q),

@@ -139,7 +139,7 @@ def average_confidence(df: DataFrame, ts: str = "ts", length: str = "5 minutes",
     counted = rolling(df, ts, length, slide, {
         "n": F.count(confidence), "total": F.sum(confidence)})
     return counted.select("window_start", "window_end", "n",
-                          F.round(safe_ratio(F.col("total"), F.col("n")), 4).alias("avg_confidence"))
+                          safe_ratio(F.col("total"), F.col("n")).alias("avg_confidence"))
 
 
 def gauge_below(df: DataFrame, ts: str = "ts", gauge: str = "gauge", length: str = "5 minutes",

@@ -21,6 +21,11 @@ from featurelake.session import scratch_path
 MAX_AGE_HOURS = 168
 
 
+def as_stream_path(path: str) -> str:
+    """Stream sources take folders or patterns; a pattern that matches one name admits a single file."""
+    return path if path.endswith("/") else f"{path[:-1]}[{path[-1]}]"
+
+
 def stream_log(spark: SparkSession, path: str, schema: StructType | str, ts: str, fmt: str = "parquet",
                delay: str = "10 minutes", files_per_batch: int | None = None) -> DataFrame:
     """Stream over an append-only log with a watermark on its event time.
@@ -30,7 +35,7 @@ def stream_log(spark: SparkSession, path: str, schema: StructType | str, ts: str
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    raw = reader.format(fmt).load(path)
+    raw = reader.format(fmt).load(as_stream_path(path))
     return raw.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
