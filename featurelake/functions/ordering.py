@@ -151,23 +151,26 @@ def hash_parts(df: DataFrame, label: str, key: str, cuts: Sequence[Column], seed
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact_limit: int = 1_000_000,
-                    accuracy: int = 10_000) -> dict[str, list[float | None]]:
+                    accuracy: int = 10_000, sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of many columns with bounded state.
 
     Up to ``exact_limit`` values the built-in exact aggregate is used. Beyond it, a sketch brackets
     every wanted rank and one scan counts what lies below the bracket; only the bracket's own
     values are bracketed again, until it holds one value or fits the limit. Every round is a
-    one-row aggregate, so no task ever holds a whole column.
+    one-row aggregate, so no task ever holds a whole column. Known non-null counts can be given
+    as ``sizes`` to save their scan.
     """
     if not cols:
         return {}
-    sizes = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first().asDict()
+    if sizes is None:
+        sizes = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first().asDict()
+    sizes = {c: sizes[c] for c in cols}
     if max(sizes.values()) <= exact_limit:
         row = df.agg(*[F.percentile(F.col(c), F.array(*map(F.lit, probs))).alias(c) for c in cols]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
 
     ranks = {c: {r for p in probs for r in _neighbours(p, n)} for c, n in sizes.items() if n}
-    found = _values_at_ranks(df, ranks, exact_limit, accuracy)
+    found = _values_at_ranks(df, ranks, sizes, exact_limit, accuracy)
     result: dict[str, list[float | None]] = {}
     for c, n in sizes.items():
         result[c] = []
@@ -186,7 +189,7 @@ def _neighbours(p: float, n: int) -> tuple[int, int]:
     return lo, min(lo + 1, n - 1)
 
 
-def _values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], exact_limit: int,
+def _values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str, int], exact_limit: int,
                      accuracy: int) -> dict[tuple[str, int], float]:
     """Value at each 0-based rank, narrowing one open interval per (column, rank) and round.
 
@@ -195,9 +198,8 @@ def _values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], exact_limit: int
     search at once instead of filling the interval.
     """
     found: dict[tuple[str, int], float] = {}
-    totals = df.agg(*[F.count(F.col(c)).alias(c) for c in ranks]).first().asDict()
     # (column, rank) -> (exclusive low, exclusive high, rows at or below low, rows inside)
-    spans = {(c, r): (None, None, 0, totals[c]) for c, rs in ranks.items() for r in rs}
+    spans = {(c, r): (None, None, 0, sizes[c]) for c, rs in ranks.items() for r in rs}
     while spans:
         aggs = []
         for i, ((c, rank), (lo, hi, below, inside)) in enumerate(spans.items()):

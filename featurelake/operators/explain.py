@@ -44,8 +44,10 @@ def tree_paths(spark: SparkSession, saved_model: str, boosted: bool = False) ->
     row must meet per feature, the share how many training rows of the path's nodes go that way.
     """
     nodes = spark.read.parquet(f"{saved_model}/data").select("treeID", "nodeData.*").collect()
-    weights = {r["treeID"]: r["weights"] for r in spark.read.parquet(f"{saved_model}/treesMetadata").select(
-        "treeID", "weights").collect()} if boosted else {}
+    weights = {}
+    if boosted:
+        trees_of = spark.read.parquet(f"{saved_model}/treesMetadata").toDF("treeID", "metadata", "weight")
+        weights = {r["treeID"]: r["weight"] for r in trees_of.select("treeID", "weight").collect()}
     trees: dict[int, dict[int, object]] = {}
     for n in nodes:
         trees.setdefault(n["treeID"], {})[n["id"]] = n

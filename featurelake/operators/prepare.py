@@ -159,10 +159,12 @@ def clean_rows(df: DataFrame, identifiers: Sequence[str] = IDENTIFIER_COLUMNS, m
     return df.dropna(thresh=math.ceil(min_filled * len(df.columns)))
 
 
-def column_medians(df: DataFrame, columns: Sequence[str] | None = None, exact_limit: int = 1_000_000) -> dict[str, float]:
+def column_medians(df: DataFrame, columns: Sequence[str] | None = None, exact_limit: int = 1_000_000,
+                   sizes: dict[str, int] | None = None) -> dict[str, float]:
     """Exact medians of the numeric columns, nulls left out."""
     columns = numeric_columns(df) if columns is None else columns
-    return {c: m[0] for c, m in exact_quantiles(df, columns, [0.5], exact_limit).items() if m[0] is not None}
+    medians = exact_quantiles(df, columns, [0.5], exact_limit, sizes=sizes)
+    return {c: m[0] for c, m in medians.items() if m[0] is not None}
 
 
 def impute_median(df: DataFrame, medians: Mapping[str, float] | None = None,
@@ -170,14 +172,16 @@ def impute_median(df: DataFrame, medians: Mapping[str, float] | None = None,
     """Fill numeric nulls by the column's median.
 
     Medians come from this very frame unless fitted ones are given. Only columns that have nulls
-    are touched; the others keep their type.
+    are touched; the others keep their type. Without given medians the frame is evaluated twice
+    before the fill, so hand over a stored or persisted one when it is costly.
     """
     if medians is None:
         numeric = numeric_columns(df)
         if not numeric:
             return df
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).first()
-        medians = column_medians(df, [c for c in numeric if nulls[c]], exact_limit)
+        counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(c) for c in numeric]).first().asDict()
+        gaps = [c for c in numeric if counts[c] < counts["__rows"]]
+        medians = column_medians(df, gaps, exact_limit, counts)
     return df.withColumns({
         c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in medians.items() if c in df.columns
     }) if medians else df

@@ -159,7 +159,8 @@ def sustained(evaluations: DataFrame, ts: str, condition: str, hold_steps: int,
     One row per evaluation step; a step without a row breaks the run. Each time bucket carries
     the steps before it that a frame can reach, so a long series is spread over many tasks.
     """
-    step = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(step_seconds * 1_000_000))
+    epoch = F.lit("1970-01-01").cast(evaluations.schema[ts].dataType)
+    step = F.floor(F.timestamp_diff("SECOND", epoch, F.col(ts)) / F.lit(step_seconds))
     placed = overlap_buckets(evaluations.withColumn("__step", step), F.col("__step"), width, hold_steps)
     frame = Window.partitionBy(*keys, "bucket").orderBy("__step").rangeBetween(-hold_steps, 0)
     held = F.count_if(F.col(condition)).over(frame) == hold_steps + 1

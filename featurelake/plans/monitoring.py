@@ -12,6 +12,7 @@ from featurelake.functions.ordering import tail_rows
 from featurelake.operators.alerts import alerts_from_drift
 from featurelake.operators.drift import (CLASS_1_BOUNDS, class_ratio_bounds, drift_features, drift_summary,
                                          prediction_drift, recent_summary)
+from featurelake.session import cut_lineage
 
 # Fixed value: predictions the scheduled check looks at.
 JOB_WINDOW = 100
@@ -29,9 +30,10 @@ def monitoring_job(predictions: DataFrame, reference: DataFrame, inputs: Sequenc
                    auto_retrain: bool = True, ts: str = "ts", tie: str = "prediction_id") -> MonitoringResult:
     """One summary row (window analysis, whole-log class share, decisions) plus details and alerts.
 
-    The class share is judged on all predictions, the drift on the window.
+    The class share is judged on all predictions, the drift on the window. The window is bounded
+    and stored once, because three results read it.
     """
-    recent = tail_rows(predictions, window, ts, tie)
+    recent = cut_lineage(tail_rows(predictions, window, ts, tie))
     features = drift_features(reference, recent.select(*inputs))
     one = F.lit(1).alias("__k")
     share = class_ratio_bounds(predictions).select(

@@ -56,6 +56,16 @@ class FeatureRegistry:
         members = [(g, DEFAULT_ENTITY, i, f) for g, names in DEFAULT_GROUPS.items() for i, f in enumerate(names)]
         return cls(spark.createDataFrame(features, FEATURE_SCHEMA), spark.createDataFrame(members, MEMBER_SCHEMA))
 
+    def save(self, path: str) -> None:
+        """Write both tables below a fresh folder."""
+        self.features.write.mode("errorifexists").parquet(f"{path}/features")
+        self.members.write.mode("errorifexists").parquet(f"{path}/members")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureRegistry:
+        return cls(spark.read.schema(FEATURE_SCHEMA).parquet(f"{path}/features"),
+                   spark.read.schema(MEMBER_SCHEMA).parquet(f"{path}/members"))
+
     def register_features(self, features: DataFrame) -> FeatureRegistry:
         """Upsert by name: rows of the new frame win."""
         kept = self.features.join(features.select("name").distinct(), "name", "left_anti")

@@ -93,7 +93,7 @@ class ServingStore:
         (
             df.select(entity_column, *features)
             .withColumn(MATERIALIZED_AT, F.lit(now))
-            .repartitionByRange(entity_column).sortWithinPartitions(entity_column)
+            .repartitionByRange(entity_column, F.xxhash64(*features)).sortWithinPartitions(entity_column)
             .write.mode("errorifexists").parquet(path)
         )
         rows = self.spark.read.parquet(path).count()

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from featurelake.functions.scalars import json_text, parse_json_body
 from featurelake.operators.alerts import alerts_from_drift
@@ -66,17 +66,18 @@ def running_counts(sdf: DataFrame, keys: Sequence[str], sums: dict[str, Column]
 
 
 def drain_counters(counters: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
-    """Changed counters of every batch are appended with the batch number; the newest per key is the
-    current value, so a repeated batch changes nothing."""
+    """Changed counters of every batch go into a folder of their own, so a repeated batch replaces
+    itself; the newest value per key is the current one."""
     spark = counters.sparkSession
     sink = scratch_path(spark, tag)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     drain_batches(counters, store, tag, "update")
     values = [c for c in counters.columns if c not in keys]
-    log = spark.read.schema(f"{counters.schema.simpleString()[7:-1].replace(':', ' ')}, batch_id bigint").parquet(sink)
+    schema = StructType([*counters.schema.fields, StructField("batch_id", LongType())])
+    log = spark.read.schema(schema).parquet(sink)
     return log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("r")).select(*keys, "r.*")
 
 
@@ -97,10 +98,10 @@ def join_feedback_streams(predictions: DataFrame, feedback: DataFrame, bound: st
 def drift_batch(reference: DataFrame, inputs: Sequence[str], features_sink: str, alerts_sink: str,
                 threshold: float = DRIFT_THRESHOLD) -> Callable[[DataFrame, int], None]:
     """Per-batch handler: drift of the batch's inputs and predictions against fixed reference
-    statistics, appended to a drift table, and alert rows to an alert table.
+    statistics go to a drift table, and alert rows to an alert table.
 
-    A reference is required: without one no data drift can be found. Rows carry the batch number,
-    so a batch repeated after a failure can be told apart and de-duplicated.
+    A reference is required: without one no data drift can be found. Every batch has a folder of
+    its own, so a batch repeated after a failure replaces itself.
     """
     if reference is None:
         raise ValueError("a drift stream needs reference statistics")
@@ -108,12 +109,11 @@ def drift_batch(reference: DataFrame, inputs: Sequence[str], features_sink: str,
     def check(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        stamp = F.lit(batch_id).cast("bigint")
         features = drift_features(reference, batch.select(*inputs))
-        features.withColumn("batch_id", stamp).write.mode("append").parquet(features_sink)
+        features.write.mode("overwrite").parquet(f"{features_sink}/batch_id={batch_id}")
         alerts = alerts_from_drift(drift_summary(features, threshold), prediction_drift(batch, threshold=threshold),
                                    F.current_timestamp())
-        alerts.withColumn("batch_id", stamp).write.mode("append").parquet(alerts_sink)
+        alerts.write.mode("overwrite").parquet(f"{alerts_sink}/batch_id={batch_id}")
 
     return check
 
