@@ -265,7 +265,7 @@ def _(spark, sf):
     return score.score_by_ids(model, store, "lines", wanted, "m1").select("prediction_id", "prediction", "confidence")
 
 
-@catalog.add("model_roundtrip")
+@catalog.add("model_roundtrip", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM lineitem")
 def _(spark, sf):
     rows = _vectors(spark, sf)
     model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
@@ -289,6 +289,34 @@ def _(spark, sf):
                             c["feature"].alias("feature"), F.round(c["contribution"], 4).alias("contribution"))), None)))
 
 
+@catalog.add("batch_score_check", """
+SELECT count(*) AS rows, count(*) AS rows_with_probabilities_of_one, count(*) AS rows_with_top_confidence FROM lineitem""")
+def _(spark, sf):
+    """Each row is scored once, its probabilities add up to 1 and the confidence is the larger one."""
+    rows = _vectors(spark, sf)
+    model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
+    p0, p1 = F.col("probability_0"), F.col("probability_1")
+    return score.score_batch(model, rows, "m1", key="line_id").agg(
+        F.count_distinct("prediction_id").alias("rows"),
+        F.count_if(F.abs(p0 + p1 - 1) < 0.00015).alias("rows_with_probabilities_of_one"),
+        F.count_if(F.col("confidence") == F.greatest(p0, p1)).alias("rows_with_top_confidence"))
+
+
+@catalog.add("tree_contributions_check", """
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS off, CAST(1 AS BIGINT) AS base_values FROM lineitem""")
+def _(spark, sf):
+    """Base value and contributions add up to the model's own score for every row."""
+    rows = _vectors(spark, sf)
+    model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
+    path = train.save_model(model, scratch_path(spark, "model"), "v1")
+    parts = explain.tree_contributions(rows, explain.tree_paths(spark, train.stage_path(path, model)), INPUTS, "line_id")
+    total = F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x["contribution"])
+    scored = train.predict_rows(model, rows).select("line_id", "score")
+    return parts.select("line_id", "base_value", total.alias("total")).join(scored, "line_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("total") - F.col("score")) > 1e-9).alias("off"),
+        F.count_distinct(F.round("base_value", 9)).alias("base_values"))
+
+
 @catalog.add("training_job")
 def _(spark, sf):
     rows = entities(spark, sf).withColumn("label", F.coalesce(F.col("n_orders") > 9, F.lit(False)).cast("int"))

@@ -312,7 +312,7 @@ SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTER
 def _(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts")
     newest = events.agg(F.max("ts")).first()[0]
-    return drop_late(events, "ts", now=F.lit(newest).cast("timestamp_ntz"))
+    return drop_late(events, "ts", now=scalars.literal(newest, events.schema["ts"].dataType))
 
 
 def minute_windows(source: str, aggregates: str, length: int = 5, slide: int = 1) -> str:

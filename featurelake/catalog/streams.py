@@ -121,7 +121,16 @@ def _(spark, sf):
     return _zoneless(streams.drain_to_table(joined, "feedback"), "feedback_ts")
 
 
-@catalog.add("stream_drift")
+@catalog.add("stream_drift", f"""
+WITH p AS ({PREDICTIONS}), s AS (SELECT avg(CAST(prediction AS DOUBLE)) AS s1, avg(value) + 500 AS v, avg(k) AS k FROM p),
+r AS (SELECT avg(value) AS vm, stddev_samp(value) AS vs, avg(k) AS km, stddev_samp(k) AS ks FROM p
+      WHERE ts < TIMESTAMP '2024-01-15'),
+z AS (SELECT (CAST(abs(v - vm) / vs > 2 AS INTEGER) + CAST(abs(k - km) / ks > 2 AS INTEGER)) / 2.0::DOUBLE AS ratio,
+             round(abs(s1 - 0.5::DOUBLE), 4) AS score FROM s, r)
+SELECT 0 AS batch_id, 'data_drift' AS alert_type, CASE WHEN ratio < 0.5 THEN 'warning' ELSE 'error' END AS severity,
+       'Data Drift Detected' AS title FROM z WHERE ratio > 0.1
+UNION ALL SELECT 0, 'prediction_drift', CASE WHEN score < 0.3 THEN 'warning' ELSE 'error' END, 'Prediction Drift Detected'
+FROM z WHERE score > 0.1""")
 def _(spark, sf):
     """Alert rows of one pass over the log, its first half being the reference."""
     early = predictions(spark, sf).where("ts < timestamp_ntz '2024-01-15'")

@@ -18,8 +18,8 @@ _LOCAL_BITS = 33
 def _stamped(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
     """Range-partitioned, sorted and materialised rows with a (partition, row) stamp.
 
-    The stamp is stored by the checkpoint, so later stages never depend on how Spark would place
-    the rows a second time.
+    The stamp is stored with the rows, so later stages never depend on how Spark would place them a
+    second time.
     """
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     return cut_lineage(
@@ -102,7 +102,7 @@ def tail_rows(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
     """
     if not isinstance(df.schema[ts].dataType, (DateType, TimestampType, TimestampNTZType)):
         return df.orderBy(F.desc(ts), F.desc(tie)).limit(n)
-    days = df.groupBy(F.date_trunc("day", F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    days = df.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     newer = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0))
     cutoff = days.select("day", newer.alias("newer")).where(F.col("newer") < n).agg(F.min("day")).first()[0]

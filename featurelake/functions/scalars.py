@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 # Texts that count as a positive outcome, and as a true switch.
 POSITIVE_OUTCOMES = ["sim", "yes", "1", "true"]
@@ -16,6 +18,13 @@ TRUTHY_SWITCHES = ["1", "true", "yes", "y", "on"]
 TAG_ALIASES = {"indice": "index", "indices": "index", "index": "index"}
 
 
+def literal(value, kind: DataType) -> Column:
+    """Literal for a value read from a column of that type; a zone-less time stays zone-less."""
+    if isinstance(kind, TimestampNTZType) and isinstance(value, datetime):
+        return F.lit(value.isoformat(sep=" ")).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def to_number(c: Column) -> Column:
     """Numeric coercion: text that is no number, and NaN, become null."""
     value = c.try_cast("double")

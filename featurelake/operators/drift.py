@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featurelake.functions.scalars import ratio_or_zero, safe_ratio
 from featurelake.operators.profile import column_moments
+from featurelake.session import cut_lineage
 
 # Z-score of a drifted feature, tolerated drift share, expected class shares, bounds.
 Z_LIMIT = 2.0
@@ -64,8 +65,9 @@ def recent_summary(recent: DataFrame, reference: DataFrame, inputs: Sequence[str
     """Window analysis in one row: class counts, prediction drift and data drift of the inputs.
 
     ``inputs`` is the allow-list of model features; ids never count as one. ``recent`` is already
-    limited to the window, hence bounded.
+    limited to the window, hence bounded; it is stored once for both halves.
     """
+    recent = cut_lineage(recent.select(prediction, *inputs))
     ones, zeros = F.count_if(F.col(prediction) == 1), F.count_if(F.col(prediction) == 0)
     total = F.count(F.lit(1))
     share = ratio_or_zero(ones, total)

@@ -15,10 +15,10 @@ from featurelake.operators.prepare import numeric_columns
 def dataset_profile(df: DataFrame, approximate_distinct: bool = False) -> DataFrame:
     """One row per column: type, nulls, and moments (numbers) or distinct count (others).
 
-    All columns share one aggregate; the long form is unfolded from its single row.
+    Nulls and moments of all columns share one aggregate without a shuffle of rows. Exact distinct
+    counts come from a second, narrow pass over (column, value) pairs, de-duplicated map-side.
     """
     numeric = set(numeric_columns(df))
-    distinct = F.approx_count_distinct if approximate_distinct else F.count_distinct
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         value = F.col(f"`{c}`")
@@ -26,8 +26,8 @@ def dataset_profile(df: DataFrame, approximate_distinct: bool = False) -> DataFr
         if c in numeric:
             aggs += [F.avg(value).alias(f"mean{i}"), F.stddev_samp(value).alias(f"std{i}"),
                      F.min(value).cast("double").alias(f"min{i}"), F.max(value).cast("double").alias(f"max{i}")]
-        else:
-            aggs.append(distinct(value).alias(f"uniq{i}"))
+        elif approximate_distinct:
+            aggs.append(F.approx_count_distinct(value).alias(f"uniq{i}"))
     kinds = dict(df.dtypes)
 
     def entry(i: int, c: str):
@@ -36,15 +36,24 @@ def dataset_profile(df: DataFrame, approximate_distinct: bool = False) -> DataFr
         def stat(name: str):
             return (F.round(F.col(f"{name}{i}"), 4) if is_number else F.lit(None).cast("double")).alias(name)
 
-        uniq = F.lit(None).cast("bigint") if is_number else F.col(f"uniq{i}")
+        uniq = F.col(f"uniq{i}") if approximate_distinct and not is_number else F.lit(None).cast("bigint")
         return F.struct(
             F.lit(c).alias("column"), F.lit(kinds[c]).alias("dtype"), F.col(f"nulls{i}").alias("null_count"),
             F.round(ratio_or_zero(F.col(f"nulls{i}") * 100.0, F.col("rows")), 2).alias("null_pct"),
             stat("mean"), stat("std"), stat("min"), stat("max"), uniq.alias("unique_count"))
 
-    return df.agg(*aggs).select(
+    out = df.agg(*aggs).select(
         F.col("rows").alias("num_rows"), F.lit(len(df.columns)).alias("num_columns"),
         F.inline(F.array(*[entry(i, c) for i, c in enumerate(df.columns)])))
+    others = [c for c in df.columns if c not in numeric]
+    if approximate_distinct or not others:
+        return out
+    pairs = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in others]))
+    counts = df.select(pairs).where(F.col("value").isNotNull()).distinct().groupBy("column").agg(
+        F.count(F.lit(1)).alias("found"))
+    unique = F.when(~F.col("column").isin(list(numeric)), F.coalesce("found", F.lit(0)))
+    return out.join(counts, "column", "left").withColumn("unique_count", unique).drop("found")
 
 
 def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

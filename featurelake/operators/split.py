@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurelake.functions.ordering import hash_parts
@@ -28,9 +28,10 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int = FOLDS, se
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight) with weight n / (k * n_class); one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("__all"), F.count(F.lit(1)).alias("__k")).withColumn("__j", F.lit(1))
-    return counts.withColumn("__j", F.lit(1)).join(total, "__j").select(
-        label, "n", (F.col("__all") / (F.col("__k") * F.col("n"))).alias("weight"))
+    # The window sees one row per class, not the data.
+    every = Window.partitionBy()
+    total, classes = F.sum("n").over(every), F.count(F.lit(1)).over(every)
+    return counts.select(label, "n", (total / (classes * F.col("n"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:

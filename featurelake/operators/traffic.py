@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from featurelake.functions.histogram import LATENCY_BOUNDS, cumulative_counts, quantile_from_counts
 from featurelake.functions.ordering import overlap_buckets, tail_rows
-from featurelake.functions.scalars import metric_name, safe_ratio
+from featurelake.functions.scalars import literal, metric_name, safe_ratio
 
 # Samples kept for latency, alert limits, staleness limits in seconds, late-data limit.
 LATENCY_SAMPLES = 10_000
@@ -73,7 +73,7 @@ def access_stats(log: DataFrame, as_of: datetime | None = None, days: int = ACCE
     if as_of is None:
         as_of = log.agg(F.max("accessed_at")).first()[0]
     kind = log.schema["accessed_at"].dataType
-    since = F.lit(as_of).cast(kind) - F.make_dt_interval(days=F.lit(days))
+    since = literal(as_of, kind) - F.make_dt_interval(days=F.lit(days))
     rows = log.where(F.col("accessed_at") >= since)
     rows = rows if table is None else rows.where(F.col("table_name") == table)
     return rows.groupBy("table_name").agg(
@@ -184,7 +184,7 @@ def job_run_records(runs: DataFrame, prefix: str, extras: Mapping[str, Column] |
 def stale_jobs(runs: DataFrame, expected: DataFrame, as_of: datetime, ts: str = "last_run") -> DataFrame:
     """Expected jobs (job, max_age_seconds) that never ran or whose last run is too old."""
     last = runs.groupBy("job").agg(F.max(ts).alias("last_run"))
-    now = F.lit(as_of).cast(runs.schema[ts].dataType)
+    now = literal(as_of, runs.schema[ts].dataType)
     age = F.timestamp_diff("SECOND", F.col("last_run"), now)
     return expected.join(last, "job", "left").select(
         "job", "last_run", age.alias("age_seconds"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from featurelake.operators.evaluate import binary_metrics, roc_auc
 from featurelake.operators.split import SEED, stratified_folds, with_class_weight
+from featurelake.session import cut_lineage
 
 # The three model settings.
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2}
@@ -71,12 +72,13 @@ def cross_validate(df: DataFrame, model_type: str, key: str, folds: int = 5, see
     Each fold's model is fitted once; all metrics come from one frame holding every held-out row
     scored by the model that has not seen it.
     """
-    parts = stratified_folds(df, "label", key, folds, seed).persist()
+    parts = cut_lineage(stratified_folds(df.select(key, "label", "features"), "label", key, folds, seed))
     held_out = None
     for fold in range(folds):
         model = train(parts.where(F.col("fold") != fold).drop("fold"), model_type, seed, **overrides)
         scored = predict_rows(model, parts.where(F.col("fold") == fold)).select("fold", "label", "prediction", "score")
         held_out = scored if held_out is None else held_out.unionByName(scored)
+    held_out = cut_lineage(held_out)
     cells = binary_metrics(held_out, keys=["fold"])
     per_fold = cells.join(roc_auc(held_out, keys=["fold"]), "fold")
     long = per_fold.unpivot(["fold"], list(METRICS), "metric", "value")
@@ -85,7 +87,8 @@ def cross_validate(df: DataFrame, model_type: str, key: str, folds: int = 5, see
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
-    """One row with the five metrics of scored rows."""
+    """One row with the five metrics of scored rows; the rows are scored once and kept narrow."""
+    scored = cut_lineage(scored.select("label", "prediction", "score"))
     one = F.lit(1).alias("__k")
     return binary_metrics(scored).select("*", one).join(roc_auc(scored).select("*", one), "__k").drop("__k")
 

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from featurelake.functions.ordering import global_index
 from featurelake.operators.features import FeatureTransform
 from featurelake.operators.split import stratified_split
 from featurelake.operators.train import cross_validate, evaluate, predict_rows, save_model, train
+from featurelake.session import cut_lineage
 from featurelake.sources.offline import OfflineStore
 from featurelake.sources.serving import ServingStore
 
@@ -44,7 +44,7 @@ def training_job(spark: SparkSession, labelled: DataFrame, entity: str, label: s
     offline, serving = OfflineStore(spark, f"{base}/offline"), ServingStore(spark, f"{base}/serving")
     path = offline.ingest(labelled, dataset, entity, version=version)
     rows = offline.get_dataset(dataset, version).withColumn("label", F.col(label).cast("double"))
-    split = stratified_split(rows, "label", entity).persist(StorageLevel.MEMORY_AND_DISK)
+    split = cut_lineage(stratified_split(rows, "label", entity))
     train_rows, test_rows = split.where("split = 'train'"), split.where("split = 'test'")
 
     transform = FeatureTransform(numeric=list(numeric), categorical=list(categorical))

@@ -55,9 +55,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Store the rows once as a table in the shared folder and go on from there.
+
+    The rows survive the loss of any executor, are computed exactly once, stay columnar for later
+    readers, and have a known size for join planning.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 from functools import reduce
@@ -48,6 +49,11 @@ class OfflineStore:
         self.spark.createDataFrame([tuple(row)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(
             self._manifest_path)
 
+    def _next_seq(self) -> int:
+        """Ingest order: the clock in microseconds, and never behind what the log already holds."""
+        last = self._log().agg(F.max("seq")).first()[0] or 0
+        return max(last + 1, time.time_ns() // 1000)
+
     def manifest(self) -> DataFrame:
         """Live versions: the last log row per (dataset, version) that is no deletion."""
         last = self._log().groupBy("dataset", "version").agg(
@@ -104,8 +110,7 @@ class OfflineStore:
         path = f"{self.base}/dataset={dataset}/version={version}"
         df.write.mode("errorifexists").parquet(path)
         rows = self.spark.read.parquet(path).count()
-        seq = (self._log().agg(F.max("seq")).first()[0] or 0) + 1
-        self._append([seq, dataset, version, path, entity_column, timestamp_column, rows,
+        self._append([self._next_seq(), dataset, version, path, entity_column, timestamp_column, rows,
                       len(df.columns), df.columns, now, False])
         return path
 
@@ -125,9 +130,8 @@ class OfflineStore:
         entry = self.list_versions(dataset).where(F.col("version") == version).first()
         if entry is None:
             return False
-        seq = self._log().agg(F.max("seq")).first()[0] + 1
         fields = entry.asDict()
-        fields.update(seq=seq, deleted=True)
+        fields.update(seq=self._next_seq(), deleted=True)
         names = [f.split()[0] for f in MANIFEST_SCHEMA.split(", ")]
         self._append([fields[n] for n in names])
         remove_path(self.spark, entry["path"])
