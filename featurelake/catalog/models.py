@@ -16,22 +16,25 @@ from featurelake.sources.serving import ServingStore
 
 catalog = Catalog()
 
-LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_KEY_PARTS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def _line_id():
+    parts = [F.col(c).cast("string") for c in _KEY_PARTS] + [F.date_format("l_shipdate", "yyyyMMdd")]
+    return F.concat_ws("-", *parts).alias("line_id")
+
+
 def _lines(spark, sf):
     """Line items with a text key and a binary label: returned or not."""
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in LINE_KEY])
     return table(spark, sf, "lineitem").select(
-        key.alias("line_id"), *INPUTS, (F.col("l_returnflag") == "R").cast("double").alias("label"))
+        _line_id(), *INPUTS, (F.col("l_returnflag") == "R").cast("double").alias("label"))
 
 
 def _training(spark, sf):
     """Label that depends on the inputs, so that a model can learn it: expensive returns."""
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in LINE_KEY])
     hit = (F.col("l_returnflag") == "R") | (F.col("l_extendedprice") > 50000) & (F.col("l_discount") < 0.05)
-    return table(spark, sf, "lineitem").select(key.alias("line_id"), *INPUTS, hit.cast("double").alias("label"))
+    return table(spark, sf, "lineitem").select(_line_id(), *INPUTS, hit.cast("double").alias("label"))
 
 
 def _vectors(spark, sf):
@@ -39,7 +42,8 @@ def _vectors(spark, sf):
 
 
 _LINES = """
-  SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS line_id,
+  SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-'
+         || strftime(l_shipdate, '%Y%m%d') AS line_id,
          CAST(l_returnflag = 'R' AS DOUBLE) AS label FROM lineitem"""
 _RANKED = f"""
 WITH t AS ({_LINES}),
@@ -260,8 +264,7 @@ def _(spark, sf):
     model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
     store = ServingStore(spark, scratch_path(spark, "serving"))
     store.materialize(rows.drop("label"), "lines", "line_id")
-    wanted = table(spark, sf, "lineitem").where("l_quantity > 40").select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in LINE_KEY]).alias("line_id"))
+    wanted = table(spark, sf, "lineitem").where("l_quantity > 40").select(_line_id())
     return score.score_by_ids(model, store, "lines", wanted, "m1").select("prediction_id", "prediction", "confidence")
 
 
