@@ -230,7 +230,7 @@ def _(spark, sf):
 
 @catalog.add("train_gbt")
 def _(spark, sf):
-    return _importances(spark, sf, "gradient_boosting", maxIter=20)
+    return _importances(spark, sf, "gradient_boosting")
 
 
 @catalog.add("train_logreg")

@@ -83,39 +83,45 @@ def tree_contributions(df: DataFrame, paths: Sequence[tuple[float, dict]], names
                        key: str, features: str = "features") -> DataFrame:
     """Shapley values per row under path-dependent expectations: (key, base_value, contributions).
 
-    For one path a feature either lets the row through (1) or leaves its cover share to chance;
-    the Shapley weights of all subsets come from the coefficients of a product polynomial, worked
-    out for a whole Arrow batch at a time. The paths travel as a broadcast variable.
+    On one path a known feature lets the row through (1) or not (0), an unknown one counts with its
+    cover share. Averaging over all orders is an integral of a product of linear terms, one per
+    other feature; Gauss-Legendre nodes evaluate it exactly. A path has few features, so all
+    outcomes of its tests are tabulated and whole Arrow batches look their row up. The paths travel
+    as a broadcast variable.
     """
     shipped = df.sparkSession.sparkContext.broadcast(list(paths))
     labels = list(names)
     kind = df.schema[key].dataType.simpleString()
 
     def explain(batches: Iterator) -> Iterator:
-        import math
-
         import numpy as np
         import pandas as pd
 
+        def weights(passed, share):
+            """Value of knowing each feature, for every row of test outcomes."""
+            nodes, node_weights = np.polynomial.legendre.leggauss(len(share) // 2 + 1)
+            t = (nodes + 1) / 2
+            terms = share[None, :, None] * (1 - t) + passed[:, :, None] * t
+            others = terms.prod(axis=1, keepdims=True) / terms
+            return (others @ (node_weights / 2)) * (passed - share)
+
         for batch in batches:
             x = np.vstack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(labels)))
             phi, base = np.zeros((len(batch), len(labels))), 0.0
             for value, box in shipped.value:
-                share = {f: b[2] for f, b in box.items()}
-                base += value * math.prod(share.values())
-                passes = {f: ((x[:, f] > b[0]) & (x[:, f] <= b[1])).astype(float) for f, b in box.items()}
-                m = len(box)
-                for f in box:
-                    # poly[:, s]: sum over subsets of size s of the other features on the path
-                    poly = np.zeros((len(batch), m))
-                    poly[:, 0] = 1.0
-                    for g in box:
-                        if g != f:
-                            grown = poly * share[g]
-                            grown[:, 1:] += poly[:, :-1] * passes[g][:, None]
-                            poly = grown
-                    weight = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
-                    phi[:, f] += value * (poly @ np.array(weight)) * (passes[f] - share[f])
+                if not box:
+                    base += value
+                    continue
+                used = list(box)
+                low, high, share = np.array([box[f] for f in used]).T
+                base += value * share.prod()
+                passed = (x[:, used] > low) & (x[:, used] <= high)
+                if len(used) <= 12:
+                    bits = 1 << np.arange(len(used))
+                    outcomes = (np.arange(1 << len(used))[:, None] & bits) > 0
+                    phi[:, used] += value * weights(outcomes.astype(float), share)[passed @ bits]
+                else:
+                    phi[:, used] += value * weights(passed.astype(float), share)
             parts = [[{"feature": n, "contribution": float(v)} for n, v in zip(labels, row)] for row in phi]
             yield pd.DataFrame({key: batch[key], "base_value": base, "contributions": parts})
 
