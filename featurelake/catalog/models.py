@@ -178,7 +178,7 @@ _Z = "-1.25 + " + " + ".join(f"coalesce({c}, 0) * ({w:.10f}::DOUBLE)" for c, w i
 WITH e AS ({ENTITIES}), s AS (SELECT customer_id, 1 / (1 + exp(-({_Z}))) AS p FROM e)
 SELECT customer_id, CAST(p >= 0.5 AS INTEGER) AS prediction,
        CASE WHEN p >= 0.5 THEN 'Ponto de Virada Provável' ELSE 'Ponto de Virada Improvável' END AS label,
-       round(1 - p, 4) AS probability_0, round(p, 4) AS probability_1, round(greatest(p, 1 - p), 4) AS confidence,
+       round(1 - p, 4) AS probability_no_turning_point, round(p, 4) AS probability_turning_point, round(greatest(p, 1 - p), 4) AS confidence,
        'm1' AS model_version, 'file' AS loaded_from FROM s""")
 def _(spark, sf):
     rows = entities(spark, sf)
@@ -255,7 +255,7 @@ def _(spark, sf):
     rows = _vectors(spark, sf)
     model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
     return score.score_batch(model, rows, "m1", key="line_id").select(
-        "prediction_id", "prediction", "label", "probability_0", "probability_1", "confidence", "model_version")
+        "prediction_id", "prediction", "label", "probability_no_turning_point", "probability_turning_point", "confidence", "model_version")
 
 
 @catalog.add("score_by_ids")
@@ -298,7 +298,7 @@ def _(spark, sf):
     """Each row is scored once, its probabilities add up to 1 and the confidence is the larger one."""
     rows = _vectors(spark, sf)
     model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
-    p0, p1 = F.col("probability_0"), F.col("probability_1")
+    p0, p1 = F.col("probability_no_turning_point"), F.col("probability_turning_point")
     return score.score_batch(model, rows, "m1", key="line_id").agg(
         F.count_distinct("prediction_id").alias("rows"),
         F.count_if(F.abs(p0 + p1 - 1) < 0.00015).alias("rows_with_probabilities_of_one"),

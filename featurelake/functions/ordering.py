@@ -191,51 +191,55 @@ def _neighbours(p: float, n: int) -> tuple[int, int]:
 
 def _values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str, int], exact_limit: int,
                      accuracy: int) -> dict[tuple[str, int], float]:
-    """Value at each 0-based rank, narrowing one open interval per (column, rank) and round.
+    """Value at each 0-based rank, narrowing open intervals round by round; ranks in the same
+    interval share its sketch.
 
     The sketch is within ``1 / accuracy`` of a rank, so two such steps to each side always enclose
     it. Rows equal to an interval's ends are counted, not kept: a value holding most rows ends the
     search at once instead of filling the interval.
     """
     found: dict[tuple[str, int], float] = {}
-    # (column, rank) -> (exclusive low, exclusive high, rows at or below low, rows inside)
-    spans = {(c, r): (None, None, 0, sizes[c]) for c, rs in ranks.items() for r in rs}
+    # (column, exclusive low, exclusive high, rows at or below low, rows inside) -> wanted ranks
+    spans = {(c, None, None, 0, sizes[c]): sorted(rs) for c, rs in ranks.items()}
     while spans:
         aggs = []
-        for i, ((c, rank), (lo, hi, below, inside)) in enumerate(spans.items()):
+        for i, ((c, lo, hi, below, inside), wanted) in enumerate(spans.items()):
             value = F.col(c).cast("double")
             scoped = value if lo is None else F.when((value > lo) & (value < hi), value)
             if inside <= exact_limit:
-                aggs.append(F.percentile(scoped, F.lit((rank - below) / max(inside - 1, 1))).alias(f"v{i}"))
+                at = [F.lit((r - below) / max(inside - 1, 1)) for r in wanted]
+                aggs.append(F.percentile(scoped, F.array(*at)).alias(f"v{i}"))
             else:
-                mid, step = (rank - below) / inside, 2 / accuracy
-                aggs.append(F.percentile_approx(
-                    scoped, [max(0.0, mid - step), min(1.0, mid + step)], accuracy).alias(f"v{i}"))
+                step = 2 / accuracy
+                ends = [e for r in wanted for e in ((r - below) / inside - step, (r - below) / inside + step)]
+                aggs.append(F.percentile_approx(scoped, [min(1.0, max(0.0, e)) for e in ends], accuracy).alias(f"v{i}"))
         sketch = df.agg(*aggs).first()
-        brackets = {}
-        for i, key in enumerate(spans):
-            v = sketch[f"v{i}"]
-            if isinstance(v, (list, tuple)):
-                brackets[key] = (v[0], v[1])
-            else:
-                found[key] = v
+        brackets: dict[tuple[str, float, float], list[int]] = {}
+        for i, ((c, _, _, _, inside), wanted) in enumerate(spans.items()):
+            values = sketch[f"v{i}"]
+            for j, rank in enumerate(wanted):
+                if inside <= exact_limit:
+                    found[c, rank] = values[j]
+                else:
+                    brackets.setdefault((c, values[2 * j], values[2 * j + 1]), []).append(rank)
         if not brackets:
             break
         counts = []
-        for i, ((c, _), (lo, hi)) in enumerate(brackets.items()):
+        for i, (c, lo, hi) in enumerate(brackets):
             value = F.col(c).cast("double")
             counts += [F.count_if(value < lo).alias(f"lt{i}"), F.count_if(value <= lo).alias(f"le{i}"),
                        F.count_if(value < hi).alias(f"lth{i}"), F.count_if(value <= hi).alias(f"leh{i}")]
         row = df.agg(*counts).first()
         spans = {}
-        for i, (key, (lo, hi)) in enumerate(brackets.items()):
-            rank = key[1]
-            if not row[f"lt{i}"] <= rank < row[f"leh{i}"]:
-                raise RuntimeError(f"rank {rank} of {key[0]} lies outside its bracket [{lo}, {hi}]")
-            if rank < row[f"le{i}"]:
-                found[key] = lo
-            elif rank >= row[f"lth{i}"]:
-                found[key] = hi
-            else:
-                spans[key] = (lo, hi, row[f"le{i}"], row[f"lth{i}"] - row[f"le{i}"])
+        for i, ((c, lo, hi), wanted) in enumerate(brackets.items()):
+            for rank in wanted:
+                if not row[f"lt{i}"] <= rank < row[f"leh{i}"]:
+                    raise RuntimeError(f"rank {rank} of {c} lies outside its bracket [{lo}, {hi}]")
+                if rank < row[f"le{i}"]:
+                    found[c, rank] = lo
+                elif rank >= row[f"lth{i}"]:
+                    found[c, rank] = hi
+                else:
+                    span = (c, lo, hi, row[f"le{i}"], row[f"lth{i}"] - row[f"le{i}"])
+                    spans.setdefault(span, []).append(rank)
     return found

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from featurelake.functions.ordering import tail_rows
 from featurelake.functions.scalars import truncate_text
 
-# Alert types, severities, severity limits and history sizes.
+# Alert types, severities, severity limits, history sizes and titles.
 ALERT_TYPES = ["data_drift", "prediction_drift", "model_performance", "model_promoted", "training_complete",
                "training_failed", "api_error", "system_error", "custom"]
 SEVERITIES = ["info", "warning", "error", "critical"]
 DATA_DRIFT_ERROR_RATIO, PREDICTION_DRIFT_ERROR_SCORE = 0.5, 0.3
 HISTORY_KEPT, HISTORY_SHOWN = 1000, 100
+DATA_DRIFT_TITLE, PREDICTION_DRIFT_TITLE = "Data Drift Detected", "Prediction Drift Detected"
+PERFORMANCE_TITLE, PROMOTION_TITLE = "Performance Degradation", "Model Promoted"
+TRAINING_DONE_TITLE, TRAINING_FAILED_TITLE, API_ERROR_TITLE = "Training Completed", "Training Failed", "API Error"
 
 
 def alert(alert_type: str, severity: str | Column, title: Column | str, message: Column,
@@ -38,7 +41,7 @@ def data_drift_alert(timestamp: Column) -> Column:
     found, seen, ratio = F.col("features_with_drift"), F.col("features_analyzed"), F.col("drift_ratio")
     text = F.format_string("Drift detected in %d of %d features (%.1f%% affected)", found, seen, ratio * 100)
     severity = F.when(ratio < DATA_DRIFT_ERROR_RATIO, "warning").otherwise("error")
-    return alert("data_drift", severity, "Data Drift Detected", text, {"drift_ratio": ratio}, timestamp)
+    return alert("data_drift", severity, DATA_DRIFT_TITLE, text, {"drift_ratio": ratio}, timestamp)
 
 
 def prediction_drift_alert(timestamp: Column, expected: float = 0.5) -> Column:
@@ -47,7 +50,7 @@ def prediction_drift_alert(timestamp: Column, expected: float = 0.5) -> Column:
     text = F.format_string("Class 1 share %.1f%% instead of %.1f%%, drift score %.4f",
                            share * 100, F.lit(expected * 100), score)
     severity = F.when(score < PREDICTION_DRIFT_ERROR_SCORE, "warning").otherwise("error")
-    return alert("prediction_drift", severity, "Prediction Drift Detected", text, {
+    return alert("prediction_drift", severity, PREDICTION_DRIFT_TITLE, text, {
         "sample_size": F.col("sample_size"), "class_1_share": share, "drift_score": score}, timestamp)
 
 
@@ -61,40 +64,40 @@ def alerts_from_drift(summary: DataFrame, predictions: DataFrame, timestamp: Col
 def feature_drift_alert(timestamp: Column, threshold: float) -> Column:
     """Over a drift feature row (feature, z_score)."""
     score = F.col("z_score")
-    return alert("data_drift", "warning", F.concat(F.lit("Data Drift Detected: "), F.col("feature")),
+    return alert("data_drift", "warning", F.concat(F.lit(f"{DATA_DRIFT_TITLE}: "), F.col("feature")),
                  F.format_string("Feature %s scored %.4f, limit %.2f", F.col("feature"), score, F.lit(threshold)),
                  {"feature": F.col("feature"), "drift_score": score, "threshold": F.lit(threshold),
                   "exceeded_by": F.round(score - threshold, 4)}, timestamp)
 
 
 def performance_alert(metric: Column, current: Column, expected: Column, timestamp: Column) -> Column:
-    return alert("model_performance", "warning", F.concat(F.lit("Performance Degradation: "), metric),
+    return alert("model_performance", "warning", F.concat(F.lit(f"{PERFORMANCE_TITLE}: "), metric),
                  F.format_string("Metric %s is %.4f, expected %.4f", metric, current, expected),
                  {"metric": metric, "current_value": F.round(current, 4), "expected_value": F.round(expected, 4),
                   "difference": F.round(expected - current, 4)}, timestamp)
 
 
 def promotion_alert(model: Column, version: Column, stage: Column, timestamp: Column) -> Column:
-    return alert("model_promoted", "info", F.concat(F.lit("Model Promoted: "), model),
+    return alert("model_promoted", "info", F.concat(F.lit(f"{PROMOTION_TITLE}: "), model),
                  F.concat(model, F.lit(" version "), version.cast("string"), F.lit(" is now in "), stage),
                  {"model_name": model, "version": version, "stage": stage}, timestamp)
 
 
 def training_complete_alert(model: Column, seconds: Column, metrics: Mapping[str, Column], timestamp: Column) -> Column:
-    return alert("training_complete", "info", F.concat(F.lit("Training Completed: "), model),
+    return alert("training_complete", "info", F.concat(F.lit(f"{TRAINING_DONE_TITLE}: "), model),
                  F.format_string("%s trained in %.1f s", model, seconds),
                  {"model_name": model, "duration_seconds": F.round(seconds, 1),
                   **{f"metric_{k}": F.round(v, 4) for k, v in metrics.items()}}, timestamp)
 
 
 def training_failed_alert(model: Column, error: Column, timestamp: Column) -> Column:
-    return alert("training_failed", "error", F.concat(F.lit("Training Failed: "), model),
+    return alert("training_failed", "error", F.concat(F.lit(f"{TRAINING_FAILED_TITLE}: "), model),
                  F.concat(F.lit("Training failed for "), model),
                  {"model_name": model, "error": truncate_text(error)}, timestamp)
 
 
 def api_error_alert(endpoint: Column, error: Column, status: Column, timestamp: Column) -> Column:
-    return alert("api_error", "error", F.concat(F.lit("API Error: "), endpoint),
+    return alert("api_error", "error", F.concat(F.lit(f"{API_ERROR_TITLE}: "), endpoint),
                  F.concat(F.lit("Error on "), endpoint, F.lit(": "), error),
                  {"endpoint": endpoint, "error": truncate_text(error), "status_code": status}, timestamp)
 

@@ -231,6 +231,11 @@ def prepare_year(df: DataFrame, year: str, known_years: Sequence[str] = KNOWN_YE
     return (preparer or Preparer()).fit_transform(year_slice(df, year, known_years))
 
 
+def prepare_dataset(df: DataFrame, year: str = "2022", **settings) -> DataFrame:
+    """One year, or all stacked years for ``year="all"``."""
+    return prepare_multiyear(df, **settings) if year == "all" else prepare_year(df, year, **settings)
+
+
 def prepare_multiyear(df: DataFrame, years: Sequence[str] = STACKED_YEARS, known_years: Sequence[str] = KNOWN_YEARS,
                       tracked: Sequence[str] = TRACKED_INDEXES, velocity: Sequence[str] | None = None,
                       first_year: str = "median", preparer: Preparer | None = None) -> DataFrame:

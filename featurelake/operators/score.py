@@ -19,8 +19,8 @@ def score_columns(p1: Column, prediction: Column, version: str, source: str) ->
     return {
         "prediction": prediction.cast("int"),
         "label": label_text(prediction),
-        "probability_0": F.round(p0, 4),
-        "probability_1": F.round(p1, 4),
+        "probability_no_turning_point": F.round(p0, 4),
+        "probability_turning_point": F.round(p1, 4),
         "confidence": F.round(F.greatest(p0, p1), 4),
         "model_version": F.lit(version),
         "loaded_from": F.lit(source),

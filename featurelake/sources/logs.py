@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from featurelake.functions.ordering import tail_rows
 from featurelake.sources.files import read_or_empty
 
+# Fields of the prediction and feedback records.
 PREDICTION_SCHEMA = (
     "type string, timestamp timestamp_ntz, input map<string,string>, "
-    "output struct<prediction_id: string, prediction: int, label: string, probability_0: double, "
-    "probability_1: double, confidence: double, model_version: string, loaded_from: string>, model_version string"
+    "output struct<prediction_id: string, prediction: int, label: string, probability_no_turning_point: double, "
+    "probability_turning_point: double, confidence: double, model_version: string, loaded_from: string>, "
+    "model_version string"
 )
 FEEDBACK_SCHEMA = (
     "type string, timestamp timestamp_ntz, prediction_id string, actual_outcome int, comment string, "
@@ -22,9 +24,10 @@ FEEDBACK_SCHEMA = (
 def prediction_records(scored: DataFrame, inputs: list[str], ts: str = "timestamp") -> DataFrame:
     """Log records for scored rows: the model inputs, never just the id, travel with the score."""
     have = set(scored.columns)
-    fields = ["prediction_id", "prediction", "label", "probability_0", "probability_1", "confidence",
-              "model_version", "loaded_from"]
-    kinds = {"prediction": "int", "probability_0": "double", "probability_1": "double", "confidence": "double"}
+    fields = ["prediction_id", "prediction", "label", "probability_no_turning_point", "probability_turning_point",
+              "confidence", "model_version", "loaded_from"]
+    kinds = {"prediction": "int", "probability_no_turning_point": "double", "probability_turning_point": "double",
+             "confidence": "double"}
     output = F.struct(*[
         (F.col(f) if f in have else F.lit(None)).cast(kinds.get(f, "string")).alias(f) for f in fields])
     return scored.select(

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from featurelake.functions.scalars import json_text, parse_json_body
@@ -39,15 +40,19 @@ def stream_log(spark: SparkSession, path: str, schema: StructType | str, ts: str
     return raw.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
+def start_append(sdf: DataFrame, sink: str, state: str, fmt: str = "parquet", **trigger) -> StreamingQuery:
+    """Start an exactly-once file sink; ``trigger`` is passed on, by default all available data."""
+    return (
+        sdf.writeStream.outputMode("append").format(fmt).option("path", sink).option("checkpointLocation", state)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 def drain_to_table(sdf: DataFrame, tag: str) -> DataFrame:
     """Run a stream over everything available into a Parquet sink; returns the sink as a table."""
     spark = sdf.sparkSession
     sink = scratch_path(spark, tag)
-    query = (
-        sdf.writeStream.outputMode("append").format("parquet").option("path", sink)
-        .option("checkpointLocation", scratch_path(spark, f"{tag}-state")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    start_append(sdf, sink, scratch_path(spark, f"{tag}-state")).awaitTermination()
     return spark.read.schema(sdf.schema).parquet(sink)
 
 

@@ -129,8 +129,8 @@ def test_scores_are_consistent_and_survive_saving(rows, forest, base):
     one = score.score_batch(forest, rows, "v1", key="id").orderBy("prediction_id").collect()
     two = score.score_batch(loaded, rows, "v1", key="id").orderBy("prediction_id").collect()
     assert one == two and len(one) == 400
-    assert all(abs(r.probability_0 + r.probability_1 - 1) < 2e-4 for r in one)
-    assert all(r.confidence == max(r.probability_0, r.probability_1) for r in one)
+    assert all(abs(r.probability_no_turning_point + r.probability_turning_point - 1) < 2e-4 for r in one)
+    assert all(r.confidence == max(r.probability_no_turning_point, r.probability_turning_point) for r in one)
     assert {r.label for r in one if r.prediction == 1} == {"Ponto de Virada Provável"}
 
 

@@ -49,9 +49,7 @@ def test_ingest_continues_where_it_stopped(spark, log):
     sink, state = scratch_path(spark, "sink"), scratch_path(spark, "state")
 
     def run():
-        q = stream(spark, log).writeStream.format("parquet").option("path", sink).option(
-            "checkpointLocation", state).trigger(availableNow=True).start()
-        q.awaitTermination()
+        streams.start_append(stream(spark, log), sink, state).awaitTermination()
         return spark.read.parquet(sink).count()
 
     assert run() == 300
