@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelake.functions.scalars import ratio_or_zero, safe_ratio
 from featurelake.operators.profile import column_moments
-from featurelake.session import cut_lineage
 
 # Z-score of a drifted feature, tolerated drift share, expected class shares, bounds.
 Z_LIMIT = 2.0
@@ -19,6 +18,16 @@ CLASS_1_BOUNDS = (0.10, 0.90)
 RECENT_WINDOW = 1000
 
 
+def _z_score() -> Column:
+    """Over ref_mean, ref_std and cur_mean; 0 where it is undefined."""
+    z = F.when(F.col("ref_std") > 0, F.abs(F.col("cur_mean") - F.col("ref_mean")) / F.col("ref_std"))
+    return F.coalesce(F.when(~F.isnan(z), z), F.lit(0.0))
+
+
+def _reference(stats: DataFrame) -> DataFrame:
+    return stats.select("feature", F.col("mean").alias("ref_mean"), F.col("std").alias("ref_std"))
+
+
 def drift_features(reference: DataFrame, current: DataFrame, z_limit: float = Z_LIMIT) -> DataFrame:
     """Mean shift per feature both sides have, in reference deviations.
 
@@ -26,12 +35,9 @@ def drift_features(reference: DataFrame, current: DataFrame, z_limit: float = Z_
     A feature without spread, or without a current mean, scores 0 and does not drift.
     """
     now = current if {"feature", "mean"} <= set(current.columns) else column_moments(current)
-    ref = reference.select("feature", F.col("mean").alias("ref_mean"), F.col("std").alias("ref_std"))
-    z = F.when(F.col("ref_std") > 0, F.abs(F.col("cur_mean") - F.col("ref_mean")) / F.col("ref_std"))
-    z = F.coalesce(F.when(~F.isnan(z), z), F.lit(0.0))
     return (
-        ref.join(now.select("feature", F.col("mean").alias("cur_mean")), "feature")
-        .withColumn("z", z)
+        _reference(reference).join(now.select("feature", F.col("mean").alias("cur_mean")), "feature")
+        .withColumn("z", _z_score())
         .select("feature", F.round("ref_mean", 4).alias("ref_mean"), F.round("cur_mean", 4).alias("cur_mean"),
                 F.round("z", 4).alias("z_score"), (F.col("z") > z_limit).alias("drift"))
     )
@@ -64,29 +70,37 @@ def recent_summary(recent: DataFrame, reference: DataFrame, inputs: Sequence[str
                    expected: float = EXPECTED_CLASS_1, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """Window analysis in one row: class counts, prediction drift and data drift of the inputs.
 
-    ``inputs`` is the allow-list of model features; ids never count as one. ``recent`` is already
-    limited to the window, hence bounded; it is stored once for both halves.
+    ``inputs`` is the allow-list of model features; ids never count as one. A single aggregate over
+    the window yields counts and input means together; no rows, no result.
     """
-    recent = cut_lineage(recent.select(prediction, *inputs))
-    ones, zeros = F.count_if(F.col(prediction) == 1), F.count_if(F.col(prediction) == 0)
-    total = F.count(F.lit(1))
-    share = ratio_or_zero(ones, total)
-    counts = recent.agg(
-        total.alias("window_size"), zeros.alias("class_0_count"), ones.alias("class_1_count"),
-        F.round(share, 4).alias("class_1_ratio"), F.round(F.abs(share - expected), 4).alias("prediction_drift_score"),
-        (F.abs(share - expected) > threshold).alias("prediction_drift"))
-    data = drift_summary(drift_features(reference, recent.select(*inputs)), threshold).select(
-        "features_analyzed", "features_with_drift", "drift_ratio", F.col("drift_detected").alias("data_drift"))
-    # Both sides are one aggregate row; the constant key joins row to row.
-    return counts.withColumn("__k", F.lit(1)).join(data.withColumn("__k", F.lit(1)), "__k").drop("__k").where(
-        "window_size > 0")
+    total, share = F.count(F.lit(1)), ratio_or_zero(F.count_if(F.col(prediction) == 1), F.count(F.lit(1)))
+    counts = {
+        "window_size": total, "class_0_count": F.count_if(F.col(prediction) == 0),
+        "class_1_count": F.count_if(F.col(prediction) == 1), "class_1_ratio": F.round(share, 4),
+        "prediction_drift_score": F.round(F.abs(share - expected), 4),
+        "prediction_drift": F.abs(share - expected) > threshold,
+    }
+    numbers = {c: F.col(c).cast("double") for c in inputs}
+    means = [F.avg(F.when(~F.isnan(v), v)).alias(f"__mean{i}") for i, v in enumerate(numbers.values())]
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__mean{i}").alias("cur_mean"))
+                      for i, c in enumerate(inputs)])
+    current = recent.agg(*[c.alias(n) for n, c in counts.items()], *means).where("window_size > 0").select(
+        *counts, F.inline_outer(pairs))
+    known = F.col("ref_mean").isNotNull()
+    found, drifted = F.count_if(known), F.count_if(known & (_z_score() > Z_LIMIT))
+    ratio = safe_ratio(F.col("features_with_drift"), F.col("features_analyzed"))
+    return (
+        current.join(_reference(reference), "feature", "left").groupBy(*counts)
+        .agg(found.alias("features_analyzed"), drifted.alias("features_with_drift"))
+        .withColumns({"drift_ratio": F.round(ratio, 4), "data_drift": F.coalesce(ratio > threshold, F.lit(False))})
+    )
 
 
 def drift_report(events: DataFrame, ts: str, tie: str, last: int = 10) -> DataFrame:
     """Newest drift events, each with the size of the whole history and its covered features."""
-    whole = events.agg(F.count(F.lit(1)).alias("history_count"), F.max("features_analyzed").alias("features_covered"))
-    newest = events.orderBy(F.desc(ts), F.desc(tie)).limit(last)
-    return newest.withColumn("__k", F.lit(1)).join(whole.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    total, covered = events.agg(F.count(F.lit(1)), F.max("features_analyzed")).first()
+    return events.orderBy(F.desc(ts), F.desc(tie)).limit(last).withColumns({
+        "history_count": F.lit(total).cast("bigint"), "features_covered": F.lit(covered)})
 
 
 def class_ratio_bounds(predictions: DataFrame, prediction: str = "prediction",

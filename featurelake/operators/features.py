@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from featurelake.functions.ordering import global_index
 from featurelake.functions.scalars import POSITIVE_OUTCOMES, positive_flag, ratio_or_zero, to_number
-from featurelake.session import broadcast_if_small
+from featurelake.session import broadcast_if_small, cut_lineage
 
 # Target and outcome columns, score thresholds, top tiers, default reference year.
 TARGET = "ponto_virada_pred"
@@ -98,13 +98,14 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Codes 0..k-1 per column in code-point order: (column, value, code).
 
     Values are de-duplicated map-side for all columns in one pass, then numbered by global order,
-    so a column with very many values is not sorted by a single task.
+    so a column with very many values is not sorted by a single task. The result is stored, as every
+    column's lookup reads it.
     """
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _category(c).alias("value")) for c in columns]))
     ranked = global_index(df.select(pairs).distinct(), [F.col("column"), F.col("value")], "pos")
     first = ranked.groupBy("column").agg(F.min("pos").alias("first"))
-    return ranked.join(F.broadcast(first), "column").select(
-        "column", "value", (F.col("pos") - F.col("first")).cast("int").alias("code"))
+    return cut_lineage(ranked.join(F.broadcast(first), "column").select(
+        "column", "value", (F.col("pos") - F.col("first")).cast("int").alias("code")))
 
 
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Sequence[str],
@@ -117,9 +118,12 @@ def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Sequence[str
     for c in columns:
         part = dictionary.where(F.col("column") == c).select(
             F.col("value").alias("__value"), F.col("code").alias("__code"))
+        if c not in df.columns:
+            known = part.where(F.col("__value") == MISSING_CATEGORY).first()
+            df = df.withColumn(f"{c}_encoded", F.lit(known["__code"] if known else UNSEEN_CODE))
+            continue
         part = broadcast_if_small(part) if small is None else (F.broadcast(part) if small else part)
-        have = _category(c) if c in df.columns else F.lit(MISSING_CATEGORY)
-        df = df.join(part, have == F.col("__value"), "left").withColumn(
+        df = df.join(part, _category(c) == F.col("__value"), "left").withColumn(
             f"{c}_encoded", F.coalesce(F.col("__code"), F.lit(UNSEEN_CODE))).drop("__value", "__code")
     return df.select(*kept, *[f"{c}_encoded" for c in columns])
 

@@ -89,8 +89,9 @@ def cross_validate(df: DataFrame, model_type: str, key: str, folds: int = 5, see
 def evaluate(scored: DataFrame) -> DataFrame:
     """One row with the five metrics of scored rows; the rows are scored once and kept narrow."""
     scored = cut_lineage(scored.select("label", "prediction", "score"))
-    one = F.lit(1).alias("__k")
-    return binary_metrics(scored).select("*", one).join(roc_auc(scored).select("*", one), "__k").drop("__k")
+    metrics = {**binary_metrics(scored).first().asDict(), **roc_auc(scored).first().asDict()}
+    return scored.sparkSession.createDataFrame(
+        [tuple(metrics[m] for m in METRICS)], ", ".join(f"{m} double" for m in METRICS))
 
 
 def save_model(model: PipelineModel, base: str, version: str) -> str:

@@ -35,13 +35,15 @@ def monitoring_job(predictions: DataFrame, reference: DataFrame, inputs: Sequenc
     """
     recent = cut_lineage(tail_rows(predictions, window, ts, tie))
     features = drift_features(reference, recent.select(*inputs))
-    one = F.lit(1).alias("__k")
-    share = class_ratio_bounds(predictions).select(
-        one, F.col("total").alias("all_predictions"), F.coalesce("out_of_bounds", F.lit(False)).alias("out_of_bounds"))
+    share = class_ratio_bounds(predictions, bounds=bounds).first()
     drifted = F.col("data_drift") | F.col("prediction_drift")
     alerted = drifted | F.col("out_of_bounds")
     summary = (
-        recent_summary(recent, reference, inputs).select("*", one).join(share, "__k").drop("__k")
+        recent_summary(recent, reference, inputs)
+        .withColumns({
+            "all_predictions": F.lit(share["total"]).cast("bigint"),
+            "out_of_bounds": F.lit(bool(share["out_of_bounds"])),
+        })
         .withColumns({
             "has_alert": alerted,
             "retrain": drifted & F.lit(auto_retrain),

@@ -47,6 +47,15 @@ def test_no_query_windows_all_rows_in_one_task(spark, sf):
                 assert len(partitioned) == 2 or "__part" in line, (name, line)
 
 
+def test_no_query_has_a_nested_loop_or_cartesian_join(spark, sf):
+    import __spark_entry__ as entry
+
+    for key in ("label_encode_unseen", "recent_window_summary", "monitoring_check", "drift_report", "class_weights",
+                "reference_stats", "stratified_split", "feature_transform"):
+        text = plan(entry.queries()[key](spark, sf))
+        assert "NestedLoop" not in text and "Cartesian" not in text, key
+
+
 def test_broadcast_only_after_a_size_check(spark):
     small, big = spark.range(10), spark.range(2000)
     assert broadcast_if_small(big, max_rows=100) is big
