@@ -150,7 +150,7 @@ def hash_parts(df: DataFrame, label: str, key: str, cuts: Sequence[Column], seed
     return inside.unionByName(edge)
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact_limit: int = 1_000_000,
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact_limit: int = 100_000,
                     accuracy: int = 10_000, sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of many columns with bounded state.
 

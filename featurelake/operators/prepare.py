@@ -11,6 +11,7 @@ from pyspark.sql.types import DataType, DoubleType, NumericType, StringType
 
 from featurelake.functions.ordering import exact_quantiles
 from featurelake.functions.scalars import safe_ratio, to_number
+from featurelake.session import cut_lineage
 
 # Identifier columns, known years, tracked indexes, year key and filler text.
 IDENTIFIER_COLUMNS = ["NOME"]
@@ -159,7 +160,7 @@ def clean_rows(df: DataFrame, identifiers: Sequence[str] = IDENTIFIER_COLUMNS, m
     return df.dropna(thresh=math.ceil(min_filled * len(df.columns)))
 
 
-def column_medians(df: DataFrame, columns: Sequence[str] | None = None, exact_limit: int = 1_000_000,
+def column_medians(df: DataFrame, columns: Sequence[str] | None = None, exact_limit: int = 100_000,
                    sizes: dict[str, int] | None = None) -> dict[str, float]:
     """Exact medians of the numeric columns, nulls left out."""
     columns = numeric_columns(df) if columns is None else columns
@@ -168,7 +169,7 @@ def column_medians(df: DataFrame, columns: Sequence[str] | None = None, exact_li
 
 
 def impute_median(df: DataFrame, medians: Mapping[str, float] | None = None,
-                  exact_limit: int = 1_000_000) -> DataFrame:
+                  exact_limit: int = 100_000) -> DataFrame:
     """Fill numeric nulls by the column's median.
 
     Medians come from this very frame unless fitted ones are given. Only columns that have nulls
@@ -219,6 +220,9 @@ class Preparer:
         if self.numeric is None:
             raise ValueError("fit the preparer before transforming")
         df = clean_rows(df, self.identifiers, not_evidence=self.not_evidence)
+        if self.medians is None:
+            # Medians take several looks at the rows: store them once instead of preparing them anew.
+            df = cut_lineage(df)
         return impute_text(impute_median(df, self.medians))
 
     def fit_transform(self, df: DataFrame) -> DataFrame:

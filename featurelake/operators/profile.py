@@ -78,7 +78,7 @@ def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def reference_stats(df: DataFrame, columns: Sequence[str] | None = None,
-                    exact_limit: int = 1_000_000) -> DataFrame:
+                    exact_limit: int = 100_000) -> DataFrame:
     """Moments plus exact median and quartiles (linear interpolation) per numeric column."""
     columns = numeric_columns(df) if columns is None else list(columns)
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], exact_limit)
