@@ -21,7 +21,7 @@ INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _line_id():
-    parts = [F.col(c).cast("string") for c in _KEY_PARTS] + [F.date_format("l_shipdate", "yyyyMMdd")]
+    parts = [F.col(c).cast("string") for c in _KEY_PARTS] + [F.to_date("l_shipdate").cast("string")]
     return F.concat_ws("-", *parts).alias("line_id")
 
 
@@ -43,7 +43,7 @@ def _vectors(spark, sf):
 
 _LINES = """
   SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-'
-         || strftime(l_shipdate, '%Y%m%d') AS line_id,
+         || CAST(l_shipdate AS DATE) AS line_id,
          CAST(l_returnflag = 'R' AS DOUBLE) AS label FROM lineitem"""
 _RANKED = f"""
 WITH t AS ({_LINES}),
@@ -258,14 +258,27 @@ def _(spark, sf):
         "prediction_id", "prediction", "label", "probability_no_turning_point", "probability_turning_point", "confidence", "model_version")
 
 
-@catalog.add("score_by_ids")
-def _(spark, sf):
+def _scored_by_ids(spark, sf):
     rows = _vectors(spark, sf)
     model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
     store = ServingStore(spark, scratch_path(spark, "serving"))
     store.materialize(rows.drop("label"), "lines", "line_id")
     wanted = table(spark, sf, "lineitem").where("l_quantity > 40").select(_line_id())
-    return score.score_by_ids(model, store, "lines", wanted, "m1").select("prediction_id", "prediction", "confidence")
+    return score.score_by_ids(model, store, "lines", wanted, "m1")
+
+
+@catalog.add("score_by_ids")
+def _(spark, sf):
+    return _scored_by_ids(spark, sf).select("prediction_id", "prediction", "confidence")
+
+
+@catalog.add("score_by_ids_check", f"""
+WITH t AS ({_LINES} WHERE l_quantity > 40)
+SELECT line_id AS prediction_id, 'm1' AS model_version, 'serving' AS loaded_from, true AS plausible FROM t""")
+def _(spark, sf):
+    """Exactly the wanted rows are scored, each with a confidence of at least one half."""
+    return _scored_by_ids(spark, sf).select(
+        "prediction_id", "model_version", "loaded_from", F.col("confidence").between(0.5, 1.0).alias("plausible"))
 
 
 @catalog.add("model_roundtrip", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM lineitem")
@@ -320,9 +333,23 @@ def _(spark, sf):
         F.count_distinct(F.round("base_value", 9)).alias("base_values"))
 
 
+def _trained(spark, sf):
+    rows = entities(spark, sf).withColumn("label", F.coalesce(F.col("n_orders") > 9, F.lit(False)).cast("int"))
+    base = scratch_path(spark, "training")
+    return base, training_job(spark, rows, "customer_id", "label", ["acctbal", "spend"], ["segment", "nation"], base,
+                              model_type="random_forest", numTrees=10, maxDepth=5)
+
+
 @catalog.add("training_job")
 def _(spark, sf):
-    rows = entities(spark, sf).withColumn("label", F.coalesce(F.col("n_orders") > 9, F.lit(False)).cast("int"))
-    result = training_job(spark, rows, "customer_id", "label", ["acctbal", "spend"], ["segment", "nation"],
-                          scratch_path(spark, "training"), model_type="random_forest", numTrees=10, maxDepth=5)
-    return result.metrics
+    return _trained(spark, sf)[1].metrics
+
+
+@catalog.add("training_job_check", """
+SELECT 'features' AS table_name, count(*) AS num_rows, 4 AS num_features FROM customer
+UNION ALL SELECT 'inference', count(*), 7 FROM customer""")
+def _(spark, sf):
+    """What the job left in the serving store: the chosen features and the synced data set."""
+    base, _ = _trained(spark, sf)
+    return ServingStore(spark, f"{base}/serving").catalog().select(
+        "table_name", "num_rows", F.size("feature_columns").alias("num_features"))

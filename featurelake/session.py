@@ -14,8 +14,9 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "featurelake", master: str | None = None, shuffle_partitions: int | None = None,
-                  driver_memory: str | None = None) -> SparkSession:
-    """Session with the settings the operators are written for."""
+                  driver_memory: str | None = None, **settings: str) -> SparkSession:
+    """Session with the settings the operators are written for; further ones by keyword, with
+    underscores for dots."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -30,6 +31,8 @@ def build_session(app: str = "featurelake", master: str | None = None, shuffle_p
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
+    for name, value in settings.items():
+        builder = builder.config(name.replace("_", "."), value)
     return builder.getOrCreate()
 
 

@@ -1,6 +1,6 @@
 """Compare registered queries with DuckDB on the same tables.
 
-Run ``python tests/oracle.py SF_DIR [key ...]`` for a report.
+Run ``python tests/oracle.py SF_DIR [key ...]`` for a report; ``ORACLE_TZ`` sets another session zone.
 """
 
 from __future__ import annotations
@@ -74,6 +74,8 @@ def main() -> int:
     sf, keys = sys.argv[1], sys.argv[2:]
     spark = build_session("oracle", "local[8]", 8, "8g")
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("ORACLE_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
     con = connect(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = 0
