@@ -116,10 +116,10 @@ def hash_parts(df: DataFrame, label: str, key: str, cuts: Sequence[Column], seed
 
     Rows of a class are ranked by a hash of their key; ``cuts`` are columns over ``n`` (class
     size) giving increasing rank boundaries, and the result column counts the boundaries at or
-    below the row's rank. Counting rows per hash prefix shows which prefixes a boundary falls
-    into; only their rows (about 1 in 16**prefix) are ranked with a window, the others get their
-    part from the prefix alone. No class is ever sorted as a whole. The counts hold at most
-    16**prefix rows per class and are broadcast after a check of their size.
+    below the row's rank. Counting rows per hash prefix shows which prefix each boundary falls
+    into; only the rows of those prefixes (about 1 in 16**prefix each) are ranked with a window,
+    the others get their part by comparing prefixes. No class is ever sorted as a whole, and the
+    rows meet a table of one row per class, broadcast after a check of its size.
     """
     hashed = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))))
     hashed = hashed.withColumn("__b", F.substring("__h", 1, prefix))
@@ -130,22 +130,37 @@ def hash_parts(df: DataFrame, label: str, key: str, cuts: Sequence[Column], seed
     spans = counts.select("__label", "__bucket", "m", F.sum("m").over(whole).alias("n"),
                           F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
 
-    def passed(rank: Column) -> Column:
-        return sum((F.when(rank >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    # Per class and boundary: the prefix it falls into, that prefix's first rank, and the boundary.
+    def located(cut: Column) -> Column:
+        return F.max(F.when((cut >= F.col("first")) & (cut < F.col("first") + F.col("m")),
+                            F.struct(F.col("__bucket").alias("bucket"), F.col("first").alias("first"), cut.alias("cut"))))
 
-    spans = cut_lineage(spans.withColumns({
-        "__lo": passed(F.col("first")),
-        "__hi": passed(F.col("first") + F.col("m") - 1),
-    }))
-    joined = hashed.join(
-        broadcast_if_small(spans), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__b") == F.col("__bucket")))
+    places = [f"__cut{i}" for i in range(len(cuts))]
+    bounds = cut_lineage(spans.groupBy("__label").agg(*[located(c).alias(p) for c, p in zip(cuts, places)]))
+    joined = hashed.join(broadcast_if_small(bounds), F.col(label).eqNullSafe(F.col("__label")))
+
+    def reached(place: str) -> Column:
+        """The row's prefix is at or behind the boundary's; a boundary behind all rows has none."""
+        return F.coalesce(F.col("__b") >= F.col(place)["bucket"], F.lit(False))
+
+    def splits(place: str) -> Column:
+        """The boundary lies strictly inside the row's prefix."""
+        spot = F.col(place)
+        return F.coalesce((F.col("__b") == spot["bucket"]) & (spot["cut"] > spot["first"]), F.lit(False))
+
+    def total(tests: Sequence[Column]) -> Column:
+        return sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
+
+    torn = F.lit(False)
+    for p in places:
+        torn = torn | splits(p)
     out = [*df.columns, name]
-    inside = joined.where("__lo = __hi").withColumn(name, F.col("__lo")).select(out)
-    order = Window.partitionBy("__label", "__bucket").orderBy("__h", key)
+    inside = joined.where(~torn).withColumn(name, total([reached(p) for p in places])).select(out)
+    first = F.coalesce(*[F.when(splits(p), F.col(p)["first"]) for p in places])
+    order = Window.partitionBy("__label", "__b").orderBy("__h", key)
     edge = (
-        joined.where("__lo <> __hi")
-        .withColumn("__rank", F.col("first") + F.row_number().over(order) - 1)
-        .withColumn(name, passed(F.col("__rank"))).select(out)
+        joined.where(torn).withColumn("__rank", first + F.row_number().over(order) - 1)
+        .withColumn(name, total([F.coalesce(F.col("__rank") >= F.col(p)["cut"], F.lit(False)) for p in places])).select(out)
     )
     return inside.unionByName(edge)
 
