@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import featurelake
+
+_SHIPPED: set[str] = set()
 #: Words of the contracts: runs of anything but blank and tab to carriage return. ``bytes.split`` cuts alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +46,23 @@ def crc_part(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def ship(df: DataFrame) -> DataFrame:
+    """Give the executors this package, as ``--py-files`` would, once per Spark context.
+
+    The archive is made where the driver runs and handed out by Spark's own file server.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(featurelake.__file__).parent
+        archive = Path(tempfile.mkdtemp()) / f"featurelake-{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    return df
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """Apply a function from one Arrow batch to dictionaries of equally long columns."""
     target = df.sparkSession.createDataFrame([], schema).schema
@@ -51,7 +75,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], sch
             for columns in fn(batch):
                 yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in kinds], schema=kinds)
 
-    return df.mapInArrow(run, target)
+    return ship(df).mapInArrow(run, target)
 
 
 def as_array(values, kind: pa.DataType) -> pa.Array:
