@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelake.llm import bpe, fingerprints, language, line_dedup, mixing, simhash, token_counts, url_filter
+from featurelake.llm import bpe, fingerprints, language, line_dedup, mixing, neighbours, simhash, token_counts, url_filter
 from featurelake.llm.common import crc_part, tokenizer_file
 from featurelake.session import scratch_path
 
@@ -109,6 +109,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare(fingerprints.with_next(table(spark, sf, "documents")))
 
 
+@add("op9_nearest")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @add("op10_bpe_round_trip")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
