@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,6 +47,11 @@ def crc_part(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that xxhash64 takes: those without a map or variant inside."""
+    return [f"`{f.name}`" for f in df.schema if not re.search(r"\b(map|variant)\b", f.dataType.simpleString())]
+
+
 def ship(df: DataFrame) -> DataFrame:
     """Give the executors this package, as ``--py-files`` would, once per Spark context.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurelake.llm.common import arrow_map, binary_sizes, slices, text_bytes
+from featurelake.llm.common import arrow_map, binary_sizes, ship, slices, text_bytes
 
 #: Labelled rows per language that are learned from; hashed n-grams; their length in bytes; cost of a change.
 SAMPLE, BUCKETS, NGRAM, PENALTY = 3000, 1 << 16, 4, 12.0
@@ -252,3 +252,19 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
 
     return arrow_map(docs.select("doc_id", text_bytes().alias("text")), run,
                      "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>")
+
+
+def filtered(docs: DataFrame, model: Model, least: float, penalty: float = PENALTY) -> DataFrame:
+    """The documents with a language whose share of the letters is at least ``least``, with their own columns only."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            texts = [t.as_py().encode() if t.is_valid else b"" for t in batch.column("text")]
+            for a, b in slices(map(len, texts), BATCH_BYTES):
+                names, share, _ = labelled_texts(shared.value, texts[a:b], penalty)
+                keep[a:b] = (np.array(names, object) != UNDETERMINED) & (share >= least)
+            yield batch.filter(pa.array(keep))
+
+    return ship(docs).mapInArrow(run, docs.schema)

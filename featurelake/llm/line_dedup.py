@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelake.llm.common import arrow_map, binary_sizes, mixed, partitions, powers, ship, slices
+from featurelake.llm.common import arrow_map, binary_sizes, hashable, mixed, partitions, powers, ship, slices
 from featurelake.llm.components import bounded_groups, components, hook, whole_groups
 from featurelake.session import cut_lineage
 
@@ -93,8 +93,7 @@ def bands(lines: list[str]) -> np.ndarray:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """The documents with a row key: __id (null as 0) and __hash of all columns that can be hashed."""
-    plain_columns = [f"`{f.name}`" for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)).cast("long"), "__hash": F.xxhash64(*plain_columns)})
+    return docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)).cast("long"), "__hash": F.xxhash64(*hashable(docs))})
 
 
 def line_table(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelake.llm import bpe, fingerprints, language, line_dedup, mixing, neighbours, simhash, token_counts, url_filter
+from featurelake.llm import bpe, fingerprints, language, language_model, line_dedup, mixing, neighbours, simhash, token_counts, url_filter
 from featurelake.llm.common import crc_part, tokenizer_file
 from featurelake.session import scratch_path
 
@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@add("op1_language_model")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(crc_part("doc_id", 5) == 1, F.lit(False))
+    return language_model.score(docs, ~held_out).withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 @add("op2_line_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     lines = line_dedup.line_classes(line_dedup.keyed(table(spark, sf, "documents")))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelake.llm.common import arrow_map, partitions, ship, text_bytes
+from featurelake.llm.common import arrow_map, hashable, partitions, ship, text_bytes
 from featurelake.llm.components import bounded_groups, components, hook, whole_groups
 from featurelake.session import cut_lineage
 
@@ -59,14 +59,15 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed number) of every text."""
+def fingerprints(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed number) and other whole-number columns of every text."""
 
     def run(batch):
         made = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-        yield {"doc_id": batch.column("doc_id"), "fp": pa.array(made.view(np.int64))}
+        yield {c: batch.column(c) for c in ("doc_id", *others)} | {"fp": pa.array(made.view(np.int64))}
 
-    return arrow_map(docs.select("doc_id", text_bytes().alias("text")), run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", {c} long" for c in others)
+    return arrow_map(docs.select("doc_id", *others, text_bytes().alias("text")), run, schema)
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -194,3 +195,15 @@ def with_components(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCK
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp", "left")
+
+
+def distinct_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, split: int = SPLIT) -> DataFrame:
+    """One document of each component, with its own columns: the one of least doc_id, a null id only if there is no
+    other; of equal ids the one whose columns hash lowest, and one of rows alike in all columns."""
+    rows = docs.withColumns({"__row": F.xxhash64(*hashable(docs)), "__twin": F.xxhash64(F.lit(1), *hashable(docs))})
+    prints = cut_lineage(fingerprints(rows, "__row", "__twin"))
+    classed = with_components(prints.withColumn("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id", "__row", "__twin")),
+                              radius, blocks, split)
+    kept = classed.filter(F.col("doc_id") == F.col("component_id")).select("__row", "__twin").distinct()
+    packed = rows.select("__row", "__twin", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    return packed.join(kept, ["__row", "__twin"], "left_semi").dropDuplicates(["__row", "__twin"]).select("__doc.*")
