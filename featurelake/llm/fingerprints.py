@@ -30,10 +30,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelake.llm.common import arrow_map, partitions, shingle_hashes, ship, slices, word_hashes
+from featurelake.llm.banding import all_links, band_members
+from featurelake.llm.common import arrow_map, mixed, partitions, shingle_hashes, ship, slices, word_hashes
+from featurelake.llm.components import components
+from featurelake.session import cut_lineage
 
 #: Hash permutations, words of a shingle.
 HASHES, WORDS = 128, 5
+#: Bands, values of a band, least Jaccard similarity, texts compared in full in one piece. A pair at the least similarity
+#: shares a band with 99.8 %.
+BANDS, DEPTH, SIMILAR, PIECE = 21, 6, 0.8, 64
 #: Bytes of text hashed at a time.
 BATCH_BYTES = 1 << 20
 #: Ranges of ids for each shuffle partition.
@@ -69,6 +75,47 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
+def word_set(text: str) -> set[tuple[bytes, ...]]:
+    words = text.encode().lower().split()
+    return {tuple(words[i:i + WORDS]) for i in range(len(words) - WORDS + 1)} or ({tuple(words)} if words else set())
+
+
+def band_hashes(prints: np.ndarray) -> np.ndarray:
+    """One number for each of BANDS stretches of DEPTH values of each fingerprint."""
+    out = np.empty((len(prints), BANDS), np.uint64)
+    for band in range(BANDS):
+        h = np.full(len(prints), _B[band] | np.uint64(1))
+        for j in range(DEPTH):
+            h = mixed(h + prints[:, band * DEPTH + j].astype(np.uint64) * _A[band])
+        out[:, band] = h
+    return out
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id, the least doc_id among the texts joined by links of similarity SIMILAR or more, for every
+    document. Texts are known by 64-bit hashes; a class of null ids alone has a null id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text"))
+
+    def run(batch):
+        texts = batch.column("text").to_pylist()
+        for a, b in slices(map(len, texts), BATCH_BYTES):
+            values = band_hashes(minhashes([t.encode() for t in texts[a:b]])).view(np.int64)
+            yield {"doc_id": batch.column("doc_id").slice(a, b - a), "node": batch.column("node").slice(a, b - a),
+                   "bands": list(values)}
+
+    prints = cut_lineage(arrow_map(rows, run, "doc_id long, node long, bands array<long>"))
+    members = cut_lineage(band_members(prints))
+    pairs = members.select("centre", "node").distinct()
+    wanted = members.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
+    texts = cut_lineage(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    roots = components(all_links(members, pairs, texts, word_set, SIMILAR, PIECE))
+    nodes = cut_lineage(prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
+                        .select("node", "least", F.coalesce("root", "node").alias("root")))
+    named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
+    return prints.select("doc_id", "node").join(named, "node", "left").select("doc_id", "class_id")
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half (rounded down) replaced by as many code points, or all, from the next one's start."""
     half = len(text) // 2
@@ -82,7 +129,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = partitions(docs)
     steps = [i / (RANGES * n) for i in range(1, RANGES * n)]
     cuts = docs.select(F.col("doc_id").cast("double").alias("at")).approxQuantile("at", steps, 1 / (8 * RANGES * n))
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="at", outputCol="range", handleInvalid="keep").transform(
         rows.withColumn("at", F.col("doc_id").cast("double"))).withColumn("range", F.col("range").cast("int")).drop("at")
     # One row for each range, so this is as small as the list of cuts.

@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelake.llm.common import arrow_map, binary_sizes, hashable, mixed, partitions, powers, ship, slices
-from featurelake.llm.components import bounded_groups, components, hook, whole_groups
+from featurelake.llm.banding import all_links, band_members
+from featurelake.llm.common import arrow_map, binary_sizes, hashable, mixed, powers, slices
+from featurelake.llm.components import components
 from featurelake.session import cut_lineage
 
 #: Characters of a shingle, bands, values of a band, least Jaccard similarity, lines compared in full in one piece.
@@ -56,14 +57,9 @@ def shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def jaccard(a: set, b: set) -> float:
-    common = len(a & b)
-    return common / (len(a) + len(b) - common)
-
-
-def similar(a: set, b: set, least: float = SIMILAR) -> bool:
-    small, large = sorted((len(a), len(b)))
-    return small >= least * large and jaccard(a, b) >= least
+def line_set(line: str) -> set[str]:
+    """Shingles of a line as it stands in a text."""
+    return shingles(plain(line))
 
 
 def bands(lines: list[str]) -> np.ndarray:
@@ -132,14 +128,6 @@ def line_table(docs: DataFrame) -> DataFrame:
                      "__id long, __hash long, line_no int, line long, bands array<long>")
 
 
-def band_members(lines: DataFrame) -> DataFrame:
-    """bucket, centre (its least node) and node (any other) for every bucket of more than one node."""
-    cells = lines.filter(F.size("bands") > 0).select("line", F.explode("bands").alias("bucket"))
-    shared = (cells.groupBy("bucket").agg(F.min("line").alias("centre"), F.max("line").alias("most"))
-              .filter("centre <> most").select("bucket", "centre"))
-    return cells.join(shared, "bucket").filter("line <> centre").select("bucket", "centre", F.col("line").alias("node"))
-
-
 def line_texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """line and its text for every wanted node (distinct, column line), cut out of the first document that holds it."""
     at = (lines.join(wanted, "line", "left_semi").groupBy("line")
@@ -152,70 +140,15 @@ def line_texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFram
     return found.select(F.explode(picked).alias("c")).select("c.*").dropDuplicates(["line"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links a, b among candidate pairs (centre, node) by exact Jaccard similarity."""
-    left = texts.select(F.col("line").alias("centre"), F.col("text").alias("centre_text"))
-    right = texts.select(F.col("line").alias("node"), F.col("text").alias("node_text"))
-    both = pairs.join(left, "centre").join(right, "node")
-
-    def run(batch):
-        a, b = [], []
-        known: tuple[str, set] = ("", set())
-        for i, (x, y) in enumerate(zip(batch.column("centre_text"), batch.column("node_text"))):
-            x = x.as_py()
-            if known[0] != x:
-                known = (x, shingles(plain(x)))
-            if similar(known[1], shingles(plain(y.as_py()))):
-                a.append(batch.column("centre")[i].as_py())
-                b.append(batch.column("node")[i].as_py())
-        yield {"a": a, "b": b}
-
-    return arrow_map(both, run, "a long, b long")
-
-
-def remaining_links(members: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
-    """Links inside buckets whose nodes lie in different components although every one has met the centre."""
-    names = components(linked).withColumnRenamed("node", "line")
-    centres = members.groupBy("bucket").agg(F.min("centre").alias("line"))
-    nodes = members.select("bucket", F.col("node").alias("line")).distinct().unionByName(centres)
-    placed = cut_lineage(nodes.join(names, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root")))
-    open_ = (placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-             .filter("low <> high AND n > 2").select("bucket"))
-    rest = cut_lineage(placed.join(open_, "bucket", "left_semi"))
-    pieces = bounded_groups(rest, ["bucket"], "line", PIECE)
-    keys = ["bucket", "piece_a", "piece_b"]
-    together = pieces.join(texts, "line").repartition(partitions(texts), *keys).sortWithinPartitions(*keys)
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for table, starts in whole_groups(batches, keys, 2 * PIECE):
-            nodes, roots = table.column("line").to_numpy(), table.column("root").to_numpy()
-            sets = [shingles(plain(t)) for t in table.column("text").to_pylist()]
-            a, b = [], []
-            for start, end in zip(starts, starts[1:]):
-                _, labels = np.unique(roots[start:end], return_inverse=True)
-                labels = np.array([np.flatnonzero(labels == x)[0] for x in labels])
-                for i in range(end - start):
-                    for j in range(i):
-                        if labels[i] != labels[j] and similar(sets[start + i], sets[start + j]):
-                            hook(labels, np.array([i]), np.array([j]))
-                            a.append(nodes[start + i])
-                            b.append(nodes[start + j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kinds)
-
-    return ship(together).mapInArrow(run, "a long, b long")
-
-
 def line_classes(docs: DataFrame) -> DataFrame:
     """Every line of the keyed documents that is not blank: __id, __hash, line_no, the place of the line its component
     keeps (class_id, class_hash, class_line_no), and whether it is that line (kept)."""
     lines = cut_lineage(line_table(docs))
-    members = cut_lineage(band_members(lines))
+    members = cut_lineage(band_members(lines.withColumnRenamed("line", "node")))
     pairs = members.select("centre", "node").distinct()
     wanted = members.select(F.explode(F.array("centre", "node")).alias("line")).distinct()
-    texts = cut_lineage(line_texts(docs, lines, wanted))
-    linked = cut_lineage(verified(pairs, texts))
-    names = components(cut_lineage(linked.unionByName(remaining_links(members, texts, linked)))).withColumnRenamed("node", "line")
+    texts = cut_lineage(line_texts(docs, lines, wanted)).withColumnRenamed("line", "node")
+    names = components(all_links(members, pairs, texts, line_set, SIMILAR, PIECE)).withColumnRenamed("node", "line")
     firsts = lines.groupBy("line").agg(F.min(F.struct("__id", "__hash", "line_no")).alias("first"))
     of_root = names.join(firsts, "line").groupBy("root").agg(F.min("first").alias("class"))
     classes = firsts.join(names.join(of_root, "root").select("line", "class"), "line", "left") \
