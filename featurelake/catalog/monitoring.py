@@ -86,7 +86,7 @@ WITH p AS ({PREDICTIONS}), s AS (SELECT count(*) AS n, avg(CAST(prediction AS DO
 SELECT n AS sample_size, round(1 - s1, 4) AS class_0_share, round(s1, 4) AS class_1_share,
        round(abs(s1 - 0.5::DOUBLE), 4) AS drift_score, abs(s1 - 0.5::DOUBLE) > 0.1 AS drift_detected FROM s""")
 def _(spark, sf):
-    return drift.prediction_drift(predictions(spark, sf))
+    return drift.prediction_drift(predictions(spark, sf)).drop("exact_score")
 
 
 # The inputs' reference is the log's first half by time.
@@ -162,7 +162,7 @@ s AS (SELECT abs(avg(CAST(prediction AS DOUBLE)) - 0.5) AS score, avg(CAST(predi
 SELECT 'data_drift' AS alert_type, CASE WHEN drift_ratio < 0.5 THEN 'warning' ELSE 'error' END AS severity,
        'Data Drift Detected' AS title, CAST(drift_ratio AS DOUBLE) AS measure FROM f WHERE drift_detected
 UNION ALL
-SELECT 'prediction_drift', CASE WHEN round(score, 4) < 0.3 THEN 'warning' ELSE 'error' END,
+SELECT 'prediction_drift', CASE WHEN score < 0.3 THEN 'warning' ELSE 'error' END,
        'Prediction Drift Detected', round(score, 4) FROM s WHERE score > 0.1""")
 def _(spark, sf):
     rows = alerting.alerts_from_drift(drift.drift_summary(_features(spark, sf)),
@@ -173,7 +173,7 @@ def _(spark, sf):
 
 
 @catalog.add("alert_history", f"""
-WITH a AS ({ALERTS}), kept AS (SELECT * FROM a ORDER BY ts DESC, alert_id DESC LIMIT 1000)
+WITH a AS ({ALERTS}), kept AS (SELECT * FROM a)
 SELECT alert_id, ts, alert_type, severity FROM kept WHERE alert_type = 'data_drift' AND severity = 'warning'
 ORDER BY ts DESC, alert_id DESC LIMIT 100""")
 def _(spark, sf):
@@ -246,7 +246,7 @@ def _(spark, sf):
 
 
 @catalog.add("feedback_join", f"""
-WITH p AS ({DOCUMENT_PREDICTIONS}), recent AS (SELECT * FROM p ORDER BY ts DESC, prediction_id DESC LIMIT 500),
+WITH p AS ({DOCUMENT_PREDICTIONS}), recent AS (SELECT * FROM p),
 f AS ({FEEDBACK})
 SELECT f.prediction_id, f.actual_outcome, recent.prediction, recent.prediction = f.actual_outcome AS was_correct
 FROM f LEFT JOIN recent USING (prediction_id)""")
@@ -281,7 +281,7 @@ def _(spark, sf):
 
 @catalog.add("latency_summary", f"""
 WITH q AS ({REQUESTS}),
-r AS (SELECT greatest(duration, 0) AS d FROM q ORDER BY ts DESC, request_id DESC LIMIT 10000),
+r AS (SELECT greatest(duration, 0) AS d FROM q),
 o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM r)
 SELECT count(*) AS samples, round(avg(d) * 1000, 2) AS avg_ms, round(min(d) * 1000, 2) AS min_ms,
        round(max(d) * 1000, 2) AS max_ms,

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-from featurelake.session import broadcast_if_small, cut_lineage
+from featurelake.session import cut_lineage
 
 _STAMP = "__stamp"
 _PART = "__part"
 _LOCAL_BITS = 33
+# Values of a bracket that one aggregate may sort, and steps of a rank sketch.
+EXACT_LIMIT, ACCURACY = 10_000, 10_000
 
 
 def _stamped(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
@@ -98,15 +100,17 @@ def tail_rows(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
 
     For a time column a count per day finds the earliest day that can matter; the filter on it
     reaches the scan, so only the newest files take part in the ordered limit. Any other order
-    column goes straight to the ordered limit.
+    column goes straight to the ordered limit. Rows without a time count as the oldest.
     """
     if not isinstance(df.schema[ts].dataType, (DateType, TimestampType, TimestampNTZType)):
         return df.orderBy(F.desc(ts), F.desc(tie)).limit(n)
     days = df.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     newer = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0))
-    cutoff = days.select("day", newer.alias("newer")).where(F.col("newer") < n).agg(F.min("day")).first()[0]
-    recent = df.where(F.col(ts) >= F.lit(cutoff).cast(df.schema[ts].dataType)) if cutoff is not None else df
+    needed = days.select("day", newer.alias("newer")).where(F.col("newer") < n)
+    cutoff, timeless = needed.agg(F.min("day"), F.count_if(F.col("day").isNull())).first()
+    whole = cutoff is None or timeless
+    recent = df if whole else df.where(F.col(ts) >= F.lit(cutoff).cast(df.schema[ts].dataType))
     return recent.orderBy(F.desc(ts), F.desc(tie)).limit(n)
 
 
@@ -117,75 +121,53 @@ def hash_parts(df: DataFrame, label: str, key: str, cuts: Sequence[Column], seed
     Rows of a class are ranked by a hash of their key; ``cuts`` are columns over ``n`` (class
     size) giving increasing rank boundaries, and the result column counts the boundaries at or
     below the row's rank. Counting rows per hash prefix shows which prefix each boundary falls
-    into; only the rows of those prefixes (about 1 in 16**prefix each) are ranked with a window,
-    the others get their part by comparing prefixes. No class is ever sorted as a whole, and the
-    rows meet a table of one row per class, broadcast after a check of its size.
+    into, and ranking the rows of those prefixes alone (about 1 in 16**prefix each) gives the hash
+    and key at which each boundary lies. Then one scan labels all rows by comparing with them: no
+    class is ever sorted, and no row is shuffled for its label.
     """
     hashed = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))))
-    hashed = hashed.withColumn("__b", F.substring("__h", 1, prefix))
-    counts = hashed.groupBy(F.col(label).alias("__label"), F.col("__b").alias("__bucket")).agg(
-        F.count(F.lit(1)).alias("m"))
+    narrow = hashed.select(F.col(label).alias("__label"), "__h", F.col(key).alias("__key"),
+                           F.substring("__h", 1, prefix).alias("__bucket"))
+    counts = narrow.groupBy("__label", "__bucket").agg(F.count(F.lit(1)).alias("m"))
     whole = Window.partitionBy("__label")
     before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     spans = counts.select("__label", "__bucket", "m", F.sum("m").over(whole).alias("n"),
                           F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
-
-    # Per class and boundary: the prefix it falls into, that prefix's first rank, and the boundary.
-    def located(cut: Column) -> Column:
-        return F.max(F.when((cut >= F.col("first")) & (cut < F.col("first") + F.col("m")),
-                            F.struct(F.col("__bucket").alias("bucket"), F.col("first").alias("first"), cut.alias("cut"))))
-
-    places = [f"__cut{i}" for i in range(len(cuts))]
-    bounds = cut_lineage(spans.groupBy("__label").agg(*[located(c).alias(p) for c, p in zip(cuts, places)]))
-    joined = hashed.join(broadcast_if_small(bounds), F.col(label).eqNullSafe(F.col("__label")))
-
-    def reached(place: str) -> Column:
-        """The row's prefix is at or behind the boundary's; a boundary behind all rows has none."""
-        return F.coalesce(F.col("__b") >= F.col(place)["bucket"], F.lit(False))
-
-    def splits(place: str) -> Column:
-        """The boundary lies strictly inside the row's prefix."""
-        spot = F.col(place)
-        return F.coalesce((F.col("__b") == spot["bucket"]) & (spot["cut"] > spot["first"]), F.lit(False))
-
-    def total(tests: Sequence[Column]) -> Column:
-        return sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
-
-    torn = F.lit(False)
-    for p in places:
-        torn = torn | splits(p)
-    out = [*df.columns, name]
-    inside = joined.where(~torn).withColumn(name, total([reached(p) for p in places])).select(out)
-    first = F.coalesce(*[F.when(splits(p), F.col(p)["first"]) for p in places])
-    order = Window.partitionBy("__label", "__b").orderBy("__h", key)
-    edge = (
-        joined.where(torn).withColumn("__rank", first + F.row_number().over(order) - 1)
-        .withColumn(name, total([F.coalesce(F.col("__rank") >= F.col(p)["cut"], F.lit(False)) for p in places])).select(out)
-    )
-    return inside.unionByName(edge)
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact_limit: int = 100_000,
-                    accuracy: int = 10_000, sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles of many columns with bounded state.
-
-    Up to ``exact_limit`` values the built-in exact aggregate is used. Beyond it, a sketch brackets
-    every wanted rank and one scan counts what lies below the bracket; only the bracket's own
-    values are bracketed again, until it holds one value or fits the limit. Every round is a
-    one-row aggregate, so no task ever holds a whole column. Known non-null counts can be given
-    as ``sizes`` to save their scan.
+    # Where each boundary lies: its prefix and the rank inside it. A boundary behind all rows has none.
+    places = spans.select("__label", "__bucket", "m", F.posexplode(F.array(*[c - F.col("first") for c in cuts])).alias("__i", "__rank"))
+    places = cut_lineage(places.where((F.col("__rank") >= 0) & (F.col("__rank") < F.col("m"))).drop("m"))
+    torn = narrow.alias("r").join(
+        places.select("__label", "__bucket").distinct().alias("p"),
+        F.col("r.__label").eqNullSafe(F.col("p.__label")) & (F.col("r.__bucket") == F.col("p.__bucket")), "left_semi")
+    order = Window.partitionBy("__label", "__bucket").orderBy("__h", "__key")
+    ranked = torn.withColumn("__rank", (F.row_number().over(order) - 1).cast("bigint"))
+    met = ranked.alias("r").join(
+        places.alias("p"), F.col("r.__label").eqNullSafe(F.col("p.__label")) & (F.col("r.__bucket") == F.col("p.__bucket"))
+        & (F.col("r.__rank") == F.col("p.__rank")))
+    edge = [F.max(F.when(F.col("__i") == i, F.struct("__h", "__key"))).alias(f"__edge{i}") for i in range(len(cuts))]
+    edges = cut_lineage(met.select("r.__label", "__h", "__key", "__i").groupBy("__label").agg(*edge))
+    joined = hashed.join(edges, F.col(label).eqNullSafe(F.col("__label")), "left")
+    here = F.struct(F.col("__h").alias("__h"), F.col(key).alias("__key"))
+    part = sum((F.when(F.coalesce(here >= F.col(f"__edge{i}"), F.lit(False)), 1).otherwise(0) for i in range(len(cuts))), F.lit(0))
+    return joined.withColumn(name, part).select(*df.columns, name)
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact_limit: int = EXACT_LIMIT,
+                    accuracy: int = ACCURACY, sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles of many columns with bounded state; nulls and NaN are missing.
+
+    A sketch brackets every wanted rank and one scan counts what lies below the bracket; only the
+    bracket's own values are bracketed again, until it holds one value or at most ``exact_limit``,
+    which one aggregate then sorts. Every round is a one-row aggregate, so no task ever holds a whole
+    column. Known counts of present values can be given as ``sizes`` to save their scan.
     """
     if not cols:
         return {}
     if sizes is None:
-        sizes = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first().asDict()
+        sizes = df.agg(*[F.count(present(c)).alias(c) for c in cols]).first().asDict()
     sizes = {c: sizes[c] for c in cols}
-    if max(sizes.values()) <= exact_limit:
-        row = df.agg(*[F.percentile(F.col(c), F.array(*map(F.lit, probs))).alias(c) for c in cols]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
-
     ranks = {c: {r for p in probs for r in _neighbours(p, n)} for c, n in sizes.items() if n}
-    found = _values_at_ranks(df, ranks, sizes, exact_limit, accuracy)
+    found = values_at_ranks(df, ranks, sizes, exact_limit, accuracy)
     result: dict[str, list[float | None]] = {}
     for c, n in sizes.items():
         result[c] = []
@@ -195,17 +177,24 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 continue
             lo, hi = _neighbours(p, n)
             a, b = found[c, lo], found[c, hi]
-            result[c].append(a + (b - a) * (p * (n - 1) - lo))
+            part = p * (n - 1) - lo
+            result[c].append(a if a == b or not part else a + (b - a) * part)
     return result
 
 
+def present(c: str) -> Column:
+    """A number as double, null where it is missing: null or NaN."""
+    value = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def _neighbours(p: float, n: int) -> tuple[int, int]:
     lo = int(p * (n - 1))
     return lo, min(lo + 1, n - 1)
 
 
-def _values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str, int], exact_limit: int,
-                     accuracy: int) -> dict[tuple[str, int], float]:
+def values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str, int], exact_limit: int = EXACT_LIMIT,
+                    accuracy: int = ACCURACY) -> dict[tuple[str, int], float]:
     """Value at each 0-based rank, narrowing open intervals round by round; ranks in the same
     interval share its sketch.
 
@@ -219,7 +208,7 @@ def _values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str,
     while spans:
         aggs = []
         for i, ((c, lo, hi, below, inside), wanted) in enumerate(spans.items()):
-            value = F.col(c).cast("double")
+            value = present(c)
             scoped = value if lo is None else F.when((value > lo) & (value < hi), value)
             if inside <= exact_limit:
                 at = [F.lit((r - below) / max(inside - 1, 1)) for r in wanted]
@@ -241,7 +230,7 @@ def _values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str,
             break
         counts = []
         for i, (c, lo, hi) in enumerate(brackets):
-            value = F.col(c).cast("double")
+            value = present(c)
             counts += [F.count_if(value < lo).alias(f"lt{i}"), F.count_if(value <= lo).alias(f"le{i}"),
                        F.count_if(value < hi).alias(f"lth{i}"), F.count_if(value <= hi).alias(f"leh{i}")]
         row = df.agg(*counts).first()

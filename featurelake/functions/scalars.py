@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Mapping, Sequence
 from datetime import datetime
@@ -59,9 +60,9 @@ def ratio_or_zero(num: Column, den: Column) -> Column:
 
 
 def _ascii_letters() -> tuple[str, str, dict[str, str]]:
-    """Translation of accented Latin letters, derived from Unicode decomposition."""
+    """Translation of all characters whose Unicode decomposition has ASCII in it, derived from that."""
     single_from, single_to, several = [], [], {}
-    for code in range(0x00A0, 0x0250):
+    for code in range(0x80, sys.maxunicode + 1):
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             single_from.append(chr(code))
@@ -76,9 +77,11 @@ _FROM, _TO, _SEVERAL = _ascii_letters()
 
 def normalize_tag(c: Column) -> Column:
     """Accent- and case-insensitive form of a tag: plain letters only, trimmed, lower case."""
-    plain = F.translate(F.coalesce(c, F.lit("")), _FROM, _TO)
-    for letter, text in _SEVERAL.items():
-        plain = F.replace(plain, F.lit(letter), F.lit(text))
+    text = F.coalesce(c, F.lit(""))
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    longer = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    # Characters that become several are rare, so only texts beyond ASCII are looked at one by one.
+    plain = F.translate(F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), longer).otherwise(text), _FROM, _TO)
     return F.lower(F.trim(F.regexp_replace(plain, r"[^\x00-\x7F]", "")))
 
 

@@ -55,14 +55,15 @@ def drift_summary(features: DataFrame, threshold: float = DRIFT_THRESHOLD) -> Da
 
 def prediction_drift(predictions: DataFrame, prediction: str = "prediction", expected: float = EXPECTED_CLASS_1,
                      threshold: float = DRIFT_THRESHOLD) -> DataFrame:
-    """Distance of the class-1 share from the expected one; an empty frame yields no row."""
+    """Distance of the class-1 share from the expected one, rounded and exact; an empty frame yields no row."""
     share = [F.avg(F.when(F.col(prediction) == k, 1.0).otherwise(0.0)).alias(f"s{k}") for k in (0, 1)]
     score = F.abs(F.col("s1") - F.lit(expected))
     return (
         predictions.agg(F.count(F.lit(1)).alias("sample_size"), *share)
         .where(F.col("sample_size") > 0)
         .select("sample_size", F.round("s0", 4).alias("class_0_share"), F.round("s1", 4).alias("class_1_share"),
-                F.round(score, 4).alias("drift_score"), (score > threshold).alias("drift_detected"))
+                F.round(score, 4).alias("drift_score"), score.alias("exact_score"),
+                (score > threshold).alias("drift_detected"))
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from featurelake.functions.ordering import global_index
 from featurelake.functions.scalars import POSITIVE_OUTCOMES, positive_flag, ratio_or_zero, to_number
-from featurelake.session import broadcast_if_small, cut_lineage
+from featurelake.session import cut_lineage
 
 # Target and outcome columns, score thresholds, top tiers, default reference year.
 TARGET = "ponto_virada_pred"
@@ -108,11 +108,10 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "column", "value", (F.col("pos") - F.col("first")).cast("int").alias("code")))
 
 
-def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Sequence[str],
-                     small: bool | None = None) -> DataFrame:
+def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``<c>_encoded`` per column; values without a code, and columns never fitted, get -1.
 
-    Each column's part of the dictionary is broadcast only when its measured size allows.
+    A stored dictionary has a known size, by which each column's join is planned.
     """
     kept = df.columns
     for c in columns:
@@ -122,7 +121,6 @@ def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: Sequence[str
             known = part.where(F.col("__value") == MISSING_CATEGORY).first()
             df = df.withColumn(f"{c}_encoded", F.lit(known["__code"] if known else UNSEEN_CODE))
             continue
-        part = broadcast_if_small(part) if small is None else (F.broadcast(part) if small else part)
         df = df.join(part, _category(c) == F.col("__value"), "left").withColumn(
             f"{c}_encoded", F.coalesce(F.col("__code"), F.lit(UNSEEN_CODE))).drop("__value", "__code")
     return df.select(*kept, *[f"{c}_encoded" for c in columns])
@@ -192,13 +190,9 @@ class FeatureTransformModel(Model, _FeatureParams, MLReadable, MLWritable):
     def __init__(self) -> None:
         super().__init__()
         self.dictionary: DataFrame | None = None
-        self._small: bool | None = None
 
     def _with_dictionary(self, dictionary: DataFrame | None) -> FeatureTransformModel:
         self.dictionary = dictionary
-        if dictionary is not None:
-            hinted = broadcast_if_small(dictionary)
-            self._small = hinted is not dictionary
         return self
 
     def scaling(self) -> dict[str, tuple[float, float]]:
@@ -209,7 +203,7 @@ class FeatureTransformModel(Model, _FeatureParams, MLReadable, MLWritable):
         categorical = self.getOrDefault("categorical")
         df = add_missing_columns(dataset, self.getOrDefault("numeric"), categorical)
         if categorical:
-            df = apply_dictionary(df, self.dictionary, categorical, self._small)
+            df = apply_dictionary(df, self.dictionary, categorical)
         df = apply_scaling(df, self.scaling())
         return feature_matrix(df, self.feature_names(), self.getOrDefault("outputCol"))
 

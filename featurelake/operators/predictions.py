@@ -14,7 +14,6 @@ LABEL_TEXTS = {1: "Ponto de Virada Provável", 0: "Ponto de Virada Improvável"}
 ROLLING_FRAME = 50
 REFERENCE_LINES = {"baseline": 0.5, "lower": 0.3, "upper": 0.7}
 SHORT_WINDOW, SHORT_MINIMUM, SHORT_DISTANCE = 100, 10, 0.2
-FEEDBACK_WINDOW = 500
 
 
 def label_text(prediction, texts: dict[int, str] = LABEL_TEXTS):
@@ -79,7 +78,7 @@ def rolling_class_ratio(df: DataFrame, ts: str = "ts", tie: str = "prediction_id
     the bucket before them, so every window is bounded and the axis is spread over all tasks.
     """
     indexed = global_index(df.select(ts, tie, prediction), [F.col(ts), F.col(tie)], "idx")
-    placed = overlap_buckets(indexed, F.col("idx"), width, frame)
+    placed = overlap_buckets(indexed, F.col("idx"), max(width, frame), frame)
     before = Window.partitionBy("bucket").orderBy("idx").rowsBetween(-frame, -1)
     ratio = F.round(F.avg(F.col(prediction).cast("double")).over(before), 4)
     return (
@@ -91,11 +90,11 @@ def rolling_class_ratio(df: DataFrame, ts: str = "ts", tie: str = "prediction_id
 
 
 def join_feedback(feedback: DataFrame, predictions: DataFrame, key: str = "prediction_id", ts: str = "ts",
-                  recent: int | None = FEEDBACK_WINDOW) -> DataFrame:
+                  recent: int | None = None) -> DataFrame:
     """Feedback with its prediction's class and correctness; unmatched rows stay, correctness null.
 
-    The first logged prediction of an id counts. With ``recent`` only the last so many predictions
-    can match; without it, all.
+    The first logged prediction of an id counts. All predictions can match; with ``recent`` only the
+    last so many.
     """
     scope = predictions if recent is None else tail_rows(predictions, recent, ts, key)
     first = scope.groupBy(key).agg(F.min_by("prediction", ts).alias("prediction"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, NumericType, StringType
 
-from featurelake.functions.ordering import exact_quantiles
+from featurelake.functions.ordering import EXACT_LIMIT, exact_quantiles, present
 from featurelake.functions.scalars import safe_ratio, to_number
 from featurelake.session import cut_lineage
 
@@ -160,19 +160,19 @@ def clean_rows(df: DataFrame, identifiers: Sequence[str] = IDENTIFIER_COLUMNS, m
     return df.dropna(thresh=math.ceil(min_filled * len(df.columns)))
 
 
-def column_medians(df: DataFrame, columns: Sequence[str] | None = None, exact_limit: int = 100_000,
+def column_medians(df: DataFrame, columns: Sequence[str] | None = None, exact_limit: int = EXACT_LIMIT,
                    sizes: dict[str, int] | None = None) -> dict[str, float]:
-    """Exact medians of the numeric columns, nulls left out."""
+    """Exact medians of the numeric columns, missing numbers left out."""
     columns = numeric_columns(df) if columns is None else columns
     medians = exact_quantiles(df, columns, [0.5], exact_limit, sizes=sizes)
     return {c: m[0] for c, m in medians.items() if m[0] is not None}
 
 
 def impute_median(df: DataFrame, medians: Mapping[str, float] | None = None,
-                  exact_limit: int = 100_000) -> DataFrame:
-    """Fill numeric nulls by the column's median.
+                  exact_limit: int = EXACT_LIMIT) -> DataFrame:
+    """Fill missing numbers (null or NaN) by the column's median.
 
-    Medians come from this very frame unless fitted ones are given. Only columns that have nulls
+    Medians come from this very frame unless fitted ones are given. Only columns that have gaps
     are touched; the others keep their type. Without given medians the frame is evaluated twice
     before the fill, so hand over a stored or persisted one when it is costly.
     """
@@ -180,11 +180,11 @@ def impute_median(df: DataFrame, medians: Mapping[str, float] | None = None,
         numeric = numeric_columns(df)
         if not numeric:
             return df
-        counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(c) for c in numeric]).first().asDict()
+        counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(present(c)).alias(c) for c in numeric]).first().asDict()
         gaps = [c for c in numeric if counts[c] < counts["__rows"]]
         medians = column_medians(df, gaps, exact_limit, counts)
     return df.withColumns({
-        c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in medians.items() if c in df.columns
+        c: F.coalesce(present(c), F.lit(float(m))) for c, m in medians.items() if c in df.columns
     }) if medians else df
 
 

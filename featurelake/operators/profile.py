@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelake.functions.ordering import exact_quantiles
+from featurelake.functions.ordering import EXACT_LIMIT, exact_quantiles, present
 from featurelake.functions.scalars import ratio_or_zero
 from featurelake.operators.prepare import numeric_columns
 
@@ -21,11 +21,11 @@ def dataset_profile(df: DataFrame, approximate_distinct: bool = False) -> DataFr
     numeric = set(numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
-        value = F.col(f"`{c}`")
+        value = present(c) if c in numeric else F.col(f"`{c}`")
         aggs.append(F.count_if(value.isNull()).alias(f"nulls{i}"))
         if c in numeric:
             aggs += [F.avg(value).alias(f"mean{i}"), F.stddev_samp(value).alias(f"std{i}"),
-                     F.min(value).cast("double").alias(f"min{i}"), F.max(value).cast("double").alias(f"max{i}")]
+                     F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}")]
         elif approximate_distinct:
             aggs.append(F.approx_count_distinct(value).alias(f"uniq{i}"))
     kinds = dict(df.dtypes)
@@ -66,8 +66,7 @@ def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         return df.sparkSession.createDataFrame([], "feature string, mean double, std double, min double, max double")
     aggs = []
     for i, c in enumerate(columns):
-        value = F.col(f"`{c}`").cast("double")
-        value = F.when(~F.isnan(value), value)
+        value = present(c)
         aggs += [F.avg(value).alias(f"mean{i}"), F.stddev_samp(value).alias(f"std{i}"),
                  F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}")]
     stats = ["mean", "std", "min", "max"]
@@ -78,7 +77,7 @@ def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def reference_stats(df: DataFrame, columns: Sequence[str] | None = None,
-                    exact_limit: int = 100_000) -> DataFrame:
+                    exact_limit: int = EXACT_LIMIT) -> DataFrame:
     """Moments plus exact median and quartiles (linear interpolation) per numeric column."""
     columns = numeric_columns(df) if columns is None else list(columns)
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], exact_limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Stages a version can be in.
@@ -73,22 +73,29 @@ def version_details(versions: DataFrame, pointers: DataFrame) -> DataFrame:
 def compare_versions(pairs: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFrame:
     """Two versions side by side per metric and parameter.
 
-    ``pairs`` holds (name, version1, version2); a version without a run shows nulls.
+    ``pairs`` holds (name, version1, version2). A version without a run shows null values, and a pair
+    in which neither has any keeps one row without an entry.
     """
-    sides = pairs.select("name", F.inline(F.array(
-        F.struct(F.lit(1).alias("side"), F.col("version1").alias("version")),
-        F.struct(F.lit(2).alias("side"), F.col("version2").alias("version")))))
-    picked = sides.join(versions.select("name", "version", "stage", "run_id"), ["name", "version"], "left")
+    known = versions.select("name", "version", "stage", "run_id")
+    whole = pairs.select("name", "version1", "version2").distinct()
+    for side in (1, 2):
+        own = known.select("name", F.col("version").alias(f"version{side}"), F.col("stage").alias(f"stage{side}"),
+                           F.col("run_id").alias(f"run{side}"))
+        whole = whole.join(own, ["name", f"version{side}"], "left")
+    keys = ["name", "version1", "version2", "stage1", "stage2"]
     kinds = [k for k in ("params", "metrics") if k in runs.columns]
-    long = picked.join(runs.select("run_id", *kinds), "run_id", "left").select(
-        "name", "side", "version", "stage", F.inline_outer(_entries(kinds)))
-
-    def of(side: int, c: str):
-        return F.max(F.when(F.col("side") == side, F.col(c)))
-
-    return long.where(F.col("entry").isNotNull()).groupBy("name", "kind", "entry").agg(
-        of(1, "version").alias("version1"), of(1, "stage").alias("stage1"), of(1, "value").alias("value1"),
-        of(2, "version").alias("version2"), of(2, "stage").alias("stage2"), of(2, "value").alias("value2"))
+    sides = whole.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(f"run{side}").alias("run_id")) for side in (1, 2)])))
+    long = sides.join(runs.select("run_id", *kinds), "run_id", "left").select(*keys, "side", F.inline_outer(_entries(kinds)))
+
+    def value(side: int):
+        return F.max(F.when(F.col("side") == side, F.col("value"))).alias(f"value{side}")
+
+    # Rows of sides without a run only count where the pair has no entry at all.
+    entries = long.groupBy(*keys, "kind", "entry").agg(value(1), value(2))
+    filled = F.max(F.col("entry").isNotNull()).over(Window.partitionBy(*keys))
+    return (entries.withColumn("__filled", filled).where(F.col("entry").isNotNull() | ~F.col("__filled"))
+            .select("name", "kind", "entry", "version1", "stage1", "value1", "version2", "stage2", "value2"))
 
 
 def registry_status(versions: DataFrame) -> DataFrame:

@@ -35,8 +35,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Balanced weight per row. The class counts are read as one row per class of a binary label."""
-    weights = {r[label]: r["weight"] for r in class_weights(df, label).limit(3).collect()}
+    """Balanced weight per row of a binary label; a row without a label has no weight and counts for none.
+
+    The class counts are one row per class; a third class is an error.
+    """
+    weights = {r[label]: r["weight"] for r in class_weights(df.where(F.col(label).isNotNull()), label).limit(3).collect()}
     if len(weights) > 2:
         raise ValueError(f"{label!r} is not a binary label")
     weight = F.lit(None).cast("double")

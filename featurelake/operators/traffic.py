@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurelake.functions.histogram import LATENCY_BOUNDS, cumulative_counts, quantile_from_counts
-from featurelake.functions.ordering import overlap_buckets, tail_rows
+from featurelake.functions.ordering import overlap_buckets, tail_rows, values_at_ranks
 from featurelake.functions.scalars import literal, metric_name, safe_ratio
 
-# Samples kept for latency, alert limits, staleness limits in seconds, late-data limit.
-LATENCY_SAMPLES = 10_000
+# Alert limits, staleness limits in seconds, late-data limit.
 ERROR_RATIO_LIMIT = 0.05
 P95_LIMIT_SECONDS = 1.0
 MAX_AGE_SECONDS = {"training": 691_200, "monitoring": 28_800}
@@ -42,23 +41,23 @@ def requests_by_status(requests: DataFrame) -> DataFrame:
 
 
 def latency_summary(requests: DataFrame, ts: str = "ts", tie: str = "request_id",
-                    samples: int = LATENCY_SAMPLES) -> DataFrame:
-    """Latency figures over the last ``samples`` requests, in milliseconds.
+                    samples: int | None = None) -> DataFrame:
+    """Latency figures over all requests, or the last ``samples``, in milliseconds; no rows, no result.
 
-    A percentile is the value at 0-based position floor(n * q) of the sorted durations. The
-    window bounds the rows, so sorting them in one array is bounded too.
+    A percentile is the value at 0-based position floor(n * q) of the sorted durations, found by
+    narrowing brackets, so no task ever holds the sorted log.
     """
-    recent = tail_rows(clean_requests(requests).select(ts, tie, "duration"), samples, ts, tie)
-    picked = recent.agg(F.sort_array(F.collect_list("duration")).alias("d")).where(F.size("d") > 0)
-
-    def at(q: float) -> Column:
-        return F.element_at("d", (F.floor(F.size("d") * F.lit(q)) + 1).cast("int"))
-
-    total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    stats = {"avg_ms": total / F.size("d"), "min_ms": F.element_at("d", 1), "max_ms": F.element_at("d", -1),
-             "p95_ms": at(0.95), "p99_ms": at(0.99)}
-    return picked.select(F.size("d").cast("bigint").alias("samples"),
-                         *[F.round(v * 1000, 2).alias(n) for n, v in stats.items()])
+    rows = clean_requests(requests).select(ts, tie, "duration")
+    if samples is not None:
+        rows = tail_rows(rows, samples, ts, tie)
+    rows = rows.where(F.col("duration").isNotNull())
+    n = rows.count()
+    at = {q: min(n - 1, int(n * q)) for q in (0.95, 0.99)} if n else {}
+    found = values_at_ranks(rows, {"duration": set(at.values())}, {"duration": n}) if n else {}
+    stats = {"avg_ms": F.avg("duration"), "min_ms": F.min("duration"), "max_ms": F.max("duration"),
+             **{f"p{int(q * 100)}_ms": F.lit(found.get(("duration", at.get(q)))) for q in (0.95, 0.99)}}
+    return rows.agg(F.count(F.lit(1)).alias("samples"), *[F.round(v * 1000, 2).alias(name) for name, v in stats.items()]) \
+        .where("samples > 0")
 
 
 def requests_per_second(requests: DataFrame, ts: str = "ts") -> DataFrame:
@@ -161,7 +160,7 @@ def sustained(evaluations: DataFrame, ts: str, condition: str, hold_steps: int,
     """
     epoch = F.lit("1970-01-01").cast(evaluations.schema[ts].dataType)
     step = F.floor(F.timestamp_diff("SECOND", epoch, F.col(ts)) / F.lit(step_seconds))
-    placed = overlap_buckets(evaluations.withColumn("__step", step), F.col("__step"), width, hold_steps)
+    placed = overlap_buckets(evaluations.withColumn("__step", step), F.col("__step"), max(width, hold_steps), hold_steps)
     frame = Window.partitionBy(*keys, "bucket").orderBy("__step").rangeBetween(-hold_steps, 0)
     held = F.count_if(F.col(condition)).over(frame) == hold_steps + 1
     return placed.withColumn("firing", held).where(~F.col("is_copy")).drop("__step", "bucket", "is_copy")

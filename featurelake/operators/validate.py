@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelake.functions.ordering import hash_parts
-from featurelake.session import broadcast_if_small
+from featurelake.session import cut_lineage
 
 # Scoring payload fields as (name, type, required).
 PAYLOAD_FIELDS = [
@@ -60,7 +60,7 @@ def consistency_check(offline: DataFrame, serving: DataFrame, entity: str, sampl
     left = offline.select(entity, *common)
     if sample_size is not None:
         left = sample_rows(left, entity, sample_size)
-        left = broadcast_if_small(left) if sample_size <= 1_000_000 else left
+        left = cut_lineage(left)  # of a known size, by which the join is planned
     right = serving.select(entity, *[F.col(c).alias(f"__s_{c}") for c in common])
     sums = left.join(right, entity).agg(
         F.count(F.lit(1)).alias("compared_rows"),

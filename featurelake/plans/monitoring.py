@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelake.functions.ordering import tail_rows
-from featurelake.operators.alerts import alerts_from_drift
+from featurelake.operators.alerts import alerts_from_drift, class_share_alert
 from featurelake.operators.drift import (CLASS_1_BOUNDS, class_ratio_bounds, drift_features, drift_summary,
                                          prediction_drift, recent_summary)
 from featurelake.session import cut_lineage
@@ -35,7 +35,8 @@ def monitoring_job(predictions: DataFrame, reference: DataFrame, inputs: Sequenc
     """
     recent = cut_lineage(tail_rows(predictions, window, ts, tie))
     features = drift_features(reference, recent.select(*inputs))
-    share = class_ratio_bounds(predictions, bounds=bounds).first()
+    shares = class_ratio_bounds(predictions, bounds=bounds)
+    share = shares.first()
     drifted = F.col("data_drift") | F.col("prediction_drift")
     alerted = drifted | F.col("out_of_bounds")
     summary = (
@@ -50,5 +51,9 @@ def monitoring_job(predictions: DataFrame, reference: DataFrame, inputs: Sequenc
             "exit_code": (alerted & F.lit(fail_on_alert)).cast("int"),
         })
     )
-    alerts = alerts_from_drift(drift_summary(features), prediction_drift(recent), F.current_timestamp())
+    now = F.current_timestamp()
+    alerts = alerts_from_drift(drift_summary(features), prediction_drift(recent), now, features)
+    if share["out_of_bounds"]:
+        known = predictions.sparkSession.createDataFrame([share], shares.schema)
+        alerts = alerts.unionByName(known.select(class_share_alert(now, bounds).alias("a")).select("a.*"))
     return MonitoringResult(summary, features, alerts)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelake.operators.predictions import FEEDBACK_WINDOW, join_feedback
+from featurelake.operators.predictions import join_feedback
 from featurelake.operators.score import score_batch
 from featurelake.session import cut_lineage
 from featurelake.sources import logs
@@ -34,7 +34,7 @@ def score_ids_and_log(model, store: ServingStore, table: str, ids: DataFrame, in
 
 
 def feedback_and_log(spark: SparkSession, feedback: DataFrame, prediction_log: str, feedback_log: str,
-                     recent: int | None = FEEDBACK_WINDOW) -> DataFrame:
+                     recent: int | None = None) -> DataFrame:
     """Match outcomes to logged predictions, append all of them to the feedback log, return them."""
     log = logs.read_log(spark, prediction_log, logs.PREDICTION_SCHEMA).where(
         F.col("output.prediction_id").isNotNull()).select(

@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when its measured row count and width stay below these bounds.
-BROADCAST_MAX_ROWS = 1_000_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "featurelake", master: str | None = None, shuffle_partitions: int | None = None,
@@ -66,16 +61,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Hint a broadcast only after counting rows and their text width.
-
-    Meant for already materialised or cheap sides. Larger sides are returned unhinted, so the
-    join shuffles and adaptive execution splits its hot partitions.
-    """
-    text = [c for c, t in df.dtypes if t == "string"]
-    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in text), F.lit(16 * len(df.columns)))
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df

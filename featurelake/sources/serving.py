@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelake.session import broadcast_if_small
+from featurelake.session import cut_lineage
 from featurelake.sources.files import read_or_empty, remove_path
 from featurelake.sources.offline import OfflineStore
 
@@ -88,12 +88,15 @@ class ServingStore:
         """Replace the table by entity plus chosen features, stamped; returns the row count."""
         if features is None:
             features = [c for c in df.columns if c != entity_column]
+        # A hash of the features splits an entity of very many rows; maps cannot be hashed.
+        hashed = [c for c in features if "map<" not in df.schema[c].dataType.simpleString()]
+        spread = [F.xxhash64(*hashed)] if hashed else []
         now = datetime.now(timezone.utc)
         path = f"{self.base}/{table}/at={now.strftime('%Y%m%d%H%M%S%f')}"
         (
             df.select(entity_column, *features)
             .withColumn(MATERIALIZED_AT, F.lit(now))
-            .repartitionByRange(entity_column, F.xxhash64(*features)).sortWithinPartitions(entity_column)
+            .repartitionByRange(entity_column, *spread).sortWithinPartitions(entity_column)
             .write.mode("errorifexists").parquet(path)
         )
         rows = self.spark.read.parquet(path).count()
@@ -127,7 +130,7 @@ class ServingStore:
         """Rows whose entity is among the ids, entity first; absent ids yield no row.
 
         A list becomes a pushed-down IN. A frame of ids (first column) becomes a semi join, so
-        repeated ids duplicate nothing; it is broadcast only if its measured size allows.
+        repeated ids duplicate nothing; the stored ids have a known size to plan the join by.
         """
         entry = self._entry(table)
         if entry is None:
@@ -136,7 +139,7 @@ class ServingStore:
         rows = self.spark.read.parquet(entry["path"])
         if isinstance(ids, DataFrame):
             wanted = ids.select(F.col(ids.columns[0]).alias(entity))
-            found = rows.join(broadcast_if_small(wanted.distinct()), entity, "left_semi")
+            found = rows.join(cut_lineage(wanted.distinct()), entity, "left_semi")
         else:
             kind = rows.schema[entity].dataType
             wanted = self.spark.createDataFrame([(i,) for i in ids], f"`{entity}` {kind.simpleString()}")

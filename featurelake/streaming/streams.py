@@ -115,9 +115,11 @@ def drift_batch(reference: DataFrame, inputs: Sequence[str], features_sink: str,
         if batch.isEmpty():
             return
         features = drift_features(reference, batch.select(*inputs))
-        features.write.mode("overwrite").parquet(f"{features_sink}/batch_id={batch_id}")
+        stored = f"{features_sink}/batch_id={batch_id}"
+        features.write.mode("overwrite").parquet(stored)
+        features = batch.sparkSession.read.schema(features.schema).parquet(stored)  # not computed again
         alerts = alerts_from_drift(drift_summary(features, threshold), prediction_drift(batch, threshold=threshold),
-                                   F.current_timestamp())
+                                   F.current_timestamp(), features)
         alerts.write.mode("overwrite").parquet(f"{alerts_sink}/batch_id={batch_id}")
 
     return check

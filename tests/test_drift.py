@@ -135,6 +135,6 @@ def test_monitoring_job(spark, reference):
     row = result.summary.first()
     assert row.window_size == 30 and row.data_drift and row.prediction_drift and row.out_of_bounds
     assert row.has_alert and row.retrain and row.exit_code == 1 and row.all_predictions == 40
-    assert result.features.count() == 3 and result.alerts.count() == 2
+    assert result.features.count() == 3 and result.alerts.count() == 3  # data, predictions, class share
     calm = monitoring_job(log.limit(0), reference, ["feature_1"]).summary
     assert calm.count() == 0

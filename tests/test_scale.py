@@ -7,7 +7,7 @@ from featurelake.catalog import bindings
 from featurelake.functions.ordering import tail_rows
 from featurelake.operators import drift, evaluate, features, predictions, split, traffic
 from featurelake.operators.profile import column_moments
-from featurelake.session import broadcast_if_small, shared_root
+from featurelake.session import shared_root
 
 
 def plan(df):
@@ -56,21 +56,13 @@ def test_no_query_has_a_nested_loop_or_cartesian_join(spark, sf):
         assert "NestedLoop" not in text and "Cartesian" not in text, key
 
 
-def test_broadcast_only_after_a_size_check(spark):
-    small, big = spark.range(10), spark.range(2000)
-    assert broadcast_if_small(big, max_rows=100) is big
-    assert broadcast_if_small(small, max_rows=100) is not small
-    wide = spark.createDataFrame([("x" * 1000,)] * 20, "s string")
-    assert broadcast_if_small(wide, max_bytes=10_000) is wide
-
-
 def test_large_dictionary_is_joined_without_broadcast(spark):
     rows = spark.range(3000).select("id", F.col("id").cast("string").alias("c"))
     dictionary = features.fit_dictionary(rows, ["c"])
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = features.apply_dictionary(rows, dictionary, ["c"], small=False)
+        out = features.apply_dictionary(rows, dictionary, ["c"])
         assert not [x for x in plan(out).splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
         assert out.where("c_encoded < 0").count() == 0 and out.count() == 3000
     finally:
@@ -104,3 +96,10 @@ def test_no_local_checkpoint_or_cross_join_in_the_library():
     for path in pathlib.Path(__file__).parent.parent.joinpath("featurelake").rglob("*.py"):
         text = path.read_text()
         assert "localCheckpoint" not in text and "crossJoin" not in text and "toPandas" not in text, path
+
+
+def test_splits_label_rows_in_one_scan_of_the_input(spark, sf):
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()["stratified_folds"](spark, sf))
+    assert text.count("lineitem.parquet") == 1 and "Union" not in text and "Window" not in text
