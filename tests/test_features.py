@@ -24,7 +24,13 @@ def test_encoding_keeps_every_row_whatever_the_join(spark):
     rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
         (F.col("id") % 7).cast("string")).alias("c"))
     dictionary = feats.fit_dictionary(rows, ["c"])
-    both = [feats.apply_dictionary(rows, dictionary, ["c"], small=s).orderBy("id").collect() for s in (True, False)]
+    threshold, both = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    try:
+        for limit in (threshold, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            both.append(feats.apply_dictionary(rows, dictionary, ["c"]).orderBy("id").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert both[0] == both[1] and len(both[0]) == 2000
 
 
