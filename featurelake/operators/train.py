@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -101,6 +102,26 @@ def save_model(model: PipelineModel, base: str, version: str) -> str:
     return path
 
 
+RECORD_SCHEMA = ("version string, model_type string, path string, trained_at timestamp, metrics map<string,double>, "
+                 "importances map<string,double>")
+
+
+def record_model(spark: SparkSession, base: str, version: str, model_type: str, path: str, metrics: dict[str, float],
+                 importances: dict[str, float] | None = None) -> None:
+    """Append a model's record below ``base``; the newest record is the pointer to the latest model."""
+    row = (version, model_type, path, datetime.now(timezone.utc), metrics, importances or {})
+    spark.createDataFrame([row], RECORD_SCHEMA).write.mode("append").parquet(f"{base.rstrip('/')}/records")
+
+
+def model_records(spark: SparkSession, base: str) -> DataFrame:
+    """Records of all saved models, newest first."""
+    return spark.read.schema(RECORD_SCHEMA).parquet(f"{base.rstrip('/')}/records").orderBy(F.desc("trained_at"), F.desc("version"))
+
+
+def load_latest(spark: SparkSession, base: str) -> PipelineModel:
+    return load_model(model_records(spark, base).first()["path"])
+
+
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from featurelake.operators import prepare, train
 from featurelake.operators.predictions import production_accuracy
 from featurelake.plans.serving import feedback_and_log, score_and_log, score_ids_and_log
-from featurelake.plans.training import training_job, with_entity_id
+from featurelake.plans.training import training_from_wide, training_job, with_entity_id
 from featurelake.sources import logs
 from featurelake.sources.serving import ServingStore
 
@@ -27,11 +27,27 @@ def test_training_job_end_to_end(spark, people, base):
     assert result.cross_validation.count() == 5 and result.served_rows == 200
     store = ServingStore(spark, f"{base}/serving")
     assert {r.table_name for r in store.list_tables().collect()} == {"features", "inference"}
-    loaded = train.load_model(result.model_path)
+    cells = {(r.label, r.prediction): r.n for r in result.confusion.collect()}
+    assert sum(cells.values()) == 40 and result.report.count() == 5
+    assert metrics.accuracy == pytest.approx((cells[0, 0] + cells[1, 1]) / 40)
+    record = train.model_records(spark, f"{base}/model").first()
+    assert record.metrics["accuracy"] == metrics.accuracy and record.path == result.model_path
+    assert sum(record.importances.values()) == pytest.approx(1) and max(record.importances, key=record.importances.get) == "INDE"
+    loaded = train.load_latest(spark, f"{base}/model")
     raw = people.select("id", "INDE", "PEDRA")
     assert train.predict_rows(loaded, raw).select("score").collect() == train.predict_rows(result.model, raw).select("score").collect()
 
 
+def test_training_from_the_wide_table(spark, base):
+    rng = random.Random(3)
+    rows = [(f"n{i}", *(rng.uniform(4, 9) for _ in range(4))) for i in range(120)]
+    wide = spark.createDataFrame(rows, "NOME string, INDE_2021 double, INDE_2022 double, IEG_2021 double, IEG_2022 double")
+    result = training_from_wide(spark, wide, ["INDE", "IEG"], [], base, ["YEAR_REF", "INDE", "IEG"], folds=2,
+                                preparation={"years": ["2021", "2022"], "velocity": []}, numTrees=3, maxDepth=3)
+    assert result.served_rows == 240 and result.cross_validation.count() == 5
+    assert result.metrics.first().accuracy > 0.7
+
+
 def test_entity_ids_are_dense(spark, people):
     ids = sorted(r.entity_id for r in with_entity_id(people, ["NOME"]).collect())
     assert ids == list(range(1, 201))
