@@ -38,12 +38,26 @@ from featurelake.session import cut_lineage
 #: Words of the longest n-gram, strength of the prior M, share added to a word's count.
 ORDER, PRIOR, ADDED = 2, 32.0, 0.5
 #: Bytes of text in a batch.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Hashes of the end token and of the mark before the first word. Keys of words are even, all others odd.
 END, BEGIN = 0x5BD1E9955BD1E994, 0x1B873593CC9E2D51
 _STEP = np.random.default_rng(1).integers(1, 2**64, 16, dtype=np.uint64) | np.uint64(1)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes as the largest needs, lowest bytes of all first, so that blocks compress."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
+
+
+def unpack(data) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
 def batches(docs: DataFrame, learn: Column) -> DataFrame:
     """One row per batch: doc_ids, learn, sizes (tokens of each text, end included), vocabulary (hashes of its distinct
     words, the end token first), words (the texts' tokens as numbers in the vocabulary)."""
@@ -61,7 +75,7 @@ def batches(docs: DataFrame, learn: Column) -> DataFrame:
             hashes = np.array([END, *map(xxhash.xxh3_64_intdigest, numbers)], np.uint64) & ~np.uint64(1)
             numbers.default_factory = None
             yield {"doc_ids": [part.column("doc_id").to_pylist()], "learn": [part.column("learn").to_pylist()],
-                   "sizes": [sizes], "vocabulary": [hashes.tobytes()], "words": [np.concatenate(words).tobytes()]}
+                   "sizes": [sizes], "vocabulary": [hashes.tobytes()], "words": [pack(np.concatenate(words))]}
 
     rows = docs.select("doc_id", learn.alias("learn"), text_bytes().alias("text"))
     packed = arrow_map(rows, run, "doc_ids array<long>, learn array<boolean>, sizes array<int>, vocabulary binary, words binary")
@@ -98,18 +112,19 @@ def contexts_of(sizes: np.ndarray, keys: list[np.ndarray], order: int) -> list[n
 def unpacked(row: dict, order: int):
     sizes = np.array(row["sizes"], np.int64)
     vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-    words = np.frombuffer(row["words"], np.uint32)
+    words = unpack(row["words"])
     keys = grams_of(sizes, vocabulary, words, order)
     every = np.unique(np.concatenate([*keys, np.array([BEGIN], np.uint64)]))
     return sizes, keys, every[every != 0]
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (keys >> np.uint64(40)) % np.uint64(shards)
+    """Shards are ranges of hashes, so the sorted keys of a request begin alike and compress."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
 def requests(packed: DataFrame, shards: int, order: int) -> DataFrame:
-    """shard, batch, keys (sorted) and counts (in the batch's training texts) of each batch's n-grams."""
+    """shard, batch, keys (sorted) and counts (in the batch's training texts), packed, of each batch's n-grams."""
 
     def run(part):
         for row in part.to_pylist():
@@ -128,25 +143,25 @@ def requests(packed: DataFrame, shards: int, order: int) -> DataFrame:
             cuts = np.searchsorted(shard[order_], np.arange(shards + 1))
             sent = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
             parts = [order_[cuts[i]:cuts[i + 1]] for i in sent]
-            yield {"shard": sent, "batch": [row["batch"]] * len(sent), "keys": [every[p].tobytes() for p in parts],
-                   "counts": [counts[p].astype(np.uint32).tobytes() for p in parts]}
+            yield {"shard": sent, "batch": [row["batch"]] * len(sent), "keys": [pack(every[p]) for p in parts],
+                   "counts": [pack(counts[p]) for p in parts]}
 
     return arrow_map(packed, run, "shard int, batch string, keys binary, counts binary")
 
 
 def counted(asked: DataFrame) -> DataFrame:
-    """batch, shard and totals (as 64-bit numbers, in the order of the batch's keys of that shard); one more row per
+    """batch, shard and totals (packed, in the order of the batch's keys of that shard); one more row per
     shard with batch null and the number of distinct words taught."""
     kinds = pa.schema([("batch", pa.string()), ("shard", pa.int32()), ("totals", pa.binary()), ("words", pa.int64())])
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")]
-        counts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in table.column("counts")])
+        keys = [unpack(k) for k in table.column("keys").to_pylist()]
+        counts = np.concatenate([unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros(len(every), np.int64)
         np.add.at(sums, where, counts)
         ends = np.cumsum([len(k) for k in keys])
-        totals = [sums[where[e - len(k):e]].tobytes() for k, e in zip(keys, ends)]
+        totals = [pack(sums[where[e - len(k):e]]) for k, e in zip(keys, ends)]
         words = int(((sums > 0) & (every & np.uint64(1) == 0)).sum())
         return pa.Table.from_arrays(
             [pa.array([*table.column("batch").to_pylist(), None]), pa.array([*table.column("shard").to_pylist(), None], pa.int32()),
@@ -232,8 +247,8 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, prior: float = PRI
             sizes, keys, every = unpacked(row, order)
             shard = shard_of(every, shards)
             totals = np.zeros(len(every), np.int64)
-            for number, found in zip(right.column("shard").to_pylist(), right.column("totals")):
-                totals[shard == number] = np.frombuffer(found.as_buffer(), np.int64)
+            for number, found in zip(right.column("shard").to_pylist(), right.column("totals").to_pylist()):
+                totals[shard == number] = unpack(found).astype(np.int64)
             automaton = Automaton(sizes, keys, every, totals, tokens, distinct, order, prior)
             starts = automaton.starts
             out.append(pa.Table.from_arrays(
