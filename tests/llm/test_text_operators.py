@@ -45,19 +45,19 @@ def documents(spark, sf):
 
 # -- language model -----------------------------------------------------------------------------------
 
-def brute_model(rows, learn, order, prior):
-    def tokens(text):
-        return [*(text or "").encode().lower().split(), "end"]
+def tokens(text):
+    return [*(text or "").encode().lower().split(), "end"]
 
-    grams, words, total = Counter(), Counter(), 0
-    for doc_id, text in rows:
-        if learn(doc_id):
-            mine = tokens(text)
-            words.update(mine)
-            total += len(mine)
-            marked = ["begin", *mine]
-            grams.update(tuple(marked[i:i + n]) for n in range(1, order + 1) for i in range(len(marked) - n + 1)
-                         if n > 1 or i == 0 or True)
+
+def brute_chance(rows, order, prior):
+    """p(word | words before) by the formula, the counts it rests on, and the number of training tokens."""
+    grams, words = Counter(), Counter()
+    for _, text in rows:
+        mine = tokens(text)
+        words.update(mine)
+        marked = ["begin", *mine]
+        grams.update(tuple(marked[i:i + n]) for n in range(1, order + 1) for i in range(len(marked) - n + 1))
+    total = sum(words.values())
 
     def chance(word, before):
         if not before:
@@ -65,6 +65,11 @@ def brute_model(rows, learn, order, prior):
         lower, seen = chance(word, before[1:]), grams[before]
         return (grams[(*before, word)] + prior * lower) / (seen + prior) if seen else lower
 
+    return chance, words, total
+
+
+def brute_model(rows, learn, order, prior):
+    chance, words, total = brute_chance([r for r in rows if learn(r[0])], order, prior)
     out = []
     for doc_id, text in rows:
         mine = tokens(text)
@@ -85,14 +90,10 @@ def test_language_model_equals_the_formula(spark, documents, odd, order):
     assert mine == brute_model(chosen, lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1, order, 5.0)
 
 
-def test_language_model_is_a_distribution():
-    rows = [(0, "a b a c"), (1, "b a"), (2, "c c a")]
-    words = ["a", "b", "c", "end", "never seen"]
-    ends = []
-    for word in words:  # p(word | a), the unknown word standing for all unknown ones
-        scored = brute_model([*rows, (9, f"a {word}" if word != "end" else "a")], lambda i: i < 9, 2, 3.0)
-        ends.append(scored)
-    assert len(ends) == 5
+def test_the_formula_is_a_distribution():
+    chance, words, _ = brute_chance([(0, "a b a c"), (1, "b a"), (2, "c c a")], 3, 3.0)
+    for before in [(), (b"a",), ("begin",), (b"b", b"a"), (b"never seen",)]:
+        assert sum(chance(w, before) for w in [*words, "unknown"]) == pytest.approx(1)
 
 
 def test_language_model_without_training_or_rows(spark, odd, none):
