@@ -10,7 +10,7 @@ Jaccard similarity of their shingle sets. Equal texts are made one class first;
 class to the band's least one are candidates in a first round, and what a round leaves in different components meets
 in the next, so no group's pairs are ever listed in full and no link between different texts is lost.
 
-``with_edited`` pairs each document with the next one in order of id. Ids are cut into ranges at explicit quantiles; the
+``compare`` pairs each document with the next one in order of id. Ids are cut into ranges at explicit quantiles; the
 first document of each range is copied to the end of the range before, so every range knows its successor without any
 global order in one task, and texts are shuffled once.
 
@@ -23,6 +23,7 @@ Repeated rows each get a row; extra columns are left out.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +123,9 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next (null texts as empty), the next document being that of the following id."""
+def ordered(docs: DataFrame) -> DataFrame:
+    """Ranges of ids, each whole in one partition and in order, with a copy of the next range's first document last:
+    range, copied, doc_id, h, text (null as empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     n = partitions(docs)
@@ -140,43 +142,62 @@ def with_next(docs: DataFrame) -> DataFrame:
     copied = (bucketed.drop("range").alias("d").join(
         F.broadcast(known).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h")))
         .select(F.col("before").alias("range"), F.lit(True).alias("copied"), "d.doc_id", "d.h", "text"))
-    ordered = (bucketed.select("range", F.lit(False).alias("copied"), "doc_id", "h", "text").unionByName(copied)
-               .repartition(n, "range").sortWithinPartitions("range", "copied", F.col("doc_id").asc_nulls_last(), "h"))
+    return (bucketed.select("range", F.lit(False).alias("copied"), "doc_id", "h", "text").unionByName(copied)
+            .repartition(n, "range").sortWithinPartitions("range", "copied", F.col("doc_id").asc_nulls_last(), "h"))
+
+
+def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """Ids, texts and next texts, about ``BATCH_BYTES`` characters at a time, from batches of an ordered partition."""
+    held, size = None, 0
+    ids, texts, follows = [], [], []
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in ("range", "copied", "doc_id", "text"))):
+            row = tuple(x.as_py() for x in row)
+            if held is not None and not held[1] and held[0] == row[0]:
+                ids.append(held[2])
+                texts.append(held[3])
+                follows.append(row[3])
+                size += len(held[3])
+                if size > BATCH_BYTES:
+                    yield ids, texts, follows
+                    ids, texts, follows, size = [], [], [], 0
+            held = row
+    if ids:
+        yield ids, texts, follows
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, next (null texts as empty), the next document being that of the following id."""
     kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("next", pa.string())])
 
-    def pair(batches):
-        held = None
-        for batch in batches:
-            ids, texts, follows = [], [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("range", "copied", "doc_id", "text"))):
-                if held is not None and not held[1] and held[0] == row[0]:
-                    ids.append(held[2])
-                    texts.append(held[3])
-                    follows.append(row[3])
-                held = row
-            yield pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip((ids, texts, follows), kinds)], schema=kinds)
+    def run(batches):
+        for found in followed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip(found, kinds)], schema=kinds)
 
-    return ship(ordered).mapInArrow(pair, "doc_id long, text string, next string")
+    return ship(ordered(docs)).mapInArrow(run, "doc_id long, text string, next string")
 
 
-def compare(pairs: DataFrame) -> DataFrame:
-    """Fingerprints of text, edited text and next text, and their likeness, for each row of ``with_next``."""
+def compare(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each text, its edited text and the next text, and their likeness.
 
-    def run(batch):
-        texts, following = batch.column("text").to_pylist(), batch.column("next").to_pylist()
-        for a, b in slices([len(t) + len(f) for t, f in zip(texts, following)], BATCH_BYTES):
-            mine = [t.encode() for t in texts[a:b]]
-            changed = [edited(t, f).encode() for t, f in zip(texts[a:b], following[a:b])]
+    Pairing and hashing are one pass in one Python worker per task.
+    """
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+                       ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+
+    def run(batches):
+        for ids, texts, following in followed(batches):
+            mine, after = [t.encode() for t in texts], [f.encode() for f in following]
+            changed = [edited(t, f).encode() for t, f in zip(texts, following)]
             own, other = minhashes(mine), minhashes(changed)
             # Rows follow each other, so the next text is mostly the next row's own.
-            after = [f.encode() for f in following[a:b]]
-            lone = [i for i in range(b - a) if i + 1 == b - a or after[i] != mine[i + 1]]
+            lone = [i for i in range(len(ids)) if i + 1 == len(ids) or after[i] != mine[i + 1]]
             nxt = np.concatenate([own[1:], own[:1]])
             nxt[lone] = minhashes([after[i] for i in lone])
-            yield {"doc_id": batch.column("doc_id").slice(a, b - a), "n_chars": [len(t) for t in texts[a:b]],
-                   "edited_sha256": [hashlib.sha256(t).hexdigest() for t in changed],
-                   "fingerprint": hexadecimal(own), "edited_fingerprint": hexadecimal(other),
-                   "near_edited": likeness(own, other), "near_next": likeness(own, nxt)}
+            columns = [ids, [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in changed], hexadecimal(own),
+                       hexadecimal(other), likeness(own, other), likeness(own, nxt)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip(columns, kinds)], schema=kinds)
 
-    return arrow_map(pairs, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                 "edited_fingerprint string, near_edited double, near_next double")
+    return ship(ordered(docs)).mapInArrow(
+        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+             "near_edited double, near_next double")

@@ -113,7 +113,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @add("op8_fingerprints")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    return fingerprints.compare(fingerprints.with_next(table(spark, sf, "documents")))
+    return fingerprints.compare(table(spark, sf, "documents"))
 
 
 @add("op9_nearest")

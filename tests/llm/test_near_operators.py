@@ -232,7 +232,7 @@ def shingle_set(text):
 
 def test_fingerprints_and_edited_texts(spark, sf, odd):
     for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd):
-        rows = fingerprints.compare(fingerprints.with_next(docs)).collect()
+        rows = fingerprints.compare(docs).collect()
         texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
         assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in texts)
         if docs is odd:
@@ -262,7 +262,7 @@ def test_next_document_of_odd_rows(spark, odd, none):
     assert follow[None] == "the cat sat on the mat" and follow[6] == next(r["text"] for r in odd.collect() if r["doc_id"] == 7)
     lone = spark.createDataFrame([(4, "one two three")], "doc_id long, text string")
     assert fingerprints.with_next(lone).first()["next"] == "one two three"
-    assert fingerprints.compare(fingerprints.with_next(none)).collect() == []
+    assert fingerprints.compare(none).collect() == []
 
 
 def test_near_duplicates_equal_brute_force(spark, sf, odd, none):
