@@ -30,10 +30,12 @@ from featurelake.llm.common import arrow_map, binary_sizes, ship, slices, text_b
 
 #: Labelled rows per language that are learned from; hashed n-grams; their length in bytes; cost of a change.
 SAMPLE, BUCKETS, NGRAM, PENALTY = 3000, 1 << 16, 4, 12.0
+#: Most languages of a model.
+LANGUAGES = 200
 #: Least share of a language's letters in a script for the script to admit it.
 SCRIPT_SHARE = 0.02
-#: Bytes of text whose words advance together.
-BATCH_BYTES = 2 << 20
+#: Bytes of text whose words advance together, words scored at a time.
+BATCH_BYTES, WORDS_AT_ONCE = 1 << 20, 50_000
 UNDETERMINED = "und"
 
 # First and last code point of the letters of each script.
@@ -117,7 +119,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return body, first, lengths, scripts, before
 
 
-def gram_buckets(body: np.ndarray, first: np.ndarray) -> np.ndarray:
+def gram_buckets(body: np.ndarray) -> np.ndarray:
     """Bucket of the n-gram that ends at each letter (and, at the zero before a word, of the word's beginning)."""
     padded = np.concatenate([body, np.zeros(NGRAM, body.dtype)]).astype(np.uint64)
     h = np.zeros(len(body), np.uint64)
@@ -135,9 +137,13 @@ def gram_buckets(body: np.ndarray, first: np.ndarray) -> np.ndarray:
 def sampled(docs: DataFrame, teach: Column, size: int = SAMPLE) -> DataFrame:
     """About ``size`` labelled rows per language: those whose hashed id is below the language's share."""
     labelled = docs.filter(teach & (F.coalesce("lang", F.lit("")) != "") & F.col("text").isNotNull())
-    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), size / F.count(F.lit(1))).alias("share"))
+    counts = labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} distinct labels; a model has a table for each")
+    # One number per language, so the rows are sampled in the scan and only those kept move on.
+    shares = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(1.0, size / r["count"])) for r in counts], F.lit(0.0))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(share, "lang").filter(place < F.col("share")).select("lang", "text")
+    return labelled.filter(place < shares).select("lang", "text")
 
 
 def fit(docs: DataFrame, teach: Column, size: int = SAMPLE) -> Model:
@@ -152,7 +158,7 @@ def fit(docs: DataFrame, teach: Column, size: int = SAMPLE) -> Model:
             total, scripts = np.zeros(BUCKETS), np.zeros(len(_NAMES))
             for a, b in slices(map(len, texts), BATCH_BYTES):
                 body, first, lengths, script, _ = words_of(texts[a:b])
-                total += np.bincount(gram_buckets(body, first), minlength=BUCKETS)
+                total += np.bincount(gram_buckets(body), minlength=BUCKETS)
                 scripts += np.bincount(script, lengths, minlength=len(_NAMES))
             kept = np.flatnonzero(total)
             yield {"lang": [lang] * (len(kept) + len(_NAMES)),
@@ -176,10 +182,13 @@ def fit(docs: DataFrame, teach: Column, size: int = SAMPLE) -> Model:
 def word_scores(model: Model, body: np.ndarray, first: np.ndarray, scripts: np.ndarray) -> np.ndarray:
     """Score of each word (row) in each language; languages not written in its script are out, and a word in a script
     of none speaks for none."""
-    grams = gram_buckets(body, first)
     out = np.empty((len(first), len(model.languages)), np.float32)
-    for k in range(len(model.languages)):
-        out[:, k] = np.add.reduceat(model.scores[:, k][grams], first) if len(first) else 0
+    ends = [*first[1:], len(body)]
+    for a in range(0, len(first), WORDS_AT_ONCE):  # the arrays over letters stay small
+        b = min(a + WORDS_AT_ONCE, len(first))
+        grams = gram_buckets(body[first[a]:ends[b - 1]])
+        for k in range(len(model.languages)):
+            out[a:b, k] = np.add.reduceat(model.scores[:, k][grams], first[a:b] - first[a])
     allowed = model.admitted[scripts]
     known = allowed.any(axis=1)
     out[known[:, None] & ~allowed] = -1e6
@@ -261,9 +270,10 @@ def filtered(docs: DataFrame, model: Model, least: float, penalty: float = PENAL
     def run(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            texts = [t.as_py().encode() if t.is_valid else b"" for t in batch.column("text")]
-            for a, b in slices(map(len, texts), BATCH_BYTES):
-                names, share, _ = labelled_texts(shared.value, texts[a:b], penalty)
+            column = batch.column("text").fill_null("")
+            for a, b in slices(binary_sizes(column), BATCH_BYTES):
+                texts = [t.as_py().encode() for t in column.slice(a, b - a)]
+                names, share, _ = labelled_texts(shared.value, texts, penalty)
                 keep[a:b] = (np.array(names, object) != UNDETERMINED) & (share >= least)
             yield batch.filter(pa.array(keep))
 
