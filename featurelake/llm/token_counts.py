@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelake.llm.common import arrow_map, binary_sizes, slices
+from featurelake.session import cut_lineage
 
 #: Entries of a worker's memo of chunks between ASCII white space, and the longest chunk it keeps.
-MEMO_ENTRIES, MEMO_BYTES = 400_000, 64
+MEMO_ENTRIES, MEMO_BYTES = 200_000, 64
 #: Bytes of text encoded at a time.
 BATCH_BYTES = 4 << 20
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -116,5 +117,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str) -> DataFrame:
     known = read_cache(spark, cache, version)
     misses = keyed.select("digest", "content").join(known, "digest", "left_anti").dropDuplicates(["digest"])
     arrow_map(misses, encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return (keyed.select("doc_id", "n_bytes", "digest").join(read_cache(spark, cache, version), "digest", "left")
+    # Stored first, so that the join stands alone and adaptive execution can split a digest that many documents share.
+    counts = cut_lineage(read_cache(spark, cache, version))
+    return (keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest", "left")
             .select("doc_id", "n_bytes", "n_tokens"))
