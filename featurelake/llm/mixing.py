@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featurelake.session import cut_lineage
+
 #: Weights of the sources in order, repeating; times its size that a source or document may be taken; buckets.
 WEIGHTS, MOST, BUCKETS = (5, 2, 1), 3, 256
 #: Parts of a copy in which the sums are counted.
@@ -85,7 +87,7 @@ def copies(rows: DataFrame, buckets: int = BUCKETS, most: int = MOST, weights: t
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every document."""
-    rows = docs.select("doc_id", "source", word_count().alias("size"))
+    rows = cut_lineage(docs.select("doc_id", "source", word_count().alias("size")))  # words are counted once
     return (copies(rows).withColumn("taken", F.col("copies") * F.col("size"))
             .select("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
 
