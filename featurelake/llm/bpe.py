@@ -31,7 +31,7 @@ from featurelake.llm.common import arrow_map
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Entries of a worker's memos of encoded chunks and of compatible pairs, and the longest chunk kept.
-MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 400_000, 400_000, 48
+MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 120_000, 120_000, 48
 
 
 def byte_letters() -> dict[str, int]:
