@@ -51,7 +51,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, least: float) -> Da
     """Links a, b among candidate pairs (centre, node) by exact Jaccard similarity."""
     left = texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text"))
     right = texts.select("node", F.col("text").alias("node_text"))
-    both = pairs.join(left, "centre").join(right, "node")
+    both = pairs.join(right, "node").join(left, "centre")  # sorted by centre, whose set is then made once
 
     def run(batch):
         a, b = [], []
@@ -75,7 +75,11 @@ def remaining_links(members: DataFrame, texts: DataFrame, linked: DataFrame, set
     placed = cut_lineage(nodes.join(components(linked), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
     open_ = (placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
              .filter("low <> high AND n > 2").select("bucket"))
-    rest = cut_lineage(placed.join(open_, "bucket", "left_semi"))
+    rest = placed.join(open_, "bucket", "left_semi")
+    # Near copies share many buckets; of those with the same nodes one is enough.
+    alike = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                       F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    rest = cut_lineage(rest.join(alike.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")), "bucket", "left_semi"))
     pieces = bounded_groups(rest, ["bucket"], "node", piece)
     keys = ["bucket", "piece_a", "piece_b"]
     together = pieces.join(texts, "node").repartition(partitions(texts), *keys).sortWithinPartitions(*keys)
@@ -84,14 +88,15 @@ def remaining_links(members: DataFrame, texts: DataFrame, linked: DataFrame, set
     def run(batches):
         for table, starts in whole_groups(batches, keys, 2 * piece):
             nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
-            found = [sets(t) for t in table.column("text").to_pylist()]
             a, b = [], []
             for start, end in zip(starts, starts[1:]):
+                # Sets are far larger than their texts, so only one piece has them at a time.
+                found = [sets(t) for t in table.column("text").slice(start, end - start).to_pylist()]
                 _, labels = np.unique(roots[start:end], return_inverse=True)
                 labels = np.array([np.flatnonzero(labels == x)[0] for x in labels])
                 for i in range(end - start):
                     for j in range(i):
-                        if labels[i] != labels[j] and similar(found[start + i], found[start + j], least):
+                        if labels[i] != labels[j] and similar(found[i], found[j], least):
                             hook(labels, np.array([i]), np.array([j]))
                             a.append(nodes[start + i])
                             b.append(nodes[start + j])

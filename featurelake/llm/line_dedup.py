@@ -151,8 +151,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
     names = components(all_links(members, pairs, texts, line_set, SIMILAR, PIECE)).withColumnRenamed("node", "line")
     firsts = lines.groupBy("line").agg(F.min(F.struct("__id", "__hash", "line_no")).alias("first"))
     of_root = names.join(firsts, "line").groupBy("root").agg(F.min("first").alias("class"))
-    classes = firsts.join(names.join(of_root, "root").select("line", "class"), "line", "left") \
-        .select("line", F.coalesce("class", "first").alias("class"))
+    # Stored, so that the last join stands alone and adaptive execution can split a line that many documents hold.
+    classes = cut_lineage(firsts.join(names.join(of_root, "root").select("line", "class"), "line", "left")
+                          .select("line", F.coalesce("class", "first").alias("class")))
     placed = lines.select("__id", "__hash", "line_no", "line").join(classes, "line")
     return placed.select("__id", "__hash", "line_no", F.col("class.__id").alias("class_id"), F.col("class.__hash").alias("class_hash"),
                          F.col("class.line_no").alias("class_line_no"),
@@ -165,9 +166,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     dropped = (line_classes(rows).groupBy("__id", "__hash")
                .agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("dropped"), F.count_if("kept").alias("left")))
-    packed = rows.select("__id", "__hash", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    packed = rows.select("__id", "__hash", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     joined = packed.dropDuplicates(["__id", "__hash"]).join(dropped, ["__id", "__hash"], "left").filter("left IS NULL OR left > 0")
-    numbered = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("dropped", i))
-    text = F.when(F.size("dropped") > 0, F.array_join(numbered, "\n")).otherwise(F.col("text"))
+    numbered = F.filter(F.split("doc.text", "\n", -1), lambda _, i: ~F.array_contains("dropped", i))
+    text = F.when(F.size("dropped") > 0, F.array_join(numbered, "\n")).otherwise(F.col("doc.text"))
     return joined.select("doc", text.alias("new")).select(
         *[F.col("new").alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
