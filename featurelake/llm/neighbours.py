@@ -3,12 +3,18 @@
 Vectors get one more component that lifts all to the largest norm, so the largest inner product with a query (scaled to
 that norm) is the least distance. ``TABLES`` tables hash a vector by k random projections cut into cells of one width;
 k grows with the logarithm of the number of vectors, so a bucket's population does not. A query visits buckets in order
-of estimated success: the chance that a neighbour at the distance ``near`` falls into each cell, the product over the
+of estimated success: the chance that a neighbour at its distance ``near`` falls into each cell, the product over the
 projections, explored best first until the visited chances add up to ``SUCCESS`` in every table. All candidates of all
 tables are merged and reranked by the exact inner product of the original vectors in double precision.
 
-The distance ``near`` is estimated on a bounded sample (``SAMPLE`` vectors); every vector is indexed. On vectors without
-near neighbours, such as evenly spread directions, the recall aimed at makes a query visit most buckets.
+Each query's ``near`` is its own, estimated on a bounded sample (``SAMPLE`` vectors); every vector is indexed. Where the
+sample's distances lie far apart, as with groups of near copies among lone vectors, there are tables with cells of up to
+``SCALES`` widths, and a query uses those next to its distance.
+
+No query ends by the estimate alone. The cells it visited are weighed again at the distance of the last answer found,
+which the true one cannot exceed. A query with too few answers, or whose chance there is more than ``SLACK`` below the
+one aimed at, is compared with all vectors in blocks, so its answer is exact.
+On vectors without near neighbours, such as evenly spread directions, the recall aimed at makes a query visit most buckets.
 
 Equal vectors are one node with its least ids, for queries and candidates alike: only the ``top`` + 1 least ids of equal
 vectors can be in any answer, so this loses nothing. Buckets above ``PIECE`` rows are cut into pieces that each query
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +44,10 @@ from featurelake.session import cut_lineage
 TABLES, SUCCESS, WIDTH, POPULATION = 2, 0.78, 1.4, 256
 #: Vectors of the sample, cells looked at on each side of a query's own, rows of a piece of a bucket.
 SAMPLE, REACH, PIECE = 4096, 2, 4096
+#: Most widths of cells, ratio of distances that one width serves, chance that a finished query may fall short by.
+SCALES, SPREAD, SLACK = 4, 2.0, 0.05
+#: Queries whose distances from the sample are held at a time.
+QUERIES_AT_ONCE = 256
 
 
 def usable(vector: Column) -> Column:
@@ -90,17 +101,19 @@ class Tables:
     def code(self, table: int, cells: np.ndarray) -> np.ndarray:
         return (cells.astype(np.int64) * self.place[table, :-1]).sum(axis=1) + self.place[table, -1]
 
-    def probes(self, table: int, cell: np.ndarray) -> np.ndarray:
-        """Cells to visit for one query, likeliest first, until their chances add up to the success aimed at.
+    def chances(self, cell: np.ndarray, near: float) -> np.ndarray:
+        """By projection and offset of a cell from the query's own: chance that a neighbour at distance near lies there."""
+        edges = (np.arange(-REACH, REACH + 2)[None, :] - (cell - np.floor(cell))[:, None]) * self.width / near
+        return np.diff(0.5 * (1 + np.vectorize(math.erf)(edges / math.sqrt(2))), axis=1)
+
+    def probes(self, cell: np.ndarray, near: float) -> np.ndarray:
+        """Offsets of the cells to visit for one query, likeliest first, until their chances add up to the success aimed at.
 
         Each projection's offsets are ordered by the chance that a neighbour lies there; best-first search over the
         offsets' ranks yields their products in falling order.
         """
-        base = np.floor(cell)
         offsets = np.arange(-REACH, REACH + 1)
-        edges = (np.arange(-REACH, REACH + 2)[None, :] - (cell - base)[:, None]) * self.width / self.near
-        below = 0.5 * (1 + np.vectorize(math.erf)(edges / math.sqrt(2)))
-        chance = np.diff(below, axis=1)
+        chance = self.chances(cell, near)
         order = np.argsort(-chance, axis=1, kind="stable")
         cost = -np.log(np.maximum(np.take_along_axis(chance, order, 1), 1e-300))
         rows, costs = range(self.k), cost.tolist()
@@ -117,32 +130,82 @@ class Tables:
                         seen.add(after)
                         heapq.heappush(heap, (spent + costs[i][ranks[i] + 1] - costs[i][ranks[i]], after))
         ranks = np.array(found)
-        return base + offsets[np.take_along_axis(order, ranks.T, 1).T]
+        return offsets[np.take_along_axis(order, ranks.T, 1).T]
+
+    def covered(self, cell: np.ndarray, visited: np.ndarray, near: float) -> float:
+        """Chance that a neighbour at distance near lies in one of the visited cells (offsets)."""
+        chance = self.chances(cell, near)
+        return float(chance[np.arange(self.k), visited + REACH].prod(axis=1).sum())
+
+
+@dataclass
+class Plan:
+    """Tables of every width for one length of vectors, and the sample that a query's distance is estimated on."""
+
+    scales: list[Tables]
+    sample: np.ndarray
+    rank: int
+
+    def nears(self, queries: np.ndarray) -> np.ndarray:
+        """Estimated distance of each query's neighbours."""
+        if len(self.sample) < 2:
+            return np.full(len(queries), self.scales[0].near)
+        return distances(self.scales[0], self.sample, queries, self.rank)
+
+    def scale(self, near: float) -> int:
+        return int(np.argmin([abs(math.log(t.near / near)) for t in self.scales]))
+
+    def visits(self, query: np.ndarray, near: float):
+        """Scale, table, cell and offsets of the cells visited for a query."""
+        s = self.scale(near)
+        tables = self.scales[s]
+        for t in range(len(tables.axes)):
+            cell = tables.cells(t, tables.scaled(query[None, :]))[0]
+            yield s, t, cell, tables.probes(cell, min(near, SPREAD * tables.near))
+
+
+def distances(plain: Tables, sample: np.ndarray, queries: np.ndarray, rank: int) -> np.ndarray:
+    """Distance of each query from the ``rank``-th nearest of the sample, vectors equal to it left out."""
+    out, points = np.empty(len(queries)), plain.lifted(sample)
+    whole = np.ascontiguousarray(sample).view(np.dtype((np.void, sample.itemsize * sample.shape[1])))[:, 0]
+    for a in range(0, len(queries), QUERIES_AT_ONCE):
+        part = np.ascontiguousarray(queries[a:a + QUERIES_AT_ONCE])
+        apart = 2 * plain.norm**2 - 2 * plain.scaled(part) @ points.T
+        for i, key in enumerate(part.view(whole.dtype)[:, 0]):
+            apart[i, whole == key] = np.inf
+        out[a:a + len(part)] = np.partition(apart, rank - 1, axis=1)[:, rank - 1]
+    return np.sqrt(np.maximum(np.where(np.isfinite(out), out, 2 * plain.norm**2), 1e-12 * plain.norm**2))
+
+
+def widths(nears: np.ndarray) -> list[float]:
+    """Distances that the cells' widths are made for: the median, then that of the distances no width serves yet."""
+    out, rest = [], nears
+    while len(out) < SCALES and len(rest) and (not out or len(rest) > len(nears) / 100):
+        out.append(float(np.sort(rest)[len(rest) // 2]))
+        rest = rest[(rest < out[-1] / SPREAD) | (rest > out[-1] * SPREAD)]
+    return out
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
 
 
-def plan_tables(nodes: DataFrame, top: int, tables: int, success: float) -> dict[int, Tables]:
+def plan_tables(nodes: DataFrame, top: int, tables: int, success: float) -> dict[int, Plan]:
     """Projections by length of vectors, from counts and norms of all vectors and distances in the sample."""
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     known = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(square)).alias("norm")).collect()
     out = {}
     for row in known:  # one row per length of vectors
-        share = min(1.0, SAMPLE / row["n"])
+        dim, n, norm = row["dim"], row["n"], row["norm"] or 1.0
+        share = min(1.0, SAMPLE / n)
         place = F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) / float(1 << 30)
-        found = nodes.filter((F.col("dim") == row["dim"]) & (place < share)).select("uid", "embedding").limit(2 * SAMPLE).toArrow()
-        near = row["norm"] or 1.0
+        found = nodes.filter((F.col("dim") == dim) & (place < share)).select("uid", "embedding").limit(2 * SAMPLE).toArrow()
+        sample, rank, nears = np.zeros((0, dim)), 1, [norm]
         if found.num_rows > 1:
-            sample = matrix(found.column("embedding").combine_chunks(), row["dim"])
-            plain = Tables(row["dim"], row["n"], row["norm"], 1.0, 1, success)
-            points, asked = plain.lifted(sample), plain.scaled(sample[:256])
-            apart = 2 * row["norm"]**2 - 2 * asked @ points.T
-            apart[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-            rank = min(len(sample) - 1, max(1, round(top * len(sample) / row["n"])))
-            near = float(np.sqrt(np.maximum(np.median(np.partition(apart, rank - 1, axis=1)[:, rank - 1]), 1e-12 * row["norm"]**2)))
-        out[row["dim"]] = Tables(row["dim"], row["n"], row["norm"], near, tables, success)
+            sample = matrix(found.column("embedding").combine_chunks(), dim)
+            rank = min(len(sample) - 1, max(1, round(top * len(sample) / n)))
+            nears = widths(distances(Tables(dim, n, norm, 1.0, 1, success), sample, sample[:512], rank))
+        out[dim] = Plan([Tables(dim, n, norm, near, tables, success) for near in nears], sample, rank)
     return out
 
 
@@ -189,26 +252,46 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, tables: int = T
     def hashed(batch):
         for dim in set(batch.column("dim").to_pylist()):
             part = batch.filter(pa.compute.equal(batch.column("dim"), dim))
-            plan = plans.value[dim]
-            points = plan.lifted(matrix(part.column("embedding"), dim))
-            for t in range(tables):
-                yield {"dim": part.column("dim"), "tab": [t] * part.num_rows, "probe": [False] * part.num_rows,
-                       "code": plan.code(t, np.floor(plan.cells(t, points))), "uid": part.column("uid"), "embedding": part.column("embedding")}
+            values = matrix(part.column("embedding"), dim)
+            for s, plan in enumerate(plans.value[dim].scales):
+                points = plan.lifted(values)
+                for t in range(tables):
+                    yield {"dim": part.column("dim"), "tab": [s * tables + t] * part.num_rows, "probe": [False] * part.num_rows,
+                           "code": plan.code(t, np.floor(plan.cells(t, points))), "uid": part.column("uid"), "embedding": part.column("embedding")}
+
+    def estimated(batch):
+        """Each query of a batch: its place, plan, vector and estimated distance."""
+        for dim in set(batch.column("dim").to_pylist()):
+            places = np.flatnonzero(batch.column("dim").to_numpy() == dim)
+            values = matrix(batch.column("embedding").take(pa.array(places)), dim)
+            yield from zip(places, [plans.value[dim]] * len(places), values, plans.value[dim].nears(values))
 
     def probing(batch):
-        for i, (uid, dim, vector) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("uid", "dim", "embedding")))):
-            plan = plans.value[dim]
-            point = plan.scaled(np.array([vector]))
-            for t in range(tables):
-                codes = plan.code(t, plan.probes(t, plan.cells(t, point)[0]))
-                yield {"dim": [dim] * len(codes), "tab": [t] * len(codes), "probe": [True] * len(codes), "code": codes,
-                       "uid": [uid] * len(codes), "embedding": batch.column("embedding").take([i] * len(codes))}
+        for i, plan, vector, near in estimated(batch):
+            for s, t, cell, visited in plan.visits(vector, near):
+                codes = plan.scales[s].code(t, np.floor(cell) + visited)
+                row = batch.slice(i, 1)
+                yield {"tab": [s * tables + t] * len(codes), "probe": [True] * len(codes), "code": codes} | {
+                    c: row.column(c).take([0] * len(codes)) for c in ("dim", "uid", "embedding")}
+
+    def unfinished(batch):
+        """Queries with too few answers, or whose cells do not cover the distance of the last one."""
+        keep = []
+        for i, plan, vector, near in estimated(batch):
+            last = batch.column("last")[i].as_py()
+            missed = 1.0
+            if last is not None:
+                norm = plan.scales[0].norm
+                reached = math.sqrt(max(2 * norm**2 - 2 * norm * last / math.sqrt((vector**2).sum()), 1e-12 * norm**2))
+                for s, t, cell, visited in plan.visits(vector, near):
+                    missed *= 1 - min(1.0, plan.scales[s].covered(cell, visited, reached))
+            if missed > (1 - success)**tables + SLACK:
+                keep.append(i)
+        yield {c: batch.column(c).take(pa.array(keep, pa.int64())) for c in ("uid", "dim", "embedding")}
 
     shape = "dim int, tab int, probe boolean, code long, uid long, embedding array<double>"
     entries, probes = arrow_map(nodes.select("dim", "uid", "embedding"), hashed, shape), arrow_map(asked, probing, shape)
     keys = ["dim", "tab", "code", "piece_a", "piece_b"]
-    parts = cut_buckets(entries, probes, piece)
-    together = parts.repartition(partitions(vectors), *keys).sortWithinPartitions(*keys, "probe")
     kinds = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("score", pa.float64())])
 
     def search(batches):
@@ -237,12 +320,28 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, tables: int = T
                  pa.array(np.concatenate([x[0][0] for x in found.values()]) if found else np.zeros(0, np.int64)),
                  pa.array(np.concatenate([x[0][1] for x in found.values()]) if found else np.zeros(0))], schema=kinds)
 
-    merged = ship(together).mapInArrow(search, "query long, uid long, score double").groupBy("query", "uid").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "uid")
-    best = merged.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top + 1)
-    listed = (best.join(nodes.select("uid", "ids"), "uid").select("query", "score", F.explode("ids").alias("vec_id"))
-              .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
-              .filter(F.col("r") <= top + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")))
+    def answered(entries, probes):
+        """query and the ``top`` + 1 best it finds in the buckets it probes."""
+        parts = cut_buckets(entries, probes, piece)
+        together = parts.repartition(partitions(vectors), *keys).sortWithinPartitions(*keys, "probe")
+        merged = (ship(together).mapInArrow(search, "query long, uid long, score double")
+                  .groupBy("query", "uid").agg(F.max("score").alias("score")))
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "uid")
+        best = merged.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top + 1)
+        return (best.join(nodes.select("uid", "ids"), "uid").select("query", "score", F.explode("ids").alias("vec_id"))
+                .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+                .filter(F.col("r") <= top + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")))
+
+    listed = cut_lineage(answered(entries, probes))
+    last = listed.select(F.col("query").alias("uid"), F.when(F.size("found") > top, F.element_at("found", -1)["score"]).alias("last"))
+    rest = cut_lineage(arrow_map(asked.join(last, "uid", "left").select("uid", "dim", "embedding", "last"), unfinished,
+                                 "uid long, dim int, embedding array<double>"))
+    if not rest.isEmpty():
+        # One bucket holds all vectors of a length, and is cut like any other.
+        whole = [rows.select("dim", F.lit(-1).alias("tab"), F.lit(probe).alias("probe"), F.lit(0).cast("long").alias("code"), "uid", "embedding")
+                 for rows, probe in ((nodes, False), (rest, True))]
+        listed = (listed.join(rest.select(F.col("uid").alias("query")), "query", "left_anti")
+                  .unionByName(answered(*whole)))
     # Each query id takes its vector's list without itself.
     everyone = sound.filter(is_query).select(F.col("vec_id").cast("long").alias("query_id"),
                                              F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("embedding")).distinct()
