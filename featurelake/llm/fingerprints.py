@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelake.llm.banding import all_links, band_members
-from featurelake.llm.common import arrow_map, mixed, partitions, shingle_hashes, ship, slices, word_hashes
+from featurelake.llm.common import arrow_map, hashable, mixed, partitions, shingle_hashes, ship, slices, word_hashes
 from featurelake.llm.components import components
 from featurelake.session import cut_lineage
 
@@ -95,8 +95,7 @@ def band_hashes(prints: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the least doc_id among the texts joined by links of similarity SIMILAR or more, for every
     document. Texts are known by 64-bit hashes; a class of null ids alone has a null id."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text"))
+    rows = noded(docs)
 
     def run(batch):
         texts = batch.column("text").to_pylist()
@@ -105,7 +104,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield {"doc_id": batch.column("doc_id").slice(a, b - a), "node": batch.column("node").slice(a, b - a),
                    "bands": list(values)}
 
-    prints = cut_lineage(arrow_map(rows, run, "doc_id long, node long, bands array<long>"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = cut_lineage(arrow_map(rows, run, f"doc_id {kind}, node long, bands array<long>"))
+    return prints.select("doc_id", "node").join(classes(prints, rows), "node", "left").select("doc_id", "class_id")
+
+
+def noded(docs: DataFrame) -> DataFrame:
+    """doc_id, node (the text's hash) and text (null as empty)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text"))
+
+
+def classes(prints: DataFrame, rows: DataFrame) -> DataFrame:
+    """class_id of every node, from stored rows doc_id, node, bands, and the texts of rows node, text."""
+    prints = prints.select("doc_id", "node", "bands")
     members = cut_lineage(band_members(prints))
     pairs = members.select("centre", "node").distinct()
     wanted = members.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
@@ -113,8 +125,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(all_links(members, pairs, texts, word_set, SIMILAR, PIECE))
     nodes = cut_lineage(prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
                         .select("node", "least", F.coalesce("root", "node").alias("root")))
-    named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
-    return prints.select("doc_id", "node").join(named, "node", "left").select("doc_id", "class_id")
+    return nodes.join(nodes.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One document of each class, with its own columns: the one of least doc_id, a null id only if there is no other;
+    of equal ids the one whose columns hash lowest, and one of rows alike in all columns."""
+    rows = docs.withColumns({"__row": F.xxhash64(*hashable(docs)), "__twin": F.xxhash64(F.lit(1), *hashable(docs))})
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"), F.col("__twin").alias("twin"))
+    named = near_duplicates(rows.select(order.alias("doc_id"), "text"))
+    kept = (named.filter(F.col("doc_id") == F.col("class_id"))
+            .select(F.col("doc_id.row").alias("__row"), F.col("doc_id.twin").alias("__twin")).distinct())
+    packed = rows.select("__row", "__twin", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    return packed.join(kept, ["__row", "__twin"], "left_semi").dropDuplicates(["__row", "__twin"]).select("__doc.*")
 
 
 def edited(text: str, following: str) -> str:
