@@ -66,9 +66,10 @@ def minhashes(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def hexadecimal(prints: np.ndarray) -> list[str]:
-    data = prints.astype(">u4").tobytes().hex()
-    width = HASHES * 8
+def packed(prints: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes, highest first, so that their hexadecimal form reads value by value."""
+    data = prints.astype(">u4").tobytes()
+    width = HASHES * 4
     return [data[i:i + width] for i in range(0, len(data), width)]
 
 
@@ -169,24 +170,25 @@ def ordered(docs: DataFrame) -> DataFrame:
             .repartition(n, "range").sortWithinPartitions("range", "copied", F.col("doc_id").asc_nulls_last(), "h"))
 
 
-def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """Ids, texts and next texts, about ``BATCH_BYTES`` characters at a time, from batches of an ordered partition."""
+def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
+    """Ids, texts, next texts and text hashes, about ``BATCH_BYTES`` characters at a time, from batches of an ordered partition."""
     held, size = None, 0
-    ids, texts, follows = [], [], []
+    ids, texts, follows, hashes = [], [], [], []
     for batch in batches:
-        for row in zip(*(batch.column(c) for c in ("range", "copied", "doc_id", "text"))):
+        for row in zip(*(batch.column(c) for c in ("range", "copied", "doc_id", "text", "h"))):
             row = tuple(x.as_py() for x in row)
             if held is not None and not held[1] and held[0] == row[0]:
                 ids.append(held[2])
                 texts.append(held[3])
                 follows.append(row[3])
+                hashes.append(held[4])
                 size += len(held[3])
                 if size > BATCH_BYTES:
-                    yield ids, texts, follows
-                    ids, texts, follows, size = [], [], [], 0
+                    yield ids, texts, follows, hashes
+                    ids, texts, follows, hashes, size = [], [], [], [], 0
             held = row
     if ids:
-        yield ids, texts, follows
+        yield ids, texts, follows, hashes
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -201,15 +203,16 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text, its edited text and the next text, and their likeness.
+    """Fingerprints of each text, its edited text and the next text, their likeness, and the text's class of near copies.
 
-    Pairing and hashing are one pass in one Python worker per task.
+    Pairing and hashing are one pass in one Python worker per task; its rows, with the bands, are stored once.
     """
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                       ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("own", pa.binary()),
+                       ("edited", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("node", pa.int64()),
+                       ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for ids, texts, following in followed(batches):
+        for ids, texts, following, nodes in followed(batches):
             mine, after = [t.encode() for t in texts], [f.encode() for f in following]
             changed = [edited(t, f).encode() for t, f in zip(texts, following)]
             own, other = minhashes(mine), minhashes(changed)
@@ -217,10 +220,14 @@ def compare(docs: DataFrame) -> DataFrame:
             lone = [i for i in range(len(ids)) if i + 1 == len(ids) or after[i] != mine[i + 1]]
             nxt = np.concatenate([own[1:], own[:1]])
             nxt[lone] = minhashes([after[i] for i in lone])
-            columns = [ids, [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in changed], hexadecimal(own),
-                       hexadecimal(other), likeness(own, other), likeness(own, nxt)]
+            columns = [ids, [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in changed], packed(own),
+                       packed(other), likeness(own, other), likeness(own, nxt), nodes, list(band_hashes(own).view(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip(columns, kinds)], schema=kinds)
 
-    return ship(ordered(docs)).mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-             "near_edited double, near_next double")
+    stored = cut_lineage(ship(ordered(docs)).mapInArrow(
+        run, "doc_id long, n_chars long, edited_sha256 string, own binary, edited binary, near_edited double, near_next double, "
+             "node long, bands array<long>"))
+    named = cut_lineage(classes(stored, noded(docs)))
+    return stored.drop("bands").join(named, "node", "left").select(
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("own")).alias("fingerprint"),
+        F.lower(F.hex("edited")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id")

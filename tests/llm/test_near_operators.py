@@ -280,6 +280,15 @@ def test_near_duplicates_equal_brute_force(spark, sf, odd, none):
     assert fingerprints.near_duplicates(none).collect() == []
 
 
+def test_op8_names_classes(spark, base):
+    random.seed(4)
+    texts = [" ".join(random.choices(WORDS, k=80)) for _ in range(30)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[:10]]  # near copies with distant ids
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{base}/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in queries.op8(spark, base).collect()}
+    assert got == {i: i if i < 30 else i - 30 for i in range(40)}
+
+
 # -- neighbours ---------------------------------------------------------------------------------------
 
 def brute_nearest(rows, is_query, top):
