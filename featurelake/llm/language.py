@@ -4,15 +4,19 @@
 scripts a language is written. ``label`` splits a text into words (runs of letters). The script of a word narrows its
 candidates; each candidate's score is the sum of its n-grams' log-probabilities. A Viterbi pass over the words of a
 text, in which each change of language costs a penalty, labels spans. The text's language is the one with most letters
-in its spans, and its score that language's share of the letters, from 0 to 1.
+in its spans, and its score that language's share of the letters, from 0 to 1. Letters of words in scripts that no learned
+language uses count in the whole only. A text's evidence is the mean log-probability of the n-grams in that language's
+spans over that of n-grams spread evenly, as a share of what the language's own learned texts have: about 1 for a text in
+a learned language, lower for one that was not learned but shares the script. ``filtered`` asks for both.
 
 The passes of all texts in a batch advance together, one word at a time, so numpy does the work; the table has a fixed
 number of buckets per language and is the only thing sent to the tasks. There is no shuffle.
 
 The sample: at most about ``SAMPLE`` labelled rows of each language, those with the smallest hashed ids, so it is the
-same on each run. Words of scripts that no learned language uses carry no evidence.
+same on each run.
 
-Defined results: null, empty and letterless texts are ``und`` with score 0. Ties go to the language first in code-point
+Defined results: null, empty and letterless texts are ``und`` with score and evidence 0. A text wholly in scripts that no
+learned language uses has score and evidence 0 as well. Ties go to the language first in code-point
 order. Rows without a label, or with an empty one, teach nothing; without any labelled row every text is ``und``.
 Repeated rows each get a row; extra columns are left out.
 """
@@ -34,6 +38,8 @@ SAMPLE, BUCKETS, NGRAM, PENALTY = 3000, 1 << 16, 4, 12.0
 LANGUAGES = 200
 #: Least share of a language's letters in a script for the script to admit it.
 SCRIPT_SHARE = 0.02
+#: Least evidence of a document that ``filtered`` keeps.
+LEAST_EVIDENCE = 0.4
 #: Bytes of text whose words advance together, words scored at a time.
 BATCH_BYTES, WORDS_AT_ONCE = 1 << 20, 50_000
 UNDETERMINED = "und"
@@ -87,6 +93,7 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # by n-gram bucket and language
     admitted: np.ndarray  # by script and language
+    usual: np.ndarray  # mean excess of the learned texts' log-probability by language
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +183,8 @@ def fit(docs: DataFrame, teach: Column, size: int = SAMPLE) -> Model:
     grams, scripts = counts[:BUCKETS], counts[BUCKETS:]
     scores = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32)
     admitted = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
-    return Model(languages, scores, admitted)
+    usual = (grams * scores).sum(axis=0) / np.maximum(grams.sum(axis=0), 1) + np.log(BUCKETS)
+    return Model(languages, scores, admitted, np.maximum(usual, 1e-9))
 
 
 def word_scores(model: Model, body: np.ndarray, first: np.ndarray, scripts: np.ndarray) -> np.ndarray:
@@ -228,43 +236,52 @@ def viterbi(scores: np.ndarray, before: np.ndarray, penalty: float) -> np.ndarra
 
 
 def labelled_texts(model: Model, texts: list[bytes], penalty: float = PENALTY):
-    """Language, score and spans (language, first word, number of words) of each text."""
+    """Language, score, spans (language, first word, number of words) and evidence of each text."""
     body, first, lengths, scripts, before = words_of(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(before))
     if not model.languages:
-        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in texts], np.zeros(len(texts))
     scores = word_scores(model, body, first, scripts)
     labels = viterbi(scores, before, penalty)
     letters = np.zeros((len(texts), len(model.languages)))
-    np.add.at(letters, (owner, labels), lengths)
-    total = letters.sum(axis=1)
+    known = model.admitted[scripts].any(axis=1)
+    np.add.at(letters, (owner[known], labels[known]), lengths[known])
+    total = np.bincount(owner, lengths, minlength=len(texts))
     best = letters.argmax(axis=1)
     share = letters[np.arange(len(texts)), best] / np.maximum(total, 1)
+    spoken = known & (labels == best[owner])
+    grams = np.diff([*first, len(body)])
+    sums = [np.bincount(owner[spoken], x[spoken], minlength=len(texts))
+            for x in (scores[np.arange(len(labels)), labels].astype(np.float64), grams)]
+    evidence = np.where(sums[1] > 0, (sums[0] / np.maximum(sums[1], 1) + np.log(BUCKETS)) / model.usual[best], 0.0)
     names = [model.languages[b] if t else UNDETERMINED for b, t in zip(best, total)]
     cut = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])])) if len(labels) else []
     ends = [*cut[1:], len(labels)] if len(cut) else []
     spans = [[] for _ in texts]
     for a, b in zip(cut, ends):
         spans[owner[a]].append({"lang": model.languages[labels[a]], "first_word": int(a - before[owner[a]]), "words": int(b - a)})
-    return names, share, spans
+    return names, share, spans, evidence
 
 
 def label(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
-    """doc_id, lang_pred, score and spans of every text."""
+    """doc_id, lang_pred, score, spans and evidence of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, a fixed size
 
     def run(batch):
         for a, b in slices(binary_sizes(batch.column("text")), BATCH_BYTES):
             part = batch.slice(a, b - a)
-            names, share, spans = labelled_texts(shared.value, part.column("text").to_pylist(), penalty)
-            yield {"doc_id": part.column("doc_id"), "lang_pred": names, "score": share, "spans": spans}
+            names, share, spans, evidence = labelled_texts(shared.value, part.column("text").to_pylist(), penalty)
+            yield {"doc_id": part.column("doc_id"), "lang_pred": names, "score": share, "spans": spans,
+                   "evidence": evidence}
 
     return arrow_map(docs.select("doc_id", text_bytes().alias("text")), run,
-                     "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>")
+                     "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>, "
+                     "evidence double")
 
 
 def filtered(docs: DataFrame, model: Model, least: float, penalty: float = PENALTY) -> DataFrame:
-    """The documents with a language whose share of the letters is at least ``least``, with their own columns only."""
+    """The documents with a language whose share of the letters is at least ``least`` and whose evidence is at least
+    ``LEAST_EVIDENCE``, with their own columns only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -273,8 +290,8 @@ def filtered(docs: DataFrame, model: Model, least: float, penalty: float = PENAL
             column = batch.column("text").fill_null("")
             for a, b in slices(binary_sizes(column), BATCH_BYTES):
                 texts = [t.as_py().encode() for t in column.slice(a, b - a)]
-                names, share, _ = labelled_texts(shared.value, texts, penalty)
-                keep[a:b] = (np.array(names, object) != UNDETERMINED) & (share >= least)
+                names, share, _, evidence = labelled_texts(shared.value, texts, penalty)
+                keep[a:b] = (np.array(names, object) != UNDETERMINED) & (share >= least) & (evidence >= LEAST_EVIDENCE)
             yield batch.filter(pa.array(keep))
 
     return ship(docs).mapInArrow(run, docs.schema)

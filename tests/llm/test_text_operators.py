@@ -163,6 +163,19 @@ def test_script_narrows_candidates(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in language.label(asked, model).collect()} == {9: "ru", 8: "en", 7: "el", 6: "und", 5: "el"}
 
 
+def test_stage_rejects_what_was_not_learned(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"])
+    model = language.fit(docs, F.lit(True))
+    han = spark.createDataFrame([(1, "漢字仮名" * 20), (2, "漢字仮名" * 20 + " the house and the garden")], "doc_id long, text string")
+    assert {r["doc_id"]: r["score"] < 0.5 for r in language.label(han, model).collect()} == {1: True, 2: True}
+    assert language.filtered(han, model, 0.5).count() == 0
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto"
+    assert language.filtered(spark.createDataFrame([(3, finnish)], "doc_id long, text string"), model, 0.5).count() == 0
+    assert language.filtered(docs, model, 0.5).count() == docs.filter("n_chars > 0").count()
+    assert len(langs) > 1
+
+
 # -- token counts -------------------------------------------------------------------------------------
 
 def library(name):
