@@ -261,6 +261,18 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and same of every text: whether the ids decode to the text; a null text counts as empty."""
+
+    def run(batch):
+        bpe = load(path)
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        ids = [bpe.encode(t) for t in texts]
+        yield {"doc_id": batch.column("doc_id"), "ids": ids, "same": [text_of(bpe.decode(i)) == t for i, t in zip(ids, texts)]}
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, same boolean")
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encode every text, decode its ids, and return both as digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 

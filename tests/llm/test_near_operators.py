@@ -407,3 +407,8 @@ def test_near_dedup_stage_equals_brute_force_jaccard(spark, sf):
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert {r["doc_id"] for r in stage(spark, docs, sf).collect()} == want
     assert {r["doc_id"] for r in simhash.distinct_documents(docs).collect()} != want  # four bits reach too few
+
+
+def test_last_stage_decodes_its_ids(spark, odd):
+    rows = dict(corpus_pipeline.STAGES)["bpe_encoding"](spark, odd, "").collect()
+    assert len(rows) == odd.count() and all(r["same"] is True and r["n_tokens"] == len(r["ids"]) for r in rows)
