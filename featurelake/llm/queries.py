@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelake.llm import bpe, fingerprints, language, language_model, line_dedup, mixing, neighbours, simhash, token_counts, url_filter
+from featurelake.llm import (bpe, conversations, fingerprints, language, language_model, line_dedup, mixing, neighbours, simhash,
+                             substrings, token_counts, url_filter, whitening)
 from featurelake.llm.common import crc_part, tokenizer_file
 from featurelake.session import scratch_path
 
@@ -124,3 +125,34 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @add("op10_bpe_round_trip")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@add("op11_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+# Windows as text, the first document of each, and the words that no window with an earlier first document covers.
+SUBSTRINGS = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM docs),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS text FROM places),
+marks AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY text) AS first FROM windows) WHERE first < doc_id),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM marks),
+gone AS (SELECT doc_id, count(*) AS n, list(i) AS taken FROM covered GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE
+         list_where(words, list_transform(range(1, len(words) + 1), lambda j: NOT list_contains(taken, j))) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id)
+"""
+
+
+@add("op12_substring_dedup", SUBSTRINGS)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@add("op13_conversation_repair")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf, "conversations")), live="live")
