@@ -6,19 +6,22 @@ minimiser's bucket:
 
 1. Minimisers are counted. Those of many strings are called hot: their windows travel one by one, and their bucket is the
    window's own hash, so no bucket grows with a frequent phrase. The list of hot ones is at most ``HOT_LIST`` numbers long.
-2. Every task packs its strings and merges equal ones, keeping the least and largest document. A passage in a third of all
-   documents thus leaves each slice of a task once. One shuffle by bucket follows.
-3. Sorted by bucket, strings are merged again and cut into windows. Sorting the windows of a stretch of buckets gives each one's
-   first document. The 64-bit hashes only set aside windows that occur once; the others are grouped by their words.
-4. Strings with a window that starts in two documents are named by a 128-bit digest. Documents tell the digests and places of
-   their strings, a join finds those shared, and every place whose window has an earlier first document is a mark.
+2. Every task packs its strings. Those for one partition leave together, as compressed blocks, with their document and place.
+   Equal hot windows of a block are merged, keeping the least and largest document: a passage in a third of all documents
+   leaves each block once. One shuffle by bucket follows.
+3. Sorted by bucket, strings are cut into windows. Sorting the windows of a stretch of buckets gives each one's first document.
+   The 64-bit hashes only set aside windows that occur once; the others are grouped by their words. A place whose window
+   has an earlier first document is a mark of its document.
+4. Merged windows have lost their places. Those that start in two documents are named by a 128-bit digest; documents tell
+   digests and places of their hot windows, and a join finds the marks.
 5. Marks, gathered by document, meet its text once more.
 
 Each window's first document is thus found over all documents, judged on the input and not on what is left.
 
 Defined results: one row for each input row. A null text has no words; texts of fewer words than a window lose none. A null id
 is larger than all others (as is the largest long), so such a document never takes words from a numbered one, and null ids
-leave each other alone, as rows of equal id do. Equal rows get equal results. Extra columns are left out.
+leave each other alone, as rows of equal id do. Equal rows get equal results. Rows of one id are told apart by 32 bits of
+their text's hash. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +39,11 @@ from featurelake.llm.common import _BLANK, _PLACE, binary_sizes, mixed, partitio
 from featurelake.session import cut_lineage
 
 #: Words of a window and of a minimiser, most windows in one packed string.
-WINDOW, SEED, LONGEST = 13, 3, 256
+WINDOW, SEED, LONGEST = 13, 2, 256
 #: Strings that make a minimiser hot (more, if the list would grow beyond the second number).
-HOT_STRINGS, HOT_LIST = 4096, 1_000_000
-#: Bytes of texts packed at a time, bytes of strings cut into windows at a time.
-PACK_BYTES, SORT_BYTES = 4 << 20, 4 << 20
+HOT_STRINGS, HOT_LIST = 20_000, 1_000_000
+#: Bytes of texts packed at a time, bytes of strings that leave a task at a time, bytes of strings cut into windows at a time.
+PACK_BYTES, BLOCK_BYTES, SORT_BYTES = 4 << 20, 24 << 20, 4 << 20
 _LAST = 2**63 - 1
 
 
@@ -88,11 +92,11 @@ def sliding_least(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def strings(words: Words, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows and bucket of every packed string."""
+def strings(words: Words, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows and bucket of every packed string, and whether it is a window with a hot minimiser."""
     places = words.places()
     if not len(places):
-        return places, places, np.zeros(0, np.uint64)
+        return places, places, np.zeros(0, np.uint64), np.zeros(0, bool)
     least = sliding_least(words.grams(SEED), WINDOW - SEED + 1)[places]
     lone = np.isin(least, hot) if len(hot) else np.zeros(len(places), bool)
     new = np.ones(len(places), bool)
@@ -107,7 +111,7 @@ def strings(words: Words, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     bucket = least[first]
     if lone.any():
         bucket = np.where(lone[first], words.grams(WINDOW)[places[first]], bucket)
-    return places[first], counts, bucket
+    return places[first], counts, bucket, lone[first]
 
 
 def _text_slices(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
@@ -120,7 +124,7 @@ def _text_slices(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
 def keyed(docs: DataFrame) -> DataFrame:
     """ord (the id, null last), h (the text's hash), doc_id and text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"),
-                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"), "doc_id", "text")
+                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("h"), "doc_id", "text")
 
 
 def hot_minimisers(rows: DataFrame, most: int | None = None) -> np.ndarray:
@@ -149,32 +153,71 @@ def hot_minimisers(rows: DataFrame, most: int | None = None) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def merged(packed: pa.Array | list, least: pa.Array, largest: pa.Array, buckets=None) -> pa.Table:
-    """Equal strings once, with their least and largest document."""
-    columns = {"packed": pa.array(packed, pa.binary()) if isinstance(packed, list) else packed, "least": least, "largest": largest}
-    if buckets is not None:
-        columns["bucket"] = buckets
-    wanted = [("least", "min"), ("largest", "max")] + ([("bucket", "min")] if buckets is not None else [])
-    return pa.table(columns).group_by("packed").aggregate(wanted)
+#: Columns of strings: of merged ones, h and start are null. Buckets keep 32 bits; where two share them, they share a stretch.
+STRINGS = "bucket int, packed binary, least long, largest long, h int, start int"
+_STRINGS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("least", pa.int64()), ("largest", pa.int64()), ("h", pa.int32()),
+                      ("start", pa.int32())])
 
 
 def packed_strings(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """bucket, packed, least, largest: the strings of all documents, equal ones of a slice merged."""
-    schema = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("least", pa.int64()), ("largest", pa.int64())])
+    """Strings of all documents, all of one bucket in one partition, travelling in compressed blocks."""
+    count = partitions(rows)
     shipped = rows.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches):
+    schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+
+    def blocks(tables: list[tuple[np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        parts, table = np.concatenate([p for p, _ in tables]), pa.concat_tables(t for _, t in tables)
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+        order = np.argsort(parts, kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        cuts = np.searchsorted(parts[order], np.arange(count + 1))
+        for part in np.flatnonzero(np.diff(cuts)):
+            some = table.slice(cuts[part], cuts[part + 1] - cuts[part])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _STRINGS, options=options) as out:
+                out.write_table(merged_places(some))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
+
+    def pack(batches):
+        held, size = [], 0
         for batch in batches:
-            for texts, ids in _text_slices(batch, "ord"):
+            for texts, ids, h in _text_slices(batch, "ord", "h"):
                 words = Words(texts)
-                first, counts, buckets = strings(words, shipped.value)
+                first, counts, buckets, lone = strings(words, shipped.value)
                 owner = np.searchsorted(words.bounds, first, side="right") - 1
-                ids = pa.array(ids.to_numpy()[owner])
-                table = merged(words.cut(first, first + counts + WINDOW - 2), ids, ids, pa.array(buckets.view(np.int64)))
-                yield from pa.table([table[c].cast(schema.field(i).type) for i, c in
-                                     enumerate(("bucket_min", "packed", "least_min", "largest_max"))], schema=schema).to_batches(max_chunksize=10_000)
+                packed = words.cut(first, first + counts + WINDOW - 2)
+                ord_ = pa.array(ids.to_numpy()[owner])
+                places = pa.array((first - words.bounds[owner]).astype(np.int32), mask=lone)
+                held.append(((buckets % np.uint64(count)).astype(np.int32), pa.table([
+                    pa.array((buckets >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(packed, pa.binary()), ord_, ord_,
+                    pa.array(h.to_numpy()[owner], mask=lone), places], schema=_STRINGS)))
+                size += sum(map(len, packed))
+                if size > BLOCK_BYTES:
+                    yield from blocks(held)
+                    held, size = [], 0
+        if held:
+            yield from blocks(held)
+
+    def unpack(batches):
+        for batch in batches:
+            for block in batch.column("block"):
+                for part in pa.ipc.open_stream(block.as_buffer()):
+                    for a in range(0, len(part), 10_000):
+                        yield part.slice(a, 10_000)
+
+    dealt = ship(rows.select("ord", "h", "text")).mapInArrow(pack, "part int, block binary").repartitionById(count, F.col("part"))
+    return dealt.select("block").mapInArrow(unpack, STRINGS)
+
 
-    return ship(rows.select("ord", "text")).mapInArrow(run, "bucket long, packed binary, least long, largest long")
+def merged_places(table: pa.Table) -> pa.Table:
+    """Rows without a place, merged where their strings are equal; the others as they are."""
+    lone = table["start"].is_null()
+    if not pc.any(lone).as_py():
+        return table
+    again = table.filter(lone).group_by("packed").aggregate([("bucket", "min"), ("least", "min"), ("largest", "max")])
+    none = pa.nulls(len(again), pa.int32())
+    again = pa.table([again["bucket_min"], again["packed"], again["least_min"], again["largest_max"], none, none], schema=_STRINGS)
+    return pa.concat_tables([table.filter(pc.invert(lone)), again]).combine_chunks()
 
 
 def first_documents(packed: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,23 +241,31 @@ def first_documents(packed: list[bytes], least: np.ndarray) -> tuple[np.ndarray,
     return firsts, bounds
 
 
-def shared_strings(strings_: DataFrame) -> DataFrame:
-    """digest and firsts (first document of each window) of the strings with a window that starts in two documents."""
-    schema = pa.schema([("digest", pa.binary()), ("firsts", pa.list_(pa.int64()))])
+def found_marks(strings_: DataFrame) -> DataFrame:
+    """Marks (ord, h, marks) of strings with a place, and digest and firsts of merged windows that start in two documents."""
+    schema = pa.schema([("ord", pa.int64()), ("h", pa.int32()), ("marks", pa.list_(pa.int32())), ("digest", pa.binary()), ("firsts", pa.list_(pa.int64()))])
 
     def tell(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts).combine_chunks()
-        table = merged(table["packed"], table["least"], table["largest"])
-        packed = table["packed"].to_pylist()
-        largest = table["largest_max"].to_numpy()
-        firsts, bounds = first_documents(packed, table["least_min"].to_numpy())
-        earlier = np.minimum.reduceat(firsts, bounds[:-1]) < largest
-        wanted = np.flatnonzero(earlier)
+        own = table.group_by("packed").aggregate([("least", "min"), ("largest", "max")])
+        packed = own["packed"].to_pylist()
+        firsts, bounds = first_documents(packed, own["least_min"].to_numpy())
+        earliest = np.minimum.reduceat(firsts, bounds[:-1])
+        number = dict(zip(packed, range(len(packed))))
+        shared = earliest < own["largest_max"].to_numpy()
+        names = np.fromiter(map(number.__getitem__, table["packed"].to_pylist()), np.int64, len(table))
+        largest = table["largest"].to_numpy()
+        wanted = np.flatnonzero(shared[names] & (earliest[names] < largest))
+        lone = table["start"].is_null().to_numpy()[wanted]
+        starts, hashes = table["start"].fill_null(0).to_numpy(), table["h"].fill_null(0).to_numpy()
         for a in range(0, len(wanted), 4096):
-            some = wanted[a:a + 4096]
+            some, merged = wanted[a:a + 4096], lone[a:a + 4096]
+            seen = [firsts[bounds[k]:bounds[k + 1]] for k in names[some]]
+            marks = [None if m else np.flatnonzero(f < largest[i]).astype(np.int32) + starts[i] for i, m, f in zip(some, merged, seen)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([xxhash.xxh3_128_digest(packed[i]) for i in some], pa.binary()),
-                pa.array([firsts[bounds[i]:bounds[i + 1]] for i in some], schema.field("firsts").type)], schema=schema)
+                pa.array(largest[some], mask=merged), pa.array(hashes[some], mask=merged), pa.array(marks, schema.field("marks").type),
+                pa.array([xxhash.xxh3_128_digest(packed[k]) if m else None for k, m in zip(names[some], merged)], pa.binary()),
+                pa.array([f if m else None for f, m in zip(seen, merged)], schema.field("firsts").type)], schema=schema)
 
     def run(batches):
         held, size, last = [], 0, None
@@ -238,40 +289,43 @@ def shared_strings(strings_: DataFrame) -> DataFrame:
         if held:
             yield from tell(held)
 
-    dealt = strings_.repartition(partitions(strings_), "bucket").sortWithinPartitions("bucket")
-    return ship(dealt).mapInArrow(run, "digest binary, firsts array<long>")
+    return strings_.sortWithinPartitions("bucket").mapInArrow(run, "ord long, h int, marks array<int>, digest binary, firsts array<long>")
 
 
-def string_places(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """ord, h, start and digest of every packed string of every document; start counts the document's words from 0."""
-    schema = pa.schema([("ord", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("digest", pa.binary())])
+def hot_places(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """ord, h, start and digest of every window with a hot minimiser; start counts the document's words from 0."""
+    schema = pa.schema([("ord", pa.int64()), ("h", pa.int32()), ("start", pa.int32()), ("digest", pa.binary())])
     shipped = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for batch in batches:
             for texts, ids, h in _text_slices(batch, "ord", "h"):
                 words = Words(texts)
-                first, counts, _ = strings(words, shipped.value)
+                first, _, _, lone = strings(words, shipped.value)
+                first = first[lone]
                 owner = np.searchsorted(words.bounds, first, side="right") - 1
-                digests = list(map(xxhash.xxh3_128_digest, words.cut(first, first + counts + WINDOW - 2)))
+                digests = list(map(xxhash.xxh3_128_digest, words.cut(first, first + WINDOW - 1)))
                 out = pa.RecordBatch.from_arrays([
                     pa.array(ids.to_numpy()[owner]), pa.array(h.to_numpy()[owner]),
                     pa.array((first - words.bounds[owner]).astype(np.int32)), pa.array(digests, pa.binary())], schema=schema)
                 for a in range(0, len(out), 10_000):
                     yield out.slice(a, 10_000)
 
-    return ship(rows.select("ord", "h", "text")).mapInArrow(run, "ord long, h long, start int, digest binary")
+    return ship(rows.select("ord", "h", "text")).mapInArrow(run, "ord long, h int, start int, digest binary")
 
 
 def marked_places(docs: DataFrame, hot_strings: int | None = None) -> DataFrame:
     """ord, h, marks: by document the first words of all windows that start in a document of smaller id."""
     rows = keyed(docs)
     hot = hot_minimisers(rows, hot_strings)
-    shared = cut_lineage(shared_strings(packed_strings(rows, hot)))
-    found = string_places(rows, hot).join(shared, "digest")
-    marks = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("ord"), F.col("start") + i)), lambda p: p.isNotNull())
-    return found.select("ord", "h", marks.alias("marks")).where(F.size("marks") > 0).groupBy("ord", "h").agg(
-        F.flatten(F.collect_list("marks")).alias("marks"))
+    found = cut_lineage(found_marks(packed_strings(rows, hot)))
+    marks = found.where(F.col("marks").isNotNull()).select("ord", "h", "marks")
+    if len(hot):
+        # Blocks of several tasks tell of the same window; each has its least document by then.
+        shared = found.where(F.col("digest").isNotNull()).select("digest", F.element_at("firsts", 1).alias("first")).distinct()
+        places = hot_places(rows, hot).join(shared, "digest").where(F.col("first") < F.col("ord"))
+        marks = marks.unionByName(places.select("ord", "h", F.array("start").alias("marks")))
+    return marks.groupBy("ord", "h").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
 
 def kept_words(text: str | None, marks: np.ndarray) -> tuple[int, list[bytes]]:
