@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from featurelake.catalog.bindings import PREDICTIONS, REQUESTS, Catalog, predictions, predictions_of, requests_of
+from featurelake.catalog.bindings import PREDICTIONS, REQUESTS, Catalog, predictions, predictions_of, requests_of, table
 from featurelake.catalog.monitoring import minute_windows
 from featurelake.operators import traffic
 from featurelake.operators.profile import column_moments
 from featurelake.session import scratch_path
-from featurelake.streaming import streams
+from featurelake.streaming import alerting, streams
 
 catalog = Catalog()
 
@@ -139,3 +139,73 @@ def _(spark, sf):
     log = predictions_of(_events(spark, sf)).withColumn("value", F.col("value") + 500)
     streams.drain_batches(log, streams.drift_batch(reference, ["value", "k"], features, alerts), "drift")
     return spark.read.parquet(alerts).select("batch_id", "alert_type", "severity", "title")
+
+
+# -- alert rules ----------------------------------------------------------------------------------
+
+
+def _in_three_runs(spark, sf, states):
+    """Events arrive in three files, every seventh one up to five minutes late; the alert query is started anew for each."""
+    events = table(spark, sf, "events").withColumn("seen", F.col("ts") + F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 5 MINUTES"))
+                                                   .otherwise(F.expr("INTERVAL 0 MINUTES")))
+    first, last = events.agg(F.min("seen"), F.max("seen")).first()
+    cuts = [first + (last - first) * i / 3 for i in range(3)] + [None]
+    log, sink, state = (scratch_path(spark, tag) for tag in ("alert-log", "alerts", "alert-state"))
+    for low, high in zip(cuts, cuts[1:]):
+        part = events.where(F.col("seen") >= F.lit(low)) if high is None else events.where((F.col("seen") >= F.lit(low)) & (F.col("seen") < F.lit(high)))
+        part.drop("seen").write.mode("append").parquet(log)
+        stream = streams.stream_log(spark, f"{log}/", EVENT_SCHEMA, "ts", delay=DELAY)
+        alerting.start_alerts(states(stream), sink, state).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@catalog.add("stream_sustained", f"""
+WITH q AS ({REQUESTS}),
+w AS ({minute_windows("q", "count(*) AS n, count(*) FILTER (WHERE status >= 500) AS errors")}),
+e AS (SELECT window_end, CAST(errors AS DOUBLE) / n > 0.05 AS bad FROM w WHERE {_CLOSED})
+SELECT window_end, bad, count(*) FILTER (WHERE bad) OVER (ORDER BY window_end
+       RANGE BETWEEN INTERVAL 10 MINUTE PRECEDING AND CURRENT ROW) = 11 AS firing FROM e""")
+def _(spark, sf):
+    """The batch operator's answer, from state carried over batches and restarts."""
+    def states(events):
+        windows = traffic.rolling(requests_of(events), "ts", "5 minutes", "1 minute", {
+            "n": F.count(F.lit(1)), "errors": F.count_if(F.col("status").between(500, 599))}, event_time="at")
+        named = windows.select(F.lit("errors").alias("rule"), "window_end", "at", (F.col("errors") / F.col("n") > 0.05).alias("bad"))
+        return alerting.alert_states(named, "window_end", F.col("bad"), 10, event_time="at")
+
+    rows = _in_three_runs(spark, sf, states).where(F.col("held").isNotNull())
+    return _zoneless(rows.select("window_end", F.col("held").alias("bad"), "firing"), "window_end")
+
+
+def _rule(name: str, source: str, sums: str, bad: str, hold: int) -> str:
+    """States of one rule in SQL: the run each evaluation ends, and what follows a run."""
+    return f"""
+SELECT '{name}' AS rule, window_end, held, state FROM (
+  WITH w AS ({minute_windows(source, sums)}), e AS (SELECT window_end, {bad} AS held FROM w WHERE {_CLOSED}),
+  f AS (SELECT *, count(*) FILTER (WHERE held) OVER (ORDER BY window_end
+               RANGE BETWEEN INTERVAL {hold} MINUTE PRECEDING AND CURRENT ROW) = {hold + 1} AS firing FROM e),
+  g AS (SELECT *, lag(window_end) OVER o AS before, lag(firing) OVER o AS fired, lead(window_end) OVER o AS after FROM f
+        WINDOW o AS (ORDER BY window_end))
+  SELECT window_end, held, CASE WHEN held AND firing THEN 'firing' WHEN held THEN 'pending'
+         WHEN fired AND before = window_end - INTERVAL 1 MINUTE THEN 'resolved' ELSE 'inactive' END AS state FROM g
+  UNION ALL
+  SELECT window_end + INTERVAL 1 MINUTE, NULL, CASE WHEN firing THEN 'resolved' ELSE 'inactive' END FROM g
+  WHERE held AND coalesce(after > window_end + INTERVAL 1 MINUTE,
+                          window_end + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE))"""
+
+
+@catalog.add("stream_alert_rules", f"""
+WITH q AS ({REQUESTS}), g AS (SELECT ts, CAST(value < 60 AS INTEGER) AS gauge FROM events)
+{_rule("high_error_rate", "q", "count(*) AS n, count(*) FILTER (WHERE status >= 500) AS errors",
+       "CAST(errors AS DOUBLE) / n > 0.05", 10)}
+UNION ALL {_rule("high_latency_p95", "q", "count(*) AS n, count(*) FILTER (WHERE duration <= 0.25) AS fast",
+                 "fast < n * 0.95::DOUBLE", 10)}
+UNION ALL {_rule("model_not_loaded", "g", "avg(gauge) AS a", "a < 1", 5)}""")
+def _(spark, sf):
+    """All three rules in one query: inactive, pending, firing, resolved."""
+    def states(events):
+        gauges = events.select("ts", (F.col("value") < 60).cast("int").alias("gauge"))
+        evaluated = alerting.window_evaluations(requests_of(events), gauges, p95_limit=0.25, floor=None)
+        return alerting.alert_states(evaluated, "window_end", F.col("bad"), alerting.HOLD_MINUTES, event_time="at")
+
+    return _zoneless(_in_three_runs(spark, sf, states).select("rule", "window_end", "held", "state"), "window_end")

@@ -83,17 +83,19 @@ def access_stats(log: DataFrame, as_of: datetime | None = None, days: int = ACCE
 
 
 def rolling(df: DataFrame, ts: str, length: str, slide: str, sums: Mapping[str, Column],
-            keys: Sequence[str] = ()) -> DataFrame:
+            keys: Sequence[str] = (), event_time: str | None = None) -> DataFrame:
     """Sums over sliding windows, pre-aggregated per slide.
 
     Each row is counted once into its slide; only these partial sums are spread over the windows
-    that contain them. The same plan runs on a stream (append mode, watermark on ``ts``).
+    that contain them. The same plan runs on a stream (append mode, watermark on ``ts``); a further
+    stateful step needs ``event_time``, the name of a column that carries the watermark on.
     """
     partial = df.groupBy(F.window(ts, slide).alias("slot"), *keys).agg(*[c.alias(n) for n, c in sums.items()])
     spread = partial.groupBy(F.window(F.window_time("slot"), length, slide).alias("w"), *keys).agg(
         *[F.sum(n).alias(n) for n in sums])
+    carried = [F.window_time("w").alias(event_time)] if event_time else []
     return spread.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                         *keys, *sums)
+                         *carried, *keys, *sums)
 
 
 def request_rate(df: DataFrame, ts: str = "ts", length: str = "5 minutes", slide: str = "1 minute",
