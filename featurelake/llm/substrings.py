@@ -43,7 +43,7 @@ WINDOW, SEED, LONGEST = 13, 2, 256
 #: Strings that make a minimiser hot (more, if the list would grow beyond the second number).
 HOT_STRINGS, HOT_LIST = 20_000, 1_000_000
 #: Bytes of texts packed at a time, bytes of strings that leave a task at a time, bytes of strings cut into windows at a time.
-PACK_BYTES, BLOCK_BYTES, SORT_BYTES = 4 << 20, 24 << 20, 4 << 20
+PACK_BYTES, BLOCK_BYTES, SORT_BYTES = 1 << 20, 8 << 20, 1 << 20
 _LAST = 2**63 - 1
 
 
