@@ -116,9 +116,10 @@ def strings(words: Words, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _text_slices(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
     """Tidy texts of a batch, a bounded number of bytes at a time, with further columns."""
-    texts = [tidy(t.as_py()) for t in batch.column("text")]
-    for a, b in slices(map(len, texts), PACK_BYTES):
-        yield (texts[a:b], *[batch.column(c).slice(a, b - a) for c in columns])
+    text = batch.column("text")
+    for a, b in slices((n or 0 for n in binary_sizes(text)), PACK_BYTES):
+        yield ([tidy(t.as_py()) for t in text.slice(a, b - a)], *[batch.column(c).slice(a, b - a) for c in columns])
+    pa.default_memory_pool().release_unused()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
