@@ -242,7 +242,7 @@ def _(spark, sf):
 
 @catalog.add("feature_importance")
 def _(spark, sf):
-    return _importances(spark, sf, "random_forest", numTrees=10, maxDepth=6)
+    return _importances(spark, sf, "random_forest")
 
 
 @catalog.add("cross_validation")
@@ -253,14 +253,14 @@ def _(spark, sf):
 @catalog.add("batch_score")
 def _(spark, sf):
     rows = _vectors(spark, sf)
-    model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
+    model = train.train(rows, "random_forest")
     return score.score_batch(model, rows, "m1", key="line_id").select(
         "prediction_id", "prediction", "label", "probability_no_turning_point", "probability_turning_point", "confidence", "model_version")
 
 
 def _scored_by_ids(spark, sf):
     rows = _vectors(spark, sf)
-    model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
+    model = train.train(rows, "random_forest")
     store = ServingStore(spark, scratch_path(spark, "serving"))
     store.materialize(rows.drop("label"), "lines", "line_id")
     wanted = table(spark, sf, "lineitem").where("l_quantity > 40").select(_line_id())
@@ -284,7 +284,7 @@ def _(spark, sf):
 @catalog.add("model_roundtrip", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM lineitem")
 def _(spark, sf):
     rows = _vectors(spark, sf)
-    model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
+    model = train.train(rows, "random_forest")
     loaded = train.load_model(train.save_model(model, scratch_path(spark, "model"), "v1"))
     before = train.predict_rows(model, rows).select("line_id", F.col("score").alias("before"))
     after = train.predict_rows(loaded, rows).select("line_id", F.col("score").alias("after"))
@@ -295,10 +295,10 @@ def _(spark, sf):
 @catalog.add("tree_contributions")
 def _(spark, sf):
     rows = _vectors(spark, sf)
-    model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
+    model = train.train(rows, "random_forest")
     path = train.save_model(model, scratch_path(spark, "model"), "v1")
-    paths = explain.tree_paths(spark, train.stage_path(path, model))
-    parts = explain.tree_contributions(rows, paths, INPUTS, "line_id")
+    trees = explain.tree_nodes(spark, train.stage_path(path, model))
+    parts = explain.tree_contributions(rows, trees, INPUTS, "line_id")
     total = F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x["contribution"])
     return parts.select("line_id", F.round("base_value", 4).alias("base_value"), F.round(total, 4).alias("score"),
                         F.inline(explain.top_contributions(F.transform("contributions", lambda c: F.struct(
@@ -310,7 +310,7 @@ SELECT count(*) AS rows, count(*) AS rows_with_probabilities_of_one, count(*) AS
 def _(spark, sf):
     """Each row is scored once, its probabilities add up to 1 and the confidence is the larger one."""
     rows = _vectors(spark, sf)
-    model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
+    model = train.train(rows, "random_forest")
     p0, p1 = F.col("probability_no_turning_point"), F.col("probability_turning_point")
     return score.score_batch(model, rows, "m1", key="line_id").agg(
         F.count_distinct("prediction_id").alias("rows"),
@@ -323,9 +323,9 @@ SELECT count(*) AS rows, CAST(0 AS BIGINT) AS off, CAST(1 AS BIGINT) AS base_val
 def _(spark, sf):
     """Base value and contributions add up to the model's own score for every row."""
     rows = _vectors(spark, sf)
-    model = train.train(rows, "random_forest", numTrees=10, maxDepth=6)
+    model = train.train(rows, "random_forest")
     path = train.save_model(model, scratch_path(spark, "model"), "v1")
-    parts = explain.tree_contributions(rows, explain.tree_paths(spark, train.stage_path(path, model)), INPUTS, "line_id")
+    parts = explain.tree_contributions(rows, explain.tree_nodes(spark, train.stage_path(path, model)), INPUTS, "line_id")
     total = F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x["contribution"])
     scored = train.predict_rows(model, rows).select("line_id", "score")
     return parts.select("line_id", "base_value", total.alias("total")).join(scored, "line_id").agg(
@@ -337,7 +337,7 @@ def _trained(spark, sf):
     rows = entities(spark, sf).withColumn("label", F.coalesce(F.col("n_orders") > 9, F.lit(False)).cast("int"))
     base = scratch_path(spark, "training")
     return base, training_job(spark, rows, "customer_id", "label", ["acctbal", "spend"], ["segment", "nation"], base,
-                              model_type="random_forest", numTrees=10, maxDepth=5)
+                              model_type="random_forest")
 
 
 @catalog.add("training_job")

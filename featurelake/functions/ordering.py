@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -178,7 +179,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             lo, hi = _neighbours(p, n)
             a, b = found[c, lo], found[c, hi]
             part = p * (n - 1) - lo
-            result[c].append(a if a == b or not part else a + (b - a) * part)
+            if a == b or not part:
+                result[c].append(a)
+            elif math.isinf(a) or math.isinf(b):
+                result[c].append(a * (1 - part) + b * part)  # an infinite neighbour decides; two of them have no middle
+            else:
+                result[c].append(a + (b - a) * part)
     return result
 
 
@@ -211,8 +217,9 @@ def values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str,
             value = present(c)
             scoped = value if lo is None else F.when((value > lo) & (value < hi), value)
             if inside <= exact_limit:
-                at = [F.lit((r - below) / max(inside - 1, 1)) for r in wanted]
-                aggs.append(F.percentile(scoped, F.array(*at)).alias(f"v{i}"))
+                # At most exact_limit values: sort them and take each rank by its number.
+                held = F.array_sort(F.collect_list(scoped))
+                aggs.append(F.array(*[F.get(held, F.lit(r - below)) for r in wanted]).alias(f"v{i}"))
             else:
                 step = 2 / accuracy
                 ends = [e for r in wanted for e in ((r - below) / inside - step, (r - below) / inside + step)]

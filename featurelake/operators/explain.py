@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows whose products are held at a time.
+EXPLAINED_AT_ONCE = 2048
+
 
 def top_contributions(contributions: Column, n: int | None = 5) -> Column:
     """First ``n`` (feature, contribution) structs by magnitude, ties by name; all when n is None."""
@@ -37,93 +41,160 @@ def feature_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 # -- tree ensembles ------------------------------------------------------------------------------
 
 
-def tree_paths(spark: SparkSession, saved_model: str, boosted: bool = False) -> list[tuple[float, dict]]:
-    """Every root-to-leaf path of a saved tree model as (value, {feature: (low, high, cover share)}).
+@dataclass
+class Tree:
+    """Node arrays of one tree: a row with ``x[feature] <= limit`` goes left; leaves have left = -1.
+
+    ``share`` is the part of its parent's training rows that came to a node.
+    """
+
+    feature: list[int]
+    limit: list[float]
+    left: list[int]
+    right: list[int]
+    share: list[float]
+    value: list[float]
+
+
+def tree_nodes(spark: SparkSession, saved_model: str, boosted: bool = False) -> list[Tree]:
+    """Node arrays of a saved tree model, leaf values scaled so that the trees add up to the model.
 
-    Its size is set by tree count and depth, never by the data. ``low < x <= high`` is the box a
-    row must meet per feature, the share how many training rows of the path's nodes go that way.
+    Their size is set by tree count and depth, never by the data.
     """
     nodes = spark.read.parquet(f"{saved_model}/data").select("treeID", "nodeData.*").collect()
     weights = {}
     if boosted:
         trees_of = spark.read.parquet(f"{saved_model}/treesMetadata").toDF("treeID", "metadata", "weight")
         weights = {r["treeID"]: r["weight"] for r in trees_of.select("treeID", "weight").collect()}
-    trees: dict[int, dict[int, object]] = {}
+    by_tree: dict[int, dict[int, object]] = {}
     for n in nodes:
-        trees.setdefault(n["treeID"], {})[n["id"]] = n
-    paths = []
-    for tree, by_id in trees.items():
-        scale = weights[tree] if boosted else 1.0 / len(trees)
-
-        def cover(node) -> float:
-            return float(node["rawCount"]) if boosted else float(sum(node["impurityStats"]))
-
-        todo = [(0, {})]
-        while todo:
-            node_id, box = todo.pop()
-            node = by_id[node_id]
-            if node["leftChild"] < 0:
-                stats = node["impurityStats"]
-                value = node["prediction"] if boosted else stats[1] / sum(stats)
-                paths.append((value * scale, box))
-                continue
-            split = node["split"]
-            if split["numCategories"] != -1:
+        by_tree.setdefault(n["treeID"], {})[n["id"]] = n
+    trees = []
+    for tree, by_id in sorted(by_tree.items()):
+        scale = weights[tree] if boosted else 1.0 / len(by_tree)
+        ids = sorted(by_id)
+        if ids != list(range(len(ids))):
+            raise ValueError("node ids are not consecutive")
+        out = Tree([], [], [], [], [1.0] * len(ids), [])
+        cover = [float(by_id[i]["rawCount"]) if boosted else float(sum(by_id[i]["impurityStats"])) for i in ids]
+        for i in ids:
+            node, split = by_id[i], by_id[i]["split"]
+            inner = node["leftChild"] >= 0
+            if inner and split["numCategories"] != -1:
                 raise ValueError("categorical splits are not explained")
-            feature, limit = split["featureIndex"], split["leftCategoriesOrThreshold"][0]
-            low, high, share = box.get(feature, (float("-inf"), float("inf"), 1.0))
-            for child, bounds in ((node["leftChild"], (low, min(high, limit))),
-                                  (node["rightChild"], (max(low, limit), high))):
-                part = cover(by_id[child]) / cover(node)
-                todo.append((child, {**box, feature: (*bounds, share * part)}))
-    return paths
-
-
-def tree_contributions(df: DataFrame, paths: Sequence[tuple[float, dict]], names: Sequence[str],
-                       key: str, features: str = "features") -> DataFrame:
+            stats = node["impurityStats"]
+            out.feature.append(split["featureIndex"] if inner else -1)
+            out.limit.append(split["leftCategoriesOrThreshold"][0] if inner else 0.0)
+            out.left.append(node["leftChild"] if inner else -1)
+            out.right.append(node["rightChild"] if inner else -1)
+            out.value.append(scale * (node["prediction"] if boosted else stats[1] / sum(stats)))
+            if inner:
+                for child in (node["leftChild"], node["rightChild"]):
+                    out.share[child] = cover[child] / cover[i]
+        trees.append(out)
+    return trees
+
+
+def most_features(tree: Tree) -> int:
+    """Most features that one path of a tree asks."""
+    def below(node: int, seen: frozenset) -> int:
+        if tree.left[node] < 0:
+            return len(seen)
+        seen = seen | {tree.feature[node]}
+        return max(below(tree.left[node], seen), below(tree.right[node], seen))
+
+    return below(0, frozenset())
+
+
+def expected_value(tree: Tree) -> float:
+    """Mean of the leaf values by the training rows that came to them."""
+    def below(node: int) -> float:
+        if tree.left[node] < 0:
+            return tree.value[node]
+        return sum(tree.share[c] * below(c) for c in (tree.left[node], tree.right[node]))
+
+    return below(0)
+
+
+def tree_values(tree: Tree, x, phi) -> None:
+    """Add the Shapley values of one tree for all rows of ``x`` (features by rows) to ``phi``.
+
+    On a path a known feature lets a row through (1) or not (0), an unknown one counts with its share z. Averaging over all
+    orders of features is the integral over t of the product of the terms z(1 - t) + o t, without the feature's own;
+    Gauss-Legendre nodes evaluate it exactly. One walk over the tree extends the product by one term per edge on the way
+    down and adds up leaf value times product on the way up; at each edge the sum below, with the edge's term unwound, is
+    what its feature contributes. An edge that narrows a feature asked before replaces that one's term, and takes back what the
+    upper edge counts for the same leaves. So the work is nodes x rows x integration nodes, however many features there are.
+    """
+    import numpy as np
+
+    points, weights = np.polynomial.legendre.leggauss(most_features(tree) // 2 + 1)
+    t, w = (points + 1) / 2, weights / 2
+    rows = x.shape[1]
+
+    def term(z: float, met):
+        """The term, and its reciprocal weighted for the integral, for every integration node and row."""
+        no, yes = z * (1 - t), z * (1 - t) + t
+        return np.where(met, yes[:, None], no[:, None]), np.where(met, (w / yes)[:, None], (w / no)[:, None])
+
+    def walk(node: int, product, asked: dict):
+        if tree.left[node] < 0:
+            return tree.value[node] * product
+        f = tree.feature[node]
+        goes_left = x[f] <= tree.limit[node]
+        z, met, unwound = asked.get(f, (1.0, None, None))
+        rest = product if unwound is None else product * unwound / w[:, None]
+        total = None
+        for child, passes in ((tree.left[node], goes_left), (tree.right[node], ~goes_left)):
+            share = z * tree.share[child]
+            here = passes if met is None else passes & met
+            extended, reciprocal = term(share, here)
+            below = walk(child, rest * extended, {**asked, f: (share, here, reciprocal)})
+            phi[f] += np.einsum("qr,qr->r", below, reciprocal) * (here - share)
+            if unwound is not None:
+                phi[f] -= np.einsum("qr,qr->r", below, unwound) * (met - z)
+            total = below if total is None else total + below
+        return total
+
+    walk(0, np.ones((len(t), rows)), {})
+
+
+def tree_contributions(df: DataFrame, trees: Sequence[Tree], names: Sequence[str], key: str, features: str = "features") -> DataFrame:
     """Shapley values per row under path-dependent expectations: (key, base_value, contributions).
 
-    On one path a known feature lets the row through (1) or not (0), an unknown one counts with its
-    cover share. Averaging over all orders is an integral of a product of linear terms, one per
-    other feature; Gauss-Legendre nodes evaluate it exactly. A path has few features, so all
-    outcomes of its tests are tabulated and whole Arrow batches look their row up. The paths travel
-    as a broadcast variable.
+    Rows travel as Arrow batches and are explained ``EXPLAINED_AT_ONCE`` at a time. Rows that no limit of the trees tells apart are
+    explained once; Spark's trees have fewer limits per feature than bins, so with few features many rows are. The trees
+    travel as a broadcast variable.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(list(paths))
+    shipped = df.sparkSession.sparkContext.broadcast(list(trees))
     labels = list(names)
     kind = df.schema[key].dataType.simpleString()
+    out = f"`{key}` {kind}, base_value double, contributions array<struct<feature: string, contribution: double>>"
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.sparkSession.createDataFrame([], out).schema)
 
     def explain(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
-
-        def weights(passed, share):
-            """Value of knowing each feature, for every row of test outcomes."""
-            nodes, node_weights = np.polynomial.legendre.leggauss(len(share) // 2 + 1)
-            t = (nodes + 1) / 2
-            terms = share[None, :, None] * (1 - t) + passed[:, :, None] * t
-            others = terms.prod(axis=1, keepdims=True) / terms
-            return (others @ (node_weights / 2)) * (passed - share)
+        import pyarrow as pa
 
+        base = sum(map(expected_value, shipped.value))
+        limits = [np.unique([v for tree in shipped.value for g, v in zip(tree.feature, tree.limit) if g == f]) for f in range(len(labels))]
         for batch in batches:
-            x = np.vstack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(labels)))
-            phi, base = np.zeros((len(batch), len(labels))), 0.0
-            for value, box in shipped.value:
-                if not box:
-                    base += value
-                    continue
-                used = list(box)
-                low, high, share = np.array([box[f] for f in used]).T
-                base += value * share.prod()
-                passed = (x[:, used] > low) & (x[:, used] <= high)
-                if len(used) <= 12:
-                    bits = 1 << np.arange(len(used))
-                    outcomes = (np.arange(1 << len(used))[:, None] & bits) > 0
-                    phi[:, used] += value * weights(outcomes.astype(float), share)[passed @ bits]
-                else:
-                    phi[:, used] += value * weights(passed.astype(float), share)
-            parts = [[{"feature": n, "contribution": float(v)} for n, v in zip(labels, row)] for row in phi]
-            yield pd.DataFrame({key: batch[key], "base_value": base, "contributions": parts})
-
-    return df.select(key, vector_to_array(F.col(features)).alias("x")).mapInPandas(
-        explain, f"`{key}` {kind}, base_value double, contributions array<struct<feature: string, contribution: double>>")
+            n = len(batch)
+            vectors = batch.column("x")
+            x = np.asarray(vectors.flatten()).reshape(n, len(labels)) if n else np.zeros((0, len(labels)))
+            cells = np.stack([np.searchsorted(limits[f], x[:, f], side="left") for f in range(len(labels))], axis=1) if n else x.astype(int)
+            _, first, cell = np.unique(cells, axis=0, return_index=True, return_inverse=True)
+            phi = np.zeros((len(labels), len(first)))
+            for a in range(0, len(first), EXPLAINED_AT_ONCE):
+                part = np.ascontiguousarray(x[first[a:a + EXPLAINED_AT_ONCE]].T)
+                for tree in shipped.value:
+                    tree_values(tree, part, phi[:, a:a + EXPLAINED_AT_ONCE])
+            values = pa.array(phi.T[cell.ravel()].ravel())
+            parts = pa.StructArray.from_arrays([pa.array(labels * n, pa.string()), values], names=["feature", "contribution"])
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * len(labels))
+            columns = [batch.column(0), pa.array(np.full(n, base)), pa.ListArray.from_arrays(offsets, parts).cast(schema.field(2).type)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return df.select(key, vector_to_array(F.col(features)).alias("x")).mapInArrow(explain, out)

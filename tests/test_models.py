@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -151,45 +152,88 @@ def test_random_ids_without_a_key(rows, forest):
 # -- explanations ------------------------------------------------------------------------------------
 
 
-def expectation(paths, x, known):
+def expectation(tree, x, known, node=0):
     """Path-dependent expectation when only the known features are fixed."""
-    total = 0.0
-    for value, box in paths:
-        weight = 1.0
-        for f, (low, high, share) in box.items():
-            weight *= float(low < x[f] <= high) if f in known else share
-        total += value * weight
-    return total
+    if tree.left[node] < 0:
+        return tree.value[node]
+    children, f = (tree.left[node], tree.right[node]), tree.feature[node]
+    if f in known:
+        return expectation(tree, x, known, children[0 if x[f] <= tree.limit[node] else 1])
+    return sum(tree.share[c] * expectation(tree, x, known, c) for c in children)
 
 
-def shapley(paths, x, n):
+def shapley(trees, x, n):
     phi = [0.0] * n
     for f in range(n):
         others = [g for g in range(n) if g != f]
         for size in range(n):
             for subset in itertools.combinations(others, size):
                 w = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
-                phi[f] += w * (expectation(paths, x, {*subset, f}) - expectation(paths, x, set(subset)))
+                phi[f] += w * sum(expectation(t, x, {*subset, f}) - expectation(t, x, set(subset)) for t in trees)
     return phi
 
 
+def grown(rng, depth, features):
+    """A random tree as node arrays; features repeat along its paths."""
+    tree = explain.Tree([], [], [], [], [], [])
+
+    def add(level, share):
+        i = len(tree.feature)
+        for values, v in ((tree.feature, -1), (tree.limit, 0.0), (tree.left, -1), (tree.right, -1), (tree.share, share), (tree.value, rng.gauss(0, 1))):
+            values.append(v)
+        if level and rng.random() < 0.9:
+            part = rng.uniform(0.05, 0.95)
+            tree.feature[i], tree.limit[i] = rng.randrange(features), rng.random()
+            tree.left[i] = add(level - 1, part)
+            tree.right[i] = add(level - 1, 1 - part)
+        return i
+
+    add(depth, 1.0)
+    return tree
+
+
+@pytest.mark.parametrize("features,depth", [(1, 3), (2, 6), (4, 7), (6, 8)])
+def test_tree_walk_equals_all_subsets(features, depth):
+    rng = random.Random(features)
+    trees = [grown(rng, depth, features) for _ in range(3)] + [grown(rng, 0, features)]
+    x = np.array([[rng.random() for _ in range(5)] for _ in range(features)])
+    phi = np.zeros_like(x)
+    for tree in trees:
+        explain.tree_values(tree, x, phi)
+    for r in range(5):
+        assert list(phi[:, r]) == pytest.approx(shapley(trees, x[:, r], features), abs=1e-12)
+
+
+def test_paths_of_more_than_twelve_features_add_up():
+    rng = random.Random(4)
+    tree = grown(rng, 15, 40)
+    x = np.array([[rng.random() for _ in range(50)] for _ in range(40)])
+    phi = np.zeros_like(x)
+    explain.tree_values(tree, x, phi)
+    assert explain.most_features(tree) > 12
+    known = set(range(40))
+    assert list(phi.sum(axis=0) + explain.expected_value(tree)) == pytest.approx([expectation(tree, x[:, r], known) for r in range(50)], abs=1e-11)
+
+
 def test_tree_contributions_equal_brute_force_and_add_up(spark, rows, forest, base):
-    paths = explain.tree_paths(spark, train.stage_path(train.save_model(forest, base, "v1"), forest))
+    trees = explain.tree_nodes(spark, train.stage_path(train.save_model(forest, base, "v1"), forest))
     some = rows.where("a < 0.1")
-    got = {r.id: r for r in explain.tree_contributions(some, paths, NAMES, "id").collect()}
+    got = {r.id: r for r in explain.tree_contributions(some, trees, NAMES, "id").collect()}
     scored = {r.id: r for r in train.predict_rows(forest, some).collect()}
     assert len(got) == len(scored) > 10
     for key, row in got.items():
+        assert [c.feature for c in row.contributions] == NAMES
         values = [c.contribution for c in row.contributions]
-        assert values == pytest.approx(shapley(paths, list(scored[key].features), 3), abs=1e-9)
+        assert values == pytest.approx(shapley(trees, list(scored[key].features), 3), abs=1e-9)
         assert row.base_value + sum(values) == pytest.approx(scored[key].score, abs=1e-9)
+    assert explain.tree_contributions(rows.where("false"), trees, NAMES, "id").count() == 0
 
 
 def test_boosted_contributions_add_up_to_the_margin(spark, rows, base):
     model = train.train(rows, "gradient_boosting", maxIter=4, maxDepth=3)
-    paths = explain.tree_paths(spark, train.stage_path(train.save_model(model, base, "v1"), model), boosted=True)
+    trees = explain.tree_nodes(spark, train.stage_path(train.save_model(model, base, "v1"), model), boosted=True)
     got = {r.id: r.base_value + sum(c.contribution for c in r.contributions)
-           for r in explain.tree_contributions(rows, paths, NAMES, "id").collect()}
+           for r in explain.tree_contributions(rows, trees, NAMES, "id").collect()}
     for r in train.predict_rows(model, rows).select("id", "score").collect():
         assert 1 / (1 + math.exp(-2 * got[r.id])) == pytest.approx(r.score, abs=1e-9)
 

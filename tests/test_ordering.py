@@ -93,3 +93,24 @@ def test_median_matches_statistics(spark):
     values = [3.0, 1.0, 4.0, 1.5]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert ordering.exact_quantiles(df, ["x"], [0.5])["x"] == [statistics.median(values)]
+
+
+@pytest.mark.parametrize("limit,accuracy", [(10_000, 10_000), (3, 40)])
+def test_each_rank_is_a_value_of_the_column(spark, limit, accuracy):
+    """One column for each size, every rank asked, one huge value at the low end: no neighbour may leak into a rank."""
+    sizes = [2, 3, 7, 49, 50, 99, 128, 199, 200]
+    rows = [tuple((-1e18 if i == 0 else float(i)) if i < n else None for n in sizes) for i in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{n} double" for n in sizes))
+    found = ordering.values_at_ranks(df, {f"c{n}": set(range(n)) for n in sizes}, {f"c{n}": n for n in sizes}, limit, accuracy)
+    for n in sizes:
+        assert [found[f"c{n}", r] for r in range(n)] == [-1e18, *map(float, range(1, n))]
+
+
+def test_quantiles_beside_a_huge_value_and_infinities(spark):
+    inf = float("inf")
+    rows = [(-1e18 if i == 0 else float(i), -inf if i == 0 else float(i), inf if i > 47 else float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "x double, low double, high double")
+    for limit in (10_000, 4):
+        got = ordering.exact_quantiles(df, ["x", "low", "high"], [0.0, 1.5 / 49, 47.5 / 49, 1.0], limit, 30)
+        assert got["x"] == pytest.approx([-1e18, 1.5, 47.5, 49.0], rel=1e-12)
+        assert got["low"] == [-inf, 1.5, 47.5, 49.0] and got["high"] == [0.0, 1.5, inf, inf]
