@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelake.sources.files import read_or_empty, remove_path
+from featurelake.sources.commits import CommitConflict, CommitLog
+from featurelake.sources.files import child_names, remove_path
 
 MANIFEST_SCHEMA = (
-    "seq long, dataset string, version string, path string, entity_column string, timestamp_column string, "
+    "dataset string, version string, path string, entity_column string, timestamp_column string, "
     "num_rows long, num_columns int, columns array<string>, created_at timestamp, deleted boolean"
 )
 
@@ -29,33 +30,24 @@ def filter_condition(df: DataFrame, filters: Mapping[str, Any] | None) -> Column
 
 
 class OfflineStore:
-    """``base/dataset=<name>/version=<version>`` folders plus an append-only manifest.
+    """``base/dataset=<name>/version=<version>/<write>`` folders, and a log of commits that says which of them count.
 
-    The manifest is itself a small Parquet table: ingests and deletions append one row each, so no
-    writer ever rewrites another one's entry.
+    Ingests and deletions are one commit each, numbered without gaps. Data that no commit names is invisible; ``clean_up``
+    removes it. Of two writers of one version the first to commit wins, the other one is told and leaves no data.
     """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
-        self._manifest_path = f"{self.base}/_manifest"
+        self.commits = CommitLog(spark, f"{self.base}/_commits", MANIFEST_SCHEMA)
 
     # -- manifest ---------------------------------------------------------------------------
 
     def _log(self) -> DataFrame:
-        return read_or_empty(self.spark, self._manifest_path, MANIFEST_SCHEMA)
-
-    def _append(self, row: Sequence[Any]) -> None:
-        self.spark.createDataFrame([tuple(row)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(
-            self._manifest_path)
-
-    def _next_seq(self) -> int:
-        """Ingest order: the clock in microseconds, and never behind what the log already holds."""
-        last = self._log().agg(F.max("seq")).first()[0] or 0
-        return max(last + 1, time.time_ns() // 1000)
+        return self.commits.read()
 
     def manifest(self) -> DataFrame:
-        """Live versions: the last log row per (dataset, version) that is no deletion."""
+        """Live versions: the last commit per (dataset, version) that is no deletion."""
         last = self._log().groupBy("dataset", "version").agg(
             F.max_by(F.struct("*"), F.col("seq")).alias("row"))
         return last.select("row.*").where(~F.col("deleted")).drop("deleted")
@@ -100,18 +92,36 @@ class OfflineStore:
 
     def ingest(self, df: DataFrame, dataset: str, entity_column: str, timestamp_column: str | None = None,
                version: str | None = None) -> str:
-        """Write one immutable version and log it; the row count comes from the Parquet footers."""
+        """Write one immutable version and commit it; the row count comes from the Parquet footers."""
         now = datetime.now(timezone.utc)
         version = version or now.strftime("%Y%m%d_%H%M%S")
         if entity_column not in df.columns:
             raise ValueError(f"entity column {entity_column!r} is not in the frame")
+        seen = self.commits.last()
         if not self.list_versions(dataset).where(F.col("version") == version).isEmpty():
             raise ValueError(f"version {version!r} of data set {dataset!r} already exists")
-        path = f"{self.base}/dataset={dataset}/version={version}"
+        path = f"{self.base}/dataset={dataset}/version={version}/{uuid.uuid4().hex}"
         df.write.mode("errorifexists").parquet(path)
         rows = self.spark.read.parquet(path).count()
-        self._append([self._next_seq(), dataset, version, path, entity_column, timestamp_column, rows,
-                      len(df.columns), df.columns, now, False])
+        record = {"dataset": dataset, "version": version, "path": path, "entity_column": entity_column, "timestamp_column": timestamp_column,
+                  "num_rows": rows, "num_columns": len(df.columns), "columns": df.columns, "created_at": now.isoformat(), "deleted": False}
+        taken = False
+
+        def check(other: dict[str, Any]) -> None:
+            nonlocal taken
+            if (other["dataset"], other["version"]) == (dataset, version):
+                taken = not other["deleted"]
+
+        def mine(number: int) -> dict[str, Any]:
+            if taken:
+                raise CommitConflict(f"version {version!r} of data set {dataset!r} already exists: another writer committed it first")
+            return record
+
+        try:
+            self.commits.commit(mine, seen, check)
+        except CommitConflict:
+            remove_path(self.spark, path)
+            raise
         return path
 
     def get_dataset(self, dataset: str, version: str | None = None, columns: Sequence[str] | None = None,
@@ -127,12 +137,27 @@ class OfflineStore:
         return self.get_dataset(dataset, version, columns=[*features, target])
 
     def delete_version(self, dataset: str, version: str) -> bool:
+        """Commit the deletion, then remove the data; a failure in between leaves only data that ``clean_up`` finds."""
+        seen = self.commits.last()
         entry = self.list_versions(dataset).where(F.col("version") == version).first()
         if entry is None:
             return False
-        fields = entry.asDict()
-        fields.update(seq=self._next_seq(), deleted=True)
-        names = [f.split()[0] for f in MANIFEST_SCHEMA.split(", ")]
-        self._append([fields[n] for n in names])
+        fields = {**entry.asDict(), "created_at": entry["created_at"].isoformat(), "deleted": True}
+        fields.pop("seq")
+        self.commits.commit(lambda number: fields, seen)
         remove_path(self.spark, entry["path"])
         return True
+
+    def clean_up(self, older_than: timedelta = timedelta(days=1)) -> int:
+        """Remove folders that no live version names and that are old enough not to be a write under way; returns how many."""
+        before = (datetime.now(timezone.utc) - older_than).timestamp() * 1000
+        # One row for each live version, as in every manifest; data is not read.
+        live = {r["path"].rsplit("/", 1)[1] for r in self.manifest().select("path").toLocalIterator()}
+        removed = 0
+        for dataset, _ in child_names(self.spark, self.base):
+            for version, _ in child_names(self.spark, f"{self.base}/{dataset}") if dataset.startswith("dataset=") else []:
+                for name, changed in child_names(self.spark, f"{self.base}/{dataset}/{version}"):
+                    if name not in live and changed <= before:
+                        remove_path(self.spark, f"{self.base}/{dataset}/{version}/{name}")
+                        removed += 1
+        return removed

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurelake.session import cut_lineage
+from featurelake.sources.commits import CommitLog
 from featurelake.sources.files import read_or_empty, remove_path
 from featurelake.sources.offline import OfflineStore
 
@@ -31,20 +32,20 @@ class ServingStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
-        self._catalog_path = f"{self.base}/_catalog"
+        self.commits = CommitLog(spark, f"{self.base}/_commits", CATALOG_SCHEMA)
         self._access_path = f"{self.base}/_access_log"
 
     # -- catalog ----------------------------------------------------------------------------
 
     def _catalog_log(self) -> DataFrame:
-        return read_or_empty(self.spark, self._catalog_path, CATALOG_SCHEMA)
+        return self.commits.read()
 
     def catalog(self) -> DataFrame:
         """Live tables; the creation time is that of the first materialisation since a drop."""
         log = self._catalog_log()
         last = log.groupBy("table_name").agg(
-            F.max_by(F.struct("*"), F.col("updated_at")).alias("row"))
-        return last.select("row.*").where(~F.col("dropped")).drop("dropped")
+            F.max_by(F.struct("*"), F.col("seq")).alias("row"))
+        return last.select("row.*").where(~F.col("dropped")).drop("dropped", "seq")
 
     def list_tables(self) -> DataFrame:
         return self.catalog().drop("path", "num_rows")
@@ -77,9 +78,18 @@ class ServingStore:
             remove_path(self.spark, f"{self.base}/{table}")
         return True
 
-    def _log_table(self, *row: Any) -> None:
-        self.spark.createDataFrame([row], CATALOG_SCHEMA).coalesce(1).write.mode("append").parquet(
-            self._catalog_path)
+    def _log_table(self, table: str, entity_column: str, features: Sequence[str], path: str, rows: int, created: datetime,
+                   updated: datetime, dropped: bool) -> None:
+        """Commit the switch; the table's creation time is taken over from whatever was committed last."""
+        seen = self.commits.last()
+        record = {"table_name": table, "entity_column": entity_column, "feature_columns": list(features), "path": path, "num_rows": rows,
+                  "created_at": created.isoformat(), "updated_at": updated.isoformat(), "dropped": dropped}
+
+        def check(other: dict[str, Any]) -> None:
+            if other["table_name"] == table and not dropped:
+                record["created_at"] = updated.isoformat() if other["dropped"] else other["created_at"]
+
+        self.commits.commit(lambda number: record, seen, check)
 
     # -- data -------------------------------------------------------------------------------
 

@@ -208,3 +208,152 @@ def test_blank_lines_are_skipped(spark, tmp_path):
     log = logs.read_log(spark, str(tmp_path), logs.FEEDBACK_SCHEMA)
     assert sorted(r.prediction_id for r in log.collect()) == ["a", "b"]
     assert log.where("was_correct IS NULL").count() == 2
+
+
+# -- commits -----------------------------------------------------------------------------------------
+
+
+def test_commits_are_numbered_and_survive_a_checkpoint(spark, base, monkeypatch):
+    from featurelake.sources import commits
+
+    monkeypatch.setattr(commits, "CHECKPOINT", 3)
+    log = commits.CommitLog(spark, f"{base}/log", "name string")
+    assert log.read().count() == 0 and log.last() == 0
+    for i in range(7):
+        assert log.commit(lambda number: {"name": f"c{number}"}, 0) == i + 1
+    assert [(r.seq, r.name) for r in log.read().orderBy("seq").collect()] == [(i, f"c{i}") for i in range(1, 8)]
+    assert log._checkpoints() == [3, 6] and [r["seq"] for r in log.since(5)] == [6, 7]
+
+
+def test_a_number_is_taken_once(spark, base):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from featurelake.sources.commits import CommitLog
+    from featurelake.sources.files import child_names, put_if_absent, read_text
+
+    log = CommitLog(spark, f"{base}/log with blank", "writer int")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda w: log.commit(lambda n: {"writer": w}, 0), range(16)))
+    assert sorted(numbers) == list(range(1, 17)) and sorted(r.writer for r in log.read().collect()) == list(range(16))
+    assert not put_if_absent(spark, log._file(1), "other") and "writer" in read_text(spark, log._file(1))
+    assert not [n for n, _ in child_names(spark, log.path) if n.startswith("_draft")]
+
+
+def test_of_two_writers_of_one_version_one_wins(spark, small, base):
+    """The second writer ingests and commits while the first one stands between its data and its commit."""
+    one, two = OfflineStore(spark, base), OfflineStore(spark, base)
+    commit = one.commits.commit
+
+    def late(*args):
+        two.ingest(small.limit(1), "d", "aluno_id", version="1")
+        two.ingest(small, "e", "aluno_id", version="1")
+        return commit(*args)
+
+    one.commits.commit = late
+    with pytest.raises(ValueError, match="another writer"):
+        one.ingest(small, "d", "aluno_id", version="1")
+    one.commits.commit = commit
+    assert one.get_dataset("d").count() == 1 and one.manifest().count() == 2
+    from datetime import timedelta
+
+    assert one.clean_up(timedelta(0)) == 0
+
+
+def test_data_without_a_commit_is_invisible_and_cleaned(spark, small, base):
+    from datetime import timedelta
+
+    store = OfflineStore(spark, base)
+    store.ingest(small, "d", "aluno_id", version="1")
+    commit = store.commits.commit
+    store.commits.commit = lambda *args: (_ for _ in ()).throw(OSError("driver lost"))
+    with pytest.raises(OSError):
+        store.ingest(small, "d", "aluno_id", version="2")
+    with pytest.raises(OSError):
+        store.delete_version("d", "1")
+    store.commits.commit = commit
+    again = OfflineStore(spark, base)
+    assert [r["version"] for r in again.list_versions("d").collect()] == ["1"] and again.get_dataset("d").count() == 4
+    assert again.clean_up() == 0 and again.clean_up(timedelta(0)) == 1
+    again.ingest(small.limit(2), "d", "aluno_id", version="2")
+    assert again.get_dataset("d").count() == 2
+    remove = __import__("featurelake.sources.offline", fromlist=["remove_path"])
+    kept, remove.remove_path = remove.remove_path, lambda *args: (_ for _ in ()).throw(OSError("driver lost"))
+    try:
+        with pytest.raises(OSError):
+            again.delete_version("d", "2")
+    finally:
+        remove.remove_path = kept
+    assert [r["version"] for r in again.list_versions("d").collect()] == ["1"] and again.clean_up(timedelta(0)) == 1
+
+
+# -- logs by day -------------------------------------------------------------------------------------
+
+
+def _records(spark, low, high):
+    """Ten records a day from 2024-01-01 on; the one with id 5 has no time."""
+    return spark.range(low, high).select(
+        F.lit("feedback").alias("type"),
+        F.when(F.col("id") != 5, F.timestamp_seconds(1704067200 + F.col("id") * 8640)).cast("timestamp_ntz").alias("timestamp"),
+        F.format_string("%04d", "id").alias("prediction_id"), F.lit(1).alias("actual_outcome"), F.lit("a\nb").alias("comment"),
+        F.lit(True).alias("was_correct"))
+
+
+def _ids(df):
+    return sorted(int(r.prediction_id) for r in df.collect())
+
+
+def test_last_records_list_only_the_newest_days(spark, base):
+    logs.append_log(_records(spark, 0, 100), base)
+    logs.append_log(_records(spark, 100, 200), base)
+    got = logs.recent_feedback(spark, base, 25)
+    assert _ids(got) == list(range(175, 200))
+    files = got.inputFiles()
+    assert files and {f.split("day=")[1][:10] for f in files} == {"2024-01-18", "2024-01-19", "2024-01-20"}
+    assert logs.newest_days(spark, base, 21) == ["2024-01-20", "2024-01-19", "2024-01-18"]
+    assert _ids(logs.recent_feedback(spark, base, 500)) == list(range(200))
+    assert logs.log_days(spark, base)[-1] == logs.NO_DAY and len(logs.log_days(spark, base)) == 21
+    assert logs.recent_feedback(spark, f"{base}/none").count() == 0
+
+
+def test_compaction_keeps_every_record_once(spark, base, monkeypatch):
+    for low in range(0, 40, 4):
+        logs.append_log(_records(spark, low, low + 4), base)
+    day = "2024-01-02"
+
+    def files_read():
+        return logs.read_log(spark, base, logs.FEEDBACK_SCHEMA, [day]).select(F.input_file_name()).distinct().count()
+
+    before = files_read()
+    assert logs.compact_day(spark, base, day) == 3 == before
+    assert _ids(logs.read_log(spark, base, logs.FEEDBACK_SCHEMA)) == list(range(40))
+    assert files_read() == 1
+    logs.append_log(_records(spark, 10, 12), base)
+    assert _ids(logs.read_log(spark, base, logs.FEEDBACK_SCHEMA, [day])) == sorted([*range(10, 20), 10, 11])
+    assert logs.remove_replaced(spark, base, day) == 3 and logs.compact_day(spark, base, day) == 2
+    assert _ids(logs.read_log(spark, base, logs.FEEDBACK_SCHEMA)) == sorted([*range(40), 10, 11])
+    assert logs.compact_day(spark, base, day) == 0
+
+
+def test_an_unfinished_compaction_does_not_count(spark, base, monkeypatch):
+    for low in (0, 3, 6):
+        logs.append_log(_records(spark, low, low + 3), base)
+    day = "2024-01-01"
+
+    def lost(*args):
+        raise OSError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(logs.CommitLog, "commit", lost)
+        with pytest.raises(OSError):
+            logs.compact_day(spark, base, day)
+    assert _ids(logs.read_log(spark, base, logs.FEEDBACK_SCHEMA)) == list(range(9))
+    commit = logs.CommitLog.commit
+
+    def rival(self, *args):
+        monkeypatch.setattr(logs.CommitLog, "commit", commit)
+        assert logs.compact_day(spark, base, day) == 3
+        return commit(self, *args)
+
+    monkeypatch.setattr(logs.CommitLog, "commit", rival)
+    assert logs.compact_day(spark, base, day) == 0
+    assert _ids(logs.read_log(spark, base, logs.FEEDBACK_SCHEMA)) == list(range(9))
