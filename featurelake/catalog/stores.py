@@ -8,7 +8,8 @@ from featurelake.catalog.bindings import (ENTITIES, FEATURES, FEEDBACK, MEMBERS,
                                           entities, feature_definitions, feature_members, feedback, predictions,
                                           reference_frame, table)
 from featurelake.operators.profile import reference_stats
-from featurelake.operators.validate import consistency_check, key_intersection, sample_rows
+from featurelake.operators.rollups import day_statistics, rolled_up_stats, statistics_state
+from featurelake.operators.validate import consistency_check, consistency_full, key_intersection, sample_rows
 from featurelake.session import scratch_path
 from featurelake.sources import logs
 from featurelake.sources.offline import OfflineStore
@@ -148,6 +149,15 @@ def _(spark, sf):
     return store.access_log().groupBy("table_name", "entity_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _two_sides(spark, sf):
+    """Entities, and a served copy that lacks one nation, has other balances for a second and no spend for a third."""
+    rows = entities(spark, sf).select("customer_id", "acctbal", "spend", "segment", "nation")
+    served = rows.where("nation <> 'NATION_5'").withColumns({
+        "acctbal": F.when(F.col("nation") == "NATION_3", -1.0).otherwise(F.col("acctbal")),
+        "spend": F.when(F.col("nation") != "NATION_4", F.col("spend"))}).drop("nation")
+    return rows.drop("nation"), served
+
+
 @catalog.add("consistency_check", f"""
 WITH e AS ({ENTITIES}), s AS (
   SELECT customer_id, CASE WHEN nation = 'NATION_3' THEN -1 ELSE acctbal END AS acctbal,
@@ -161,11 +171,23 @@ SELECT compared_rows, false AS is_consistent, 'acctbal' AS "column", acctbal AS
 UNION ALL SELECT compared_rows, false, 'spend', spend FROM j
 UNION ALL SELECT compared_rows, false, 'segment', segment FROM j""")
 def _(spark, sf):
-    rows = entities(spark, sf).select("customer_id", "acctbal", "spend", "segment", "nation")
-    served = rows.where("nation <> 'NATION_5'").withColumns({
-        "acctbal": F.when(F.col("nation") == "NATION_3", -1.0).otherwise(F.col("acctbal")),
-        "spend": F.when(F.col("nation") != "NATION_4", F.col("spend"))}).drop("nation")
-    return consistency_check(rows.drop("nation"), served, "customer_id", sample_size=None)
+    rows, served = _two_sides(spark, sf)
+    return consistency_check(rows, served, "customer_id", sample_size=None)
+
+
+@catalog.add("consistency_full", f"""
+WITH e AS ({ENTITIES}), s AS (
+  SELECT customer_id, CASE WHEN nation = 'NATION_3' THEN -1 ELSE acctbal END AS acctbal,
+         segment, CASE WHEN nation = 'NATION_4' THEN NULL ELSE spend END AS spend FROM e WHERE nation <> 'NATION_5')
+SELECT e.customer_id, CASE WHEN s.customer_id IS NULL THEN 'offline_only' ELSE 'different' END AS status,
+       CASE WHEN s.customer_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN e.acctbal IS DISTINCT FROM s.acctbal THEN 'acctbal' END,
+            CASE WHEN e.spend IS DISTINCT FROM s.spend THEN 'spend' END) END AS columns
+FROM e LEFT JOIN s USING (customer_id)
+WHERE s.customer_id IS NULL OR e.acctbal IS DISTINCT FROM s.acctbal OR e.spend IS DISTINCT FROM s.spend""")
+def _(spark, sf):
+    """Every planted difference of the whole tables, with its columns."""
+    found = consistency_full(*_two_sides(spark, sf), "customer_id")
+    return found.withColumn("columns", F.concat_ws(",", "columns"))
 
 
 @catalog.add("deterministic_sample", """
@@ -338,6 +360,16 @@ def _(spark, sf):
     return _rounded_stats(reference_stats(table(spark, sf, "lineitem").select(*_STATS)))
 
 
+@catalog.add("reference_stats_rollup", _stats_sql("lineitem"))
+def _(spark, sf):
+    """The same figures from states by day, written in two steps of which the second never reads the first one's days."""
+    rows = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"), *_STATS)
+    state = statistics_state(spark, scratch_path(spark, "statistics"))
+    state.replace(day_statistics(rows.where("day < date '1998-01-01'")))
+    state.replace(day_statistics(rows.where("day >= date '1998-01-01'")))
+    return _rounded_stats(rolled_up_stats(state.read(), rows.select(*_STATS)))
+
+
 @catalog.add("reference_snapshot", f"WITH r AS ({REFERENCE}) {_stats_sql('r')}")
 def _(spark, sf):
     path = scratch_path(spark, "reference")

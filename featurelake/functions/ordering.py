@@ -167,8 +167,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if sizes is None:
         sizes = df.agg(*[F.count(present(c)).alias(c) for c in cols]).first().asDict()
     sizes = {c: sizes[c] for c in cols}
-    ranks = {c: {r for p in probs for r in _neighbours(p, n)} for c, n in sizes.items() if n}
-    found = values_at_ranks(df, ranks, sizes, exact_limit, accuracy)
+    ranks = {c: {r for p in probs for r in rank_neighbours(p, n)} for c, n in sizes.items() if n}
+    return quantiles_at(values_at_ranks(df, ranks, sizes, exact_limit, accuracy), sizes, probs)
+
+
+def quantiles_at(found: dict[tuple[str, int], float], sizes: dict[str, int], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles from the values at the ranks next to them."""
     result: dict[str, list[float | None]] = {}
     for c, n in sizes.items():
         result[c] = []
@@ -176,7 +180,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             if not n:
                 result[c].append(None)
                 continue
-            lo, hi = _neighbours(p, n)
+            lo, hi = rank_neighbours(p, n)
             a, b = found[c, lo], found[c, hi]
             part = p * (n - 1) - lo
             if a == b or not part:
@@ -194,7 +198,7 @@ def present(c: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _neighbours(p: float, n: int) -> tuple[int, int]:
+def rank_neighbours(p: float, n: int) -> tuple[int, int]:
     lo = int(p * (n - 1))
     return lo, min(lo + 1, n - 1)
 
@@ -254,3 +258,39 @@ def values_at_ranks(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str,
                     span = (c, lo, hi, row[f"le{i}"], row[f"lth{i}"] - row[f"le{i}"])
                     spans.setdefault(span, []).append(rank)
     return found
+
+
+def values_in_brackets(df: DataFrame, brackets: dict[tuple[str, float, float], list[int]], sizes: dict[str, int],
+                       exact_limit: int = EXACT_LIMIT) -> tuple[dict[tuple[str, int], float], dict[str, set[int]]]:
+    """Values at ranks that given brackets (column, low, high) should enclose, and the ranks they do not settle.
+
+    One pass counts the rows below, at and inside every bracket; a second one takes the ranks from the sorted values of those
+    that hold at most ``exact_limit``. Ranks outside their bracket, or in a larger one, are left over.
+    """
+    aggs, kept = [], {}
+    for i, (c, lo, hi) in enumerate(brackets):
+        value = present(c)
+        aggs += [F.count_if(value < lo).alias(f"lt{i}"), F.count_if(value <= lo).alias(f"le{i}"),
+                 F.count_if(value < hi).alias(f"lth{i}"), F.count_if(value <= hi).alias(f"leh{i}")]
+    counts = df.agg(*aggs).first() if aggs else None
+    found: dict[tuple[str, int], float] = {}
+    missed: dict[str, set[int]] = {}
+    for i, ((c, lo, hi), wanted) in enumerate(brackets.items()):
+        inside = counts[f"lth{i}"] - counts[f"le{i}"]
+        for rank in wanted:
+            if not counts[f"lt{i}"] <= rank < counts[f"leh{i}"]:
+                missed.setdefault(c, set()).add(rank)
+            elif rank < counts[f"le{i}"]:
+                found[c, rank] = lo
+            elif rank >= counts[f"lth{i}"]:
+                found[c, rank] = hi
+            elif inside <= exact_limit:
+                kept.setdefault((c, lo, hi, counts[f"le{i}"]), []).append(rank)
+            else:
+                missed.setdefault(c, set()).add(rank)
+    if kept:
+        row = df.agg(*[F.array(*[F.get(F.array_sort(F.collect_list(F.when((present(c) > lo) & (present(c) < hi), present(c)))), F.lit(r - below))
+                                 for r in wanted]).alias(f"v{i}") for i, ((c, lo, hi, below), wanted) in enumerate(kept.items())]).first()
+        for i, ((c, _, _, _), wanted) in enumerate(kept.items()):
+            found.update({(c, r): row[f"v{i}"][j] for j, r in enumerate(wanted)})
+    return found, missed
