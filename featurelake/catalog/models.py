@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from featurelake.catalog.bindings import (DOCUMENT_PREDICTIONS, ENTITIES, FEEDBACK, Catalog, document_predictions,
                                           entities, feedback, table)
+from featurelake.operators.features import TARGET
 from featurelake.functions.ordering import global_index
 from featurelake.operators import evaluate as ev
 from featurelake.operators import explain, score, split, train
-from featurelake.plans.training import training_job, with_entity_id
+from featurelake.plans.training import training_from_wide, training_job, with_entity_id
 from featurelake.session import scratch_path
+from featurelake.sources.offline import OfflineStore
 from featurelake.sources.serving import ServingStore
 
 catalog = Catalog()
@@ -250,6 +252,76 @@ def _(spark, sf):
     return train.cross_validate(_vectors(spark, sf), "logistic_regression", "line_id")
 
 
+# -- what must hold for trained models -------------------------------------------------------------
+
+_LEARNED = """
+SELECT CAST(4 AS BIGINT) AS features, '{}' AS leading, 1.0::DOUBLE AS total, CAST(0 AS BIGINT) AS negative, true AS falling"""
+
+
+def _learned(importances, leading=2):
+    """The label depends on price and discount alone, so a forest that has learned it puts these two first, and boosting, which goes
+    on to follow the noise, at least price; importances are shares."""
+    by_size = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), F.col("feature").alias("f")))), 1, leading)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), F.col("at").alias("at"))))
+    numbered = importances.withColumn("at", F.monotonically_increasing_id())  # four rows, in the operator's order
+    return numbered.agg(
+        F.count(F.lit(1)).alias("features"), F.array_join(F.array_sort(F.transform(by_size, lambda x: x["f"])), ",").alias("leading"),
+        F.round(F.sum("importance"), 9).alias("total"),
+        F.count_if(F.col("importance") < 0).alias("negative"), listed.alias("l")).withColumn(
+        "falling", F.array_sort(F.transform("l", lambda x: x["at"])) == F.transform("l", lambda x: x["at"])).drop("l")
+
+
+@catalog.add("train_random_forest_check", _LEARNED.format("l_discount,l_extendedprice"))
+def _(spark, sf):
+    return _learned(_importances(spark, sf, "random_forest"))
+
+
+@catalog.add("train_gbt_check", _LEARNED.format("l_extendedprice"))
+def _(spark, sf):
+    return _learned(_importances(spark, sf, "gradient_boosting"), 1)
+
+
+@catalog.add("feature_importance_check", _LEARNED.format("l_discount,l_extendedprice"))
+def _(spark, sf):
+    """The same for a model that was saved and loaded; names travel by position."""
+    model = train.train(_vectors(spark, sf), "random_forest")
+    return _learned(train.feature_importance(train.load_model(train.save_model(model, scratch_path(spark, "model"), "v1")), INPUTS))
+
+
+@catalog.add("train_logreg_check", """
+SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'intercept']) AS term, true AS settled FROM (SELECT count(*) FROM lineitem)""")
+def _(spark, sf):
+    """The derivatives of the penalised weighted loss cancel: each is below a thousandth of the terms it is the sum of."""
+    rows = _vectors(spark, sf)
+    gradient = train.logistic_gradient(train.train(rows, "logistic_regression"), rows, INPUTS)
+    return gradient.select("term", (F.abs("gradient") < F.col("size") / 1000).alias("settled"))
+
+
+@catalog.add("cross_validation_check", """
+WITH t AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(l_shipdate AS DATE) AS line_id,
+                  CAST(l_returnflag = 'R' OR l_extendedprice > 50000 AND l_discount < 0.05 AS DOUBLE) AS label FROM lineitem),
+r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(line_id || '-42'), line_id) - 1 AS i,
+             count(*) OVER (PARTITION BY label) AS n FROM t),
+f AS (SELECT label, CAST(i >= floor(n * 1 / 5) AS INTEGER) + CAST(i >= floor(n * 2 / 5) AS INTEGER)
+             + CAST(i >= floor(n * 3 / 5) AS INTEGER) + CAST(i >= floor(n * 4 / 5) AS INTEGER) AS fold FROM r)
+SELECT fold, count(*) AS n, count(*) AS entities, CAST(sum(label) AS BIGINT) AS positives, true AS same_accuracy, true AS better_than_chance
+FROM f GROUP BY fold""")
+def _(spark, sf):
+    """Every row is held out once, in the fold that SQL counts for it; the summary's accuracy follows from the written rows."""
+    held_out = train.held_out_scores(_vectors(spark, sf), "logistic_regression", "line_id")
+    per_fold = held_out.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("line_id").alias("entities"), F.sum("label").cast("bigint").alias("positives"),
+        F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
+    summary = train.fold_summary(held_out)
+    mean = summary.where("metric = 'accuracy'").select(F.col("mean").alias("reported"))
+    auc = summary.where("metric = 'roc_auc'").select(F.col("mean").alias("auc"))
+    recomputed = per_fold.agg(F.avg("accuracy").alias("recomputed"))
+    # Five rows beside three single ones.
+    return per_fold.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(recomputed)).crossJoin(F.broadcast(auc)).select(
+        "fold", "n", "entities", "positives", (F.abs(F.col("reported") - F.col("recomputed")) < 0.0002).alias("same_accuracy"),
+        (F.col("auc") > 0.6).alias("better_than_chance"))
+
+
 @catalog.add("batch_score")
 def _(spark, sf):
     rows = _vectors(spark, sf)
@@ -353,3 +425,58 @@ def _(spark, sf):
     base, _ = _trained(spark, sf)
     return ServingStore(spark, f"{base}/serving").catalog().select(
         "table_name", "num_rows", F.size("feature_columns").alias("num_features"))
+
+
+# -- the whole job from the wide table -------------------------------------------------------------
+
+_YEARS = ["2022", "2023", "2024"]
+_YEAR_OF = {"2022": 1998, "2023": 1999, "2024": 2000}
+
+
+def _wide_scores(spark, sf):
+    """Customers with orders in all three years: a score from their spend, one from their orders, and a class, for each year."""
+    year = F.year("o_orderdate")
+    aggs = []
+    for name, y in _YEAR_OF.items():
+        hit = year == y
+        spend = F.round(F.sum(F.when(hit, F.col("o_totalprice"))) / 100000, 2)
+        aggs += [F.when(spend > 10, 10.0).otherwise(spend).alias(f"INDE_{name}"),  # least() would skip a null
+                 F.nullif(F.count_if(hit), F.lit(0)).cast("double").alias(f"IPV_{name}"),
+                 F.max(F.when(hit, F.col("o_orderpriority"))).alias(f"FASE_{name}")]
+    return table(spark, sf, "orders").groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("NOME"),
+                                              F.col("o_custkey").alias("customer")).agg(*aggs).dropna()
+
+
+def _trained_from_wide(spark, sf):
+    base = scratch_path(spark, "wide-training")
+    result = training_from_wide(spark, _wide_scores(spark, sf), ["INDE", "IPV", "INDE_delta", "IPV_delta"], ["FASE"], base,
+                                order=["customer", "YEAR_REF"], preparation={"years": _YEARS, "known_years": _YEARS, "tracked": ["INDE", "IPV"],
+                                                                             "velocity": []})
+    return base, result
+
+
+@catalog.add("training_from_wide")
+def _(spark, sf):
+    return _trained_from_wide(spark, sf)[1].metrics
+
+
+_WIDE_LABELS = " UNION ALL ".join(f"""
+SELECT o_custkey, {name} AS year, round(sum(CASE WHEN year(o_orderdate) = {y} THEN o_totalprice END) / 100000, 2) AS inde,
+       CAST(nullif(count(CASE WHEN year(o_orderdate) = {y} THEN 1 END), 0) AS DOUBLE) AS ipv FROM orders GROUP BY o_custkey""" for name, y in _YEAR_OF.items())
+
+
+@catalog.add("training_from_wide_check", f"""
+WITH w AS ({_WIDE_LABELS}), whole AS (SELECT o_custkey FROM w GROUP BY o_custkey HAVING count(inde) = 3),
+l AS (SELECT CAST(inde >= 7.5 OR ipv >= 7.5 AS INTEGER) AS label, CAST(row_number() OVER (ORDER BY o_custkey, year) AS BIGINT) AS entity_id
+      FROM w SEMI JOIN whole USING (o_custkey))
+SELECT label, count(*) AS n, CAST(round(count(*) * 0.2::DOUBLE) AS BIGINT) AS test_rows, CAST(sum(entity_id) AS BIGINT) AS ids,
+       true AS learned, count(*) AS served FROM l GROUP BY label""")
+def _(spark, sf):
+    """What the whole job stored: labels and entity ids as SQL finds them, the sizes of its hold-out, a model that has learned."""
+    base, result = _trained_from_wide(spark, sf)
+    stored = OfflineStore(spark, f"{base}/offline").get_dataset("training", "v1")
+    tested = result.confusion.groupBy(F.col("label").cast("int").alias("label")).agg(F.sum("n").alias("test_rows"))
+    served = ServingStore(spark, f"{base}/serving").table("inference").groupBy(F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("served"))
+    learned = result.metrics.first()["roc_auc"] > 0.9
+    own = stored.groupBy(F.col(TARGET).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("entity_id").alias("ids"))
+    return own.join(tested, "label").join(served, "label").select("label", "n", "test_rows", "ids", F.lit(learned).alias("learned"), "served")

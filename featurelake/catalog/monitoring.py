@@ -151,6 +151,21 @@ def _(spark, sf):
     return drift.drift_report(events, "day", "n")
 
 
+@catalog.add("drift_report_full", f"""{_DAILY}
+SELECT day, n, CAST(2 AS BIGINT) AS features_analyzed, CAST(drifted AS BIGINT) AS features_with_drift, round(drifted / 2.0::DOUBLE, 4) AS drift_ratio,
+       drifted / 2.0::DOUBLE > 0.1 AS drift_detected, (SELECT count(*) FROM checked) AS history_count, 2 AS features_covered,
+       'k,value' AS reference_features, 0.1::DOUBLE AS drift_threshold FROM checked ORDER BY day DESC LIMIT 10""")
+def _(spark, sf):
+    """The report over a stored table of daily drift summaries, with the features and the threshold it rests on."""
+    path = scratch_path(spark, "drift-history")
+    reference = _early(spark, sf)
+    daily = predictions(spark, sf).withColumn("day", F.to_date("ts"))
+    drift.drift_by_period(reference, daily, "day", _INPUTS, 0.05).write.parquet(path)
+    names = sorted(r["feature"] for r in reference.select("feature").collect())  # one row per feature
+    report = drift.drift_report(spark.read.parquet(path), "day", "n", features=names)
+    return report.withColumn("reference_features", F.concat_ws(",", "reference_features"))
+
+
 @catalog.add("class_ratio_bounds", f"""
 WITH p AS ({PREDICTIONS}), s AS (SELECT count(*) AS n, sum(prediction)::BIGINT AS ones FROM p)
 SELECT n AS total, ones AS class_1_count, round(CAST(ones AS DOUBLE) / n, 6) AS class_1_ratio,

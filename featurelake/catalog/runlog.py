@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from featurelake.catalog.bindings import JOB_RUNS, RUNS, VERSIONS, Catalog, job_runs, runs, table, versions
 from featurelake.functions import scalars
+from featurelake.operators import alerts as alerting
 from featurelake.operators import runs as runlog
 from featurelake.operators import traffic
 from featurelake.session import scratch_path
@@ -67,7 +68,44 @@ WITH v AS ({VERSIONS}), p AS ({_POINTERS})
 SELECT v.name, v.version, v.run_id, CASE WHEN v.stage <> 'None' THEN v.stage ELSE coalesce(p.stage, 'None') END AS stage
 FROM v LEFT JOIN p ON p.name = v.name AND p.version = v.version""")
 def _(spark, sf):
-    return runlog.version_details(versions(spark, sf), _pointers(spark, sf))
+    return runlog.version_details(versions(spark, sf), _pointers(spark, sf)).select("name", "version", "run_id", "stage")
+
+
+@catalog.add("versions_detail_full", f"""
+WITH v AS (SELECT v.*, p.p_name, p.p_type, o.o_orderdate FROM ({VERSIONS}) v JOIN part p ON p.p_partkey = v.run_id
+           LEFT JOIN orders o ON o.o_orderkey = v.run_id), p AS ({_POINTERS})
+SELECT v.name, v.version, CASE WHEN v.stage <> 'None' THEN v.stage ELSE coalesce(p.stage, 'None') END AS stage, 'READY' AS status,
+       'runs/' || v.run_id || '/model' AS source, v.run_id, o_orderdate AS creation_timestamp,
+       o_orderdate + INTERVAL 1 HOUR AS last_updated_timestamp, p_name AS description, CAST(v.stage = 'None' AS INTEGER) AS n_tags,
+       CASE WHEN v.stage = 'None' THEN p_type END AS kind
+FROM v LEFT JOIN p ON p.name = v.name AND p.version = v.version""")
+def _(spark, sf):
+    """All ten fields of every version; parts without a stage carry a tag, the others none."""
+    described = table(spark, sf, "part").select(F.col("p_partkey").alias("run_id"), F.col("p_name").alias("description"), "p_type")
+    made = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("creation_timestamp"))
+    known = versions(spark, sf).join(described, "run_id").join(made, "run_id", "left").withColumns({
+        "status": F.lit("READY"), "source": F.concat(F.lit("runs/"), "run_id", F.lit("/model")),
+        "last_updated_timestamp": F.col("creation_timestamp") + F.make_dt_interval(hours=F.lit(1)),
+        "tags": F.when(F.col("stage") == "None", F.create_map(F.lit("kind"), F.col("p_type")))})
+    return runlog.version_details(known, _pointers(spark, sf)).withColumns({
+        "n_tags": F.size("tags"), "kind": F.try_element_at("tags", F.lit("kind"))}).drop("tags")
+
+
+@catalog.add("promotion_alerts", f"""
+WITH v AS ({VERSIONS}), r AS ({RUNS})
+SELECT 'model_promoted' AS alert_type, 'info' AS severity, 'Model Promoted: ' || v.name AS title,
+       v.name || ' version ' || v.version || ' is now in Production' AS message, v.name AS model_name, v.version, 'Production' AS stage,
+       round(f1_score, 2) AS f1_score
+FROM v LEFT JOIN r USING (run_id) WHERE v.stage = 'Production'""")
+def _(spark, sf):
+    """One alert per promoted version, with the metrics of its run."""
+    promoted = versions(spark, sf).where("stage = 'Production'").join(runs(spark, sf).select("run_id", "metrics"), "run_id", "left")
+    row = alerting.promotion_alert(F.col("name"), F.col("version"), F.col("stage"), F.current_timestamp(), {
+        "f1_score": F.try_element_at("metrics", F.lit("f1_score"))})
+    meta = F.col("a.metadata")
+    return promoted.select(row.alias("a")).select(
+        "a.alert_type", "a.severity", "a.title", "a.message", meta["model_name"].alias("model_name"), meta["version"].alias("version"),
+        meta["stage"].alias("stage"), F.round(meta["f1_score"].cast("double"), 2).alias("f1_score"))
 
 
 _STATUS = """

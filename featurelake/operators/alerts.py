@@ -98,10 +98,11 @@ def performance_alert(metric: Column, current: Column, expected: Column, timesta
                   "difference": F.round(expected - current, 4)}, timestamp)
 
 
-def promotion_alert(model: Column, version: Column, stage: Column, timestamp: Column) -> Column:
+def promotion_alert(model: Column, version: Column, stage: Column, timestamp: Column, metrics: Mapping[str, Column] | None = None) -> Column:
+    """A promotion, with the promoted version's metrics under their own names."""
     return alert("model_promoted", "info", F.concat(F.lit(f"{PROMOTION_TITLE}: "), model),
                  F.concat(model, F.lit(" version "), version.cast("string"), F.lit(" is now in "), stage),
-                 {"model_name": model, "version": version, "stage": stage}, timestamp)
+                 {"model_name": model, "version": version, "stage": stage, **(metrics or {})}, timestamp)
 
 
 def training_complete_alert(model: Column, seconds: Column, metrics: Mapping[str, Column], timestamp: Column) -> Column:

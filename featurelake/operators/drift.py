@@ -57,14 +57,15 @@ def prediction_drift(predictions: DataFrame, prediction: str = "prediction", exp
                      threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """Distance of the class-1 share from the expected one, rounded and exact; an empty frame yields no row."""
     share = [F.avg(F.when(F.col(prediction) == k, 1.0).otherwise(0.0)).alias(f"s{k}") for k in (0, 1)]
+    return prediction_drift_of(predictions.agg(F.count(F.lit(1)).alias("sample_size"), *share), expected, threshold)
+
+
+def prediction_drift_of(shares: DataFrame, expected: float = EXPECTED_CLASS_1, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """Prediction drift of counted rows: sample_size and the classes' shares s0, s1."""
     score = F.abs(F.col("s1") - F.lit(expected))
-    return (
-        predictions.agg(F.count(F.lit(1)).alias("sample_size"), *share)
-        .where(F.col("sample_size") > 0)
-        .select("sample_size", F.round("s0", 4).alias("class_0_share"), F.round("s1", 4).alias("class_1_share"),
-                F.round(score, 4).alias("drift_score"), score.alias("exact_score"),
-                (score > threshold).alias("drift_detected"))
-    )
+    return shares.where(F.col("sample_size") > 0).select(
+        "sample_size", F.round("s0", 4).alias("class_0_share"), F.round("s1", 4).alias("class_1_share"),
+        F.round(score, 4).alias("drift_score"), score.alias("exact_score"), (score > threshold).alias("drift_detected"))
 
 
 def recent_summary(recent: DataFrame, reference: DataFrame, inputs: Sequence[str], prediction: str = "prediction",
@@ -97,11 +98,32 @@ def recent_summary(recent: DataFrame, reference: DataFrame, inputs: Sequence[str
     )
 
 
-def drift_report(events: DataFrame, ts: str, tie: str, last: int = 10) -> DataFrame:
-    """Newest drift events, each with the size of the whole history and its covered features."""
+def drift_by_period(reference: DataFrame, df: DataFrame, period: str, inputs: Sequence[str], z_limit: float = Z_LIMIT,
+                    threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """One drift summary per period, as ``drift_summary`` gives for each alone, from one aggregate over all rows."""
+    means = [F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"__mean{i}") for i, c in enumerate(inputs)]
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__mean{i}").alias("cur_mean")) for i, c in enumerate(inputs)])
+    current = df.groupBy(period).agg(F.count(F.lit(1)).alias("n"), *means).select(period, "n", F.inline(pairs))
+    analysed, drifted = F.count(F.lit(1)), F.count_if(_z_score() > z_limit)
+    ratio = safe_ratio(F.col("features_with_drift"), F.col("features_analyzed"))
+    # One row per period and input on one side, one per input on the other.
+    return current.join(_reference(reference), "feature").groupBy(period, "n").agg(
+        analysed.alias("features_analyzed"), drifted.alias("features_with_drift")).withColumns({
+            "drift_ratio": F.round(ratio, 4), "drift_detected": F.coalesce(ratio > threshold, F.lit(False))})
+
+
+def drift_report(events: DataFrame, ts: str, tie: str, last: int = 10, features: Sequence[str] | None = None,
+                 threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """Newest drift events, each with the size of the whole history and its covered features.
+
+    With ``features``, the features of the reference, every row also names them and the threshold.
+    """
     total, covered = events.agg(F.count(F.lit(1)), F.max("features_analyzed")).first()
-    return events.orderBy(F.desc(ts), F.desc(tie)).limit(last).withColumns({
+    report = events.orderBy(F.desc(ts), F.desc(tie)).limit(last).withColumns({
         "history_count": F.lit(total).cast("bigint"), "features_covered": F.lit(covered)})
+    if features is None:
+        return report
+    return report.withColumns({"reference_features": F.array(*[F.lit(f) for f in features]), "drift_threshold": F.lit(float(threshold))})
 
 
 def class_ratio_bounds(predictions: DataFrame, prediction: str = "prediction",

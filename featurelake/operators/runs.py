@@ -63,11 +63,24 @@ def newest_first(versions: DataFrame, name: str) -> DataFrame:
 
 
 def version_details(versions: DataFrame, pointers: DataFrame) -> DataFrame:
-    """Versions with their stage; an unset stage comes from the pointer (name, version, stage)."""
+    """Versions with all their fields; an unset stage comes from the pointer (name, version, stage).
+
+    Fields the frame lacks are null, and missing tags are an empty map.
+    """
     own = F.nullif(F.nullif(F.col("v.stage"), F.lit(STAGE_NONE)), F.lit(""))
     joined = versions.alias("v").join(pointers.alias("p"), ["name", "version"], "left")
-    return joined.select("name", "version", F.col("v.run_id").alias("run_id"),
-                         F.coalesce(own, F.col("p.stage"), F.lit(STAGE_NONE)).alias("stage"))
+
+    def field(name: str, kind: str):
+        value = F.col(f"v.{name}") if name in versions.columns else F.lit(None)
+        return value.cast(kind)
+
+    tags = F.coalesce(field("tags", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return joined.select(
+        "name", "version", F.coalesce(own, F.col("p.stage"), F.lit(STAGE_NONE)).alias("stage"), field("status", "string").alias("status"),
+        field("source", "string").alias("source"), F.col("v.run_id").alias("run_id"),
+        field("creation_timestamp", "timestamp_ntz").alias("creation_timestamp"),
+        field("last_updated_timestamp", "timestamp_ntz").alias("last_updated_timestamp"),
+        field("description", "string").alias("description"), tags.alias("tags"))
 
 
 def compare_versions(pairs: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFrame:

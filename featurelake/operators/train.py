@@ -66,27 +66,56 @@ def feature_importance(model, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(labelled, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def cross_validate(df: DataFrame, model_type: str, key: str, folds: int = 5, seed: int = SEED,
-                   **overrides) -> DataFrame:
-    """Mean and population deviation of five metrics over stratified folds.
-
-    Each fold's model is fitted once; all metrics come from one frame holding every held-out row
-    scored by the model that has not seen it.
-    """
+def held_out_scores(df: DataFrame, model_type: str, key: str, folds: int = 5, seed: int = SEED, **overrides) -> DataFrame:
+    """key, fold, label, prediction and score of every row, scored by the model of the folds without it."""
     parts = cut_lineage(stratified_folds(df.select(key, "label", "features"), "label", key, folds, seed))
     held_out = None
     for fold in range(folds):
         model = train(parts.where(F.col("fold") != fold).drop("fold"), model_type, seed, **overrides)
-        scored = predict_rows(model, parts.where(F.col("fold") == fold)).select("fold", "label", "prediction", "score")
+        scored = predict_rows(model, parts.where(F.col("fold") == fold)).select(key, "fold", "label", "prediction", "score")
         held_out = scored if held_out is None else held_out.unionByName(scored)
-    held_out = cut_lineage(held_out)
-    cells = binary_metrics(held_out, keys=["fold"])
-    per_fold = cells.join(roc_auc(held_out, keys=["fold"]), "fold")
+    return cut_lineage(held_out)
+
+
+def fold_summary(held_out: DataFrame) -> DataFrame:
+    """Mean and population deviation of the five metrics over the folds."""
+    per_fold = binary_metrics(held_out, keys=["fold"]).join(roc_auc(held_out, keys=["fold"]), "fold")
     long = per_fold.unpivot(["fold"], list(METRICS), "metric", "value")
     return long.groupBy("metric").agg(F.round(F.avg("value"), 4).alias("mean"),
                                       F.round(F.stddev_pop("value"), 4).alias("std"))
 
 
+def cross_validate(df: DataFrame, model_type: str, key: str, folds: int = 5, seed: int = SEED,
+                   **overrides) -> DataFrame:
+    """Mean and population deviation of five metrics over stratified folds.
+
+    Each fold's model is fitted once; all metrics come from one frame holding every held-out row
+    scored by the model that has not seen it.
+    """
+    return fold_summary(held_out_scores(df, model_type, key, folds, seed, **overrides))
+
+
+def logistic_gradient(model, df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per coefficient and intercept the derivative of the penalised weighted loss, and the size of the terms it is a sum of.
+
+    ``df`` holds the rows the model was fitted on, with label. A fitted model's derivatives are near 0.
+    """
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    rows = with_class_weight(df, "label")
+    x = vector_to_array("features")
+    coefficients = [float(c) for c in last.coefficients]
+    z = sum((x[i] * F.lit(c) for i, c in enumerate(coefficients)), F.lit(float(last.intercept)))
+    away = rows.select("weight", x.alias("x"), (F.col("weight") * (1 / (1 + F.exp(-z)) - F.col("label"))).alias("e"))
+    terms = {**{n: (F.col("x")[i], coefficients[i]) for i, n in enumerate(names)}, "intercept": (F.lit(1.0), 0.0)}
+    aggs = [F.sum("weight").alias("w")]
+    for i, (value, _) in enumerate(terms.values()):
+        aggs += [F.sum(F.col("e") * value).alias(f"g{i}"), F.sum(F.abs(F.col("e") * value)).alias(f"s{i}")]
+    penalty = float(last.getRegParam())
+    out = [F.struct(F.lit(n).alias("term"), (F.col(f"g{i}") / F.col("w") + F.lit(penalty * c)).alias("gradient"),
+                    (F.col(f"s{i}") / F.col("w")).alias("size")) for i, (n, (_, c)) in enumerate(terms.items())]
+    return away.agg(*aggs).select(F.inline(F.array(*out)))
+
+
 def evaluate(scored: DataFrame) -> DataFrame:
     """One row with the five metrics of scored rows; the rows are scored once and kept narrow."""
     scored = cut_lineage(scored.select("label", "prediction", "score"))

@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from featurelake.functions.scalars import json_text, parse_json_body
 from featurelake.operators.alerts import alerts_from_drift
-from featurelake.operators.drift import DRIFT_THRESHOLD, drift_features, drift_summary, prediction_drift
+from featurelake.operators.drift import DRIFT_THRESHOLD, drift_features, drift_summary, prediction_drift_of
 from featurelake.session import scratch_path
 
 # Fixed value: records older than this are rejected.
@@ -111,15 +111,23 @@ def drift_batch(reference: DataFrame, inputs: Sequence[str], features_sink: str,
     if reference is None:
         raise ValueError("a drift stream needs reference statistics")
 
+    # One row per input, read once when the stream starts.
+    known = [(r["feature"], r["mean"], r["std"]) for r in reference.select("feature", "mean", "std").collect()]
+
     def check(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        spark = batch.sparkSession
+        values = {c: F.col(c).cast("double") for c in inputs}
+        # Everything the checks need, in one pass over the batch.
+        row = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == 0).alias("zeros"), F.count_if(F.col("prediction") == 1).alias("ones"),
+                        *[F.avg(F.when(~F.isnan(v), v)).alias(f"mean{i}") for i, v in enumerate(values.values())]).first()
+        if not row["n"]:
             return
-        features = drift_features(reference, batch.select(*inputs))
-        stored = f"{features_sink}/batch_id={batch_id}"
-        features.write.mode("overwrite").parquet(stored)
-        features = batch.sparkSession.read.schema(features.schema).parquet(stored)  # not computed again
-        alerts = alerts_from_drift(drift_summary(features, threshold), prediction_drift(batch, threshold=threshold),
-                                   F.current_timestamp(), features)
+        stats = spark.createDataFrame(known, "feature string, mean double, std double")
+        current = spark.createDataFrame([(c, row[f"mean{i}"]) for i, c in enumerate(inputs)], "feature string, mean double")
+        features = drift_features(stats, current)
+        features.write.mode("overwrite").parquet(f"{features_sink}/batch_id={batch_id}")
+        counts = spark.createDataFrame([(row["n"], row["zeros"] / row["n"], row["ones"] / row["n"])], "sample_size long, s0 double, s1 double")
+        alerts = alerts_from_drift(drift_summary(features, threshold), prediction_drift_of(counts, threshold=threshold), F.current_timestamp(), features)
         alerts.write.mode("overwrite").parquet(f"{alerts_sink}/batch_id={batch_id}")
 
     return check
