@@ -203,3 +203,21 @@ def _(spark, sf):
            .when(size < 30, F.concat(F.lit(PREFIX), "p_type")).otherwise(F.concat(name, F.lit(" (%)"))))
     return table(spark, sf, "part").select("p_partkey", scalars.metric_name(raw, PREFIX).alias("metric"),
                                            scalars.feature_metric_name(raw).alias("feature"))
+
+
+@catalog.add("truncate_text", "SELECT doc_id, left(text, 500) AS text, length(text) > 500 AS cut FROM documents")
+def _(spark, sf):
+    """Long messages as alerts carry them."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", scalars.truncate_text(F.col("text")).alias("text"), (F.length("text") > 500).alias("cut"))
+
+
+@catalog.add("truthy_switches", """
+WITH t AS (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'Yes' WHEN 2 THEN 'y' WHEN 3 THEN 'on' WHEN 4 THEN '1'
+                                             WHEN 5 THEN 'off' WHEN 6 THEN '' END AS switch FROM part)
+SELECT p_partkey, coalesce(lower(trim(switch)) IN ('1', 'true', 'yes', 'y', 'on'), false) AS plain,
+       coalesce(lower(trim(switch)) IN ('1', 'true', 'yes', 'y', 'on'), true) AS on_by_default FROM t""")
+def _(spark, sf):
+    texts = [" TRUE ", "Yes", "y", "on", "1", "off", "", None]
+    switch = F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("p_size") % 8 + 1)
+    return table(spark, sf, "part").select("p_partkey", scalars.truthy(switch).alias("plain"), scalars.truthy(switch, True).alias("on_by_default"))
