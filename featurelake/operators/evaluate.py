@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurelake.functions.ordering import running_total
 from featurelake.functions.scalars import ratio_or_zero
 
 CELLS = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
@@ -40,26 +42,55 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
         F.round(f1, 4).alias("f1_score"))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", keys: list[str] | None = None) -> DataFrame:
+def score_cuts(df: DataFrame, score: str, buckets: int) -> list[float]:
+    """At most ``buckets`` rising values that cut the scores into about equal parts, from one sketch; NaN and null are left out.
+
+    A score that many rows share is a cut itself.
+    """
+    value = F.when(~F.isnan(F.col(score)), F.col(score).cast("double"))
+    steps = [i / buckets for i in range(1, buckets)]
+    return sorted({v + 0.0 for v in df.agg(F.percentile_approx(value, steps, 20 * buckets).alias("cuts")).first()["cuts"] or [] if math.isfinite(v)})
+
+
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve by rank sum, exact and with ties sharing their rank.
 
-    Rows are first reduced to one per distinct score, so a score most rows share is one row. The
-    running count of negatives below a score comes from the global running total. With ``keys``
-    every key has its own curve. A single class has no area (null).
+    The scores are cut into buckets by a sketch. Rows that score exactly a cut, however many, are counted where they are; those
+    between two cuts move once, to their bucket, where distinct scores are put in order. Buckets then add up their negatives. With
+    ``keys`` every key has its own curve. A single class has no area (null). A null score is lower than all others, NaN
+    higher.
     """
     keys = keys or []
-    per_score = df.groupBy(*keys, score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    order = [F.col(c) for c in [*keys, score]]
-    summed = running_total(per_score, order, {"neg_upto": "neg"})
+    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = score_cuts(df, score, buckets)
+    value = F.col(score).cast("double") + F.lit(0.0)  # minus zero is zero, also to a binary search
+    narrow = df.select(*keys, value.alias("__score"), F.col(label).alias("__label"))
+    placed = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="__at", outputCol="__bucket").transform(
+        narrow.withColumn("__at", F.when(F.isnan("__score") | F.col("__score").isNull(), 0.0).otherwise(F.col("__score"))))
+    below = F.col("__bucket").cast("int")  # number of cuts at or below the score
+    bounds = F.array(*[F.lit(c) for c in cuts or [0.0]])
+    met = F.coalesce((below > 0) & (F.try_element_at(bounds, below) == F.col("__score")), F.lit(False))
+    # Places in order: null, then open intervals (even) and cuts (odd) by turns, then NaN.
+    place = (F.when(F.col("__score").isNull(), -1).when(F.isnan("__score"), 2 * len(cuts or [0.0]) + 1)
+             .when(met, 2 * below - 1).otherwise(2 * below))
+    placed = placed.select(*keys, "__score", "__label", place.alias("__place"))
+    pos, neg = F.count_if(F.col("__label") == 1).alias("pos"), F.count_if(F.col("__label") == 0).alias("neg")
+    single = F.pmod("__place", F.lit(2)) == 1
+    points = placed.where(single).groupBy(*keys, "__place").agg(pos, neg).withColumn(
+        "hits", F.col("pos").cast("double") * F.col("neg") / 2.0)
+    # One move of the rows: both the counts and the order inside a bucket keep its partitioning.
+    moved = placed.where(~single).repartition(F.col("__place"), *[F.col(k) for k in keys])
+    scores = moved.groupBy(*keys, "__place", "__score").agg(pos, neg)
+    inside = Window.partitionBy(*keys, "__place").orderBy("__score").rowsBetween(Window.unboundedPreceding, 0)
+    spans = scores.withColumn("upto", F.sum("neg").over(inside)).groupBy(*keys, "__place").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos").cast("double") * (F.col("upto") - F.col("neg") / 2.0)).alias("hits"))
+    # At most two rows for each cut, and key.
+    order = Window.partitionBy(*keys).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = points.unionByName(spans).withColumn("before", F.coalesce(F.sum("neg").over(order), F.lit(0)))
     grouped = summed.groupBy(*keys) if keys else summed.groupBy()
-    # Negatives of keys sorted earlier are part of the running total: their count is taken off.
-    pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    earlier = F.min(F.col("neg_upto") - F.col("neg")).cast("double")
-    hits = F.sum(F.col("pos").cast("double") * (F.col("neg_upto") - F.col("neg") / 2.0))
-    out = grouped.agg(pos.alias("p"), neg.alias("n"), earlier.alias("e"), hits.alias("h"))
-    area = (F.col("h") - F.col("p") * F.col("e")) / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))
-    return out.select(*keys, F.round(area, 4).alias("roc_auc"))
+    out = grouped.agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"),
+                      F.sum(F.col("hits") + F.col("pos").cast("double") * F.col("before")).alias("h"))
+    return out.select(*keys, F.round(F.col("h") / F.nullif(F.col("p") * F.col("n"), F.lit(0.0)), 4).alias("roc_auc"))
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

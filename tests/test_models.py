@@ -88,6 +88,29 @@ def test_auc_equals_pair_counting(spark, digits):
     assert out[0] == round(want, 4) and out[1] == pytest.approx(1 - want, abs=1e-4)
 
 
+@pytest.mark.parametrize("buckets", [2, 7, 64])
+def test_auc_of_few_buckets_hot_scores_and_odd_values(spark, buckets):
+    rng = random.Random(8)
+    inf, nan = float("inf"), float("nan")
+    make = [lambda: 0.5, lambda: 0.5, lambda: round(rng.random(), 1), lambda: rng.random(), lambda: rng.choice([-inf, inf, 0.0, -0.0, nan, None])]
+    data = [(rng.choice("xyz"), rng.choice([0, 1, 1]), rng.choice(make)()) for _ in range(900)] + [("one", 1, 0.3), ("one", 1, nan)]
+    place = lambda s: (0, 0) if s is None else (2, 0) if s != s else (1, s)
+    want = {}
+    for g in "xyz":
+        pos, neg = [place(s) for k, y, s in data if k == g and y], [place(s) for k, y, s in data if k == g and not y]
+        want[g] = round(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)), 4)
+    df = spark.createDataFrame(data, "g string, label int, score double")
+    assert {r.g: r.roc_auc for r in ev.roc_auc(df, keys=["g"], buckets=buckets).collect()} == {**want, "one": None}
+    assert ev.roc_auc(df.where("false"), buckets=buckets).first().roc_auc is None
+
+
+def test_auc_moves_rows_once(spark, rows, forest):
+    text = ev.roc_auc(train.predict_rows(forest, rows))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY") == 1 and "_SUCCESS" not in text
+    # What else is exchanged are counts of places: partial sums stand below each of those exchanges.
+    assert text.count("Exchange hashpartitioning(__place") == 2
+
+
 def test_auc_equals_the_library(rows, forest):
     scored = train.predict_rows(forest, rows)
     want = BinaryClassificationEvaluator(rawPredictionCol="score").evaluate(scored)
