@@ -30,8 +30,8 @@ from featurelake.llm.common import arrow_map
 # Fixed value: the split pattern of the byte-level vocabulary, with the white space of Unicode spelled out.
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: Entries of a worker's memos of encoded chunks and of compatible pairs, and the longest chunk kept.
-MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 120_000, 120_000, 48
+#: Entries of half of a worker's memo of encoded chunks, of its memo of compatible pairs, and the longest chunk kept.
+MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 120_000, 300_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -115,29 +115,33 @@ class Bpe:
                     if limit == a:
                         return True
 
-    def merge_bytes(self, piece: bytes) -> list[int]:
+    def merge_bytes(self, piece: str) -> list[int]:
         """Ids of one pre-token. If the longest matches in a row are all compatible, the walk never steps back and
-        they are its result."""
-        text = piece.decode("latin-1")
+        they are its result; else it goes on from the first two that are not."""
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
         greedy = [token for _, token in self.matcher.iter_long(text)]
-        fits = self.fits
-        if all(map(fits.__getitem__, zip(greedy, greedy[1:]))):
-            return [self.ids[t] for t in greedy]
-        return [self.ids[t] for t in self.walk(text)]
-
-    def walk(self, text: str) -> list[int]:
-        size = len(text)
+        fits, ids, before = self.fits, self.ids, -1
+        for i, token in enumerate(greedy):
+            if before >= 0 and not fits[before << 20 | token]:
+                return [ids[t] for t in self.walk(text, greedy[:i])]
+            before = token
+        return [ids[t] for t in greedy]
+
+    def walk(self, text: str, begun: list[int] | tuple = ()) -> list[int]:
+        """Backtracking from the tokens ``begun``, which are longest matches and compatible."""
+        out, size = list(begun), len(text)
         longest = [0] * size
         lengths, shorter, fits = self.lengths, self.shorter, self.fits
         for end, token in self.matcher.iter(text):
             longest[end + 1 - lengths[token]] = token  # ends come in order, so the longest comes last
         alive = bytearray(b"\1") * (size + 1)
-        out: list[int] = []
-        place, token = 0, longest[0]
+        place = sum(map(lengths.__getitem__, out))
+        token = longest[place]
         while place < size:
+            before = out[-1] << 20 if out else -1
             while token >= 0:
                 end = place + lengths[token]
-                if alive[end] and (not out or fits[out[-1], token]):
+                if alive[end] and (before < 0 or fits[before | token]):
                     break
                 token = shorter[token]
             if token >= 0:
@@ -153,10 +157,21 @@ class Bpe:
 
     def pieces(self, text: str) -> list[int]:
         """Ids of a stretch of text that begins and ends with a pre-token."""
+        if text[0] == " " and text.isascii() and text[1:].isalpha():
+            return self.merge_bytes(text)
         found = _SPLIT.findall(text)
         if len(found) == 1:
-            return self.merge_bytes(text.encode())
-        return list(chain.from_iterable(self.merge_bytes(piece.encode()) for piece in found))
+            return self.merge_bytes(text)
+        out: list[int] = []
+        for piece in found:
+            # Words come back with other marks after them, so they are remembered by themselves too.
+            if piece[0] != " ":
+                out += self.head[piece]
+            elif len(piece) > 1:
+                out += self.tail[piece[1:]]
+            else:
+                out += self.merge_bytes(piece)
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, special strings included."""
@@ -197,30 +212,35 @@ class Bpe:
 
 
 class Pairs(dict):
-    """Answers of ``compatible``; starts anew when it is full."""
+    """Answers of ``compatible`` by both tokens in one number; starts anew when it is full."""
 
     def __init__(self, bpe: Bpe) -> None:
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, pair: tuple[int, int]) -> bool:
+    def __missing__(self, pair: int) -> bool:
         if len(self) >= PAIR_ENTRIES:
             self.clear()
-        answer = self[pair] = self.bpe.compatible(*pair)
+        answer = self[pair] = self.bpe.compatible(pair >> 20, pair & 0xFFFFF)
         return answer
 
 
 class Memo(dict):
-    """Ids by chunk. It starts anew when it is full, so a worker's memory is bounded."""
+    """Ids by chunk. When it is full it becomes the older half and starts anew; what is met again comes back from there,
+    so frequent chunks stay and a worker's memory is bounded."""
 
     def __init__(self, bpe: Bpe, before: str) -> None:
         super().__init__()
         self.bpe, self.before = bpe, before
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(self.bpe.pieces(self.before + chunk)) if chunk or self.before else ()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = tuple(self.bpe.pieces(self.before + chunk)) if chunk or self.before else ()
         if len(chunk) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
