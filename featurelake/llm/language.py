@@ -286,12 +286,11 @@ def filtered(docs: DataFrame, model: Model, least: float, penalty: float = PENAL
 
     def run(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
             column = batch.column("text").fill_null("")
-            for a, b in slices(binary_sizes(column), BATCH_BYTES):
+            for a, b in slices(binary_sizes(column), BATCH_BYTES):  # what goes back is no larger than a slice
                 texts = [t.as_py().encode() for t in column.slice(a, b - a)]
                 names, share, _, evidence = labelled_texts(shared.value, texts, penalty)
-                keep[a:b] = (np.array(names, object) != UNDETERMINED) & (share >= least) & (evidence >= LEAST_EVIDENCE)
-            yield batch.filter(pa.array(keep))
+                keep = (np.array(names, object) != UNDETERMINED) & (share >= least) & (evidence >= LEAST_EVIDENCE)
+                yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return ship(docs).mapInArrow(run, docs.schema)
