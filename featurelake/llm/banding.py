@@ -90,16 +90,43 @@ def remaining_links(members: DataFrame, texts: DataFrame, linked: DataFrame, set
             nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
             a, b = [], []
             for start, end in zip(starts, starts[1:]):
-                # Sets are far larger than their texts, so only one piece has them at a time.
-                found = [sets(t) for t in table.column("text").slice(start, end - start).to_pylist()]
-                _, labels = np.unique(roots[start:end], return_inverse=True)
-                labels = np.array([np.flatnonzero(labels == x)[0] for x in labels])
-                for i in range(end - start):
-                    for j in range(i):
-                        if labels[i] != labels[j] and similar(found[i], found[j], least):
-                            hook(labels, np.array([i]), np.array([j]))
-                            a.append(nodes[start + i])
-                            b.append(nodes[start + j])
+                _, first, labels = np.unique(roots[start:end], return_index=True, return_inverse=True)
+                labels = first[labels]
+                held = table.column("text").slice(start, end - start)
+                for i, j in links_within(held, labels, sets, least):
+                    a.append(nodes[start + i])
+                    b.append(nodes[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kinds)
 
     return ship(together).mapInArrow(run, "a long, b long")
+
+
+def links_within(texts: pa.ChunkedArray, labels: np.ndarray, sets: Sets, least: float) -> list[tuple[int, int]]:
+    """Links between texts of different labels; labels (each the place of its first text) are joined as links are found.
+
+    Sets are kept as arrays of numbers, dense inside the group. A text is compared with all others that are not
+    connected to it yet in one gather; what passes is verified on the sets themselves.
+    """
+    # A process hashes equal shingles alike, and numbers are compared inside this call only.
+    codes = [np.unique(np.fromiter(map(hash, sets(t.as_py())), np.int64)) for t in texts]
+    sizes = np.array([len(c) for c in codes])
+    ends = np.cumsum(sizes)
+    kinds, dense = np.unique(np.concatenate(codes), return_inverse=True)
+    codes = np.split(dense.astype(np.int32), ends[:-1])
+    mark = np.zeros(len(kinds), bool)
+    found = []
+    for i in range(1, len(codes)):
+        low, high = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+        others = np.flatnonzero((labels[:i] != labels[i]) & (low >= least * high) & (low > 0))
+        if not len(others):
+            continue
+        mark[codes[i]] = True
+        common = np.add.reduceat(mark[np.concatenate([codes[j] for j in others])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        mark[codes[i]] = False
+        near = others[common / (sizes[others] + sizes[i] - common) >= least]
+        mine = sets(texts[i].as_py()) if len(near) else set()
+        for j in near:
+            if labels[i] != labels[j] and similar(mine, sets(texts[int(j)].as_py()), least):
+                hook(labels, np.array([i]), np.array([j]))
+                found.append((i, int(j)))
+    return found

@@ -40,7 +40,7 @@ from featurelake.session import cut_lineage
 HASHES, WORDS = 128, 5
 #: Bands, values of a band, least Jaccard similarity, texts compared in full in one piece. A pair at the least similarity
 #: shares a band with 99.8 %.
-BANDS, DEPTH, SIMILAR, PIECE = 21, 6, 0.8, 64
+BANDS, DEPTH, SIMILAR, PIECE = 21, 6, 0.8, 512
 #: Bytes of text hashed at a time.
 BATCH_BYTES = 1 << 20
 #: Ranges of ids for each shuffle partition.

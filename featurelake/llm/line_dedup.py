@@ -35,7 +35,7 @@ from featurelake.llm.components import components
 from featurelake.session import cut_lineage
 
 #: Characters of a shingle, bands, values of a band, least Jaccard similarity, lines compared in full in one piece.
-SHINGLE, BANDS, DEPTH, SIMILAR, PIECE = 8, 10, 4, 0.8, 256
+SHINGLE, BANDS, DEPTH, SIMILAR, PIECE = 8, 10, 4, 0.8, 2048
 #: Bytes of text cut into lines at a time, characters whose signatures are made at a time.
 BATCH_BYTES, BATCH_CHARS = 4 << 20, 1 << 17
 
