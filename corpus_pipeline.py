@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurelake.llm import bpe, fingerprints, language, line_dedup, mixing
+from featurelake.llm import bpe, language, line_dedup, mixing, simhash
 from featurelake.llm.common import tokenizer_file
 from featurelake.session import cut_lineage
 
@@ -33,13 +33,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, the one of least doc_id: texts whose sets of five-word shingles
-    have a Jaccard similarity of 0.8 or more, directly or in a chain.
-
-    Such texts differ in about 10 of 64 SimHash bits, too many for equal stretches of bits, so signature bands find the
-    candidates and exact similarity decides.
-    """
-    return fingerprints.distinct_documents(docs)
+    """Keep one document of each group of near copies, the one of least doc_id: texts whose SimHashes of four-word
+    shingles differ in at most four bits, directly or in a chain."""
+    return simhash.distinct_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
