@@ -280,6 +280,26 @@ def test_near_duplicates_equal_brute_force(spark, sf, odd, none):
     assert fingerprints.near_duplicates(none).collect() == []
 
 
+def test_one_document_of_each_class_equals_brute_force_jaccard(spark, sf):
+    random.seed(21)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"] and len(r["text"].split()) > 60][:60]
+    rows = []
+    for text in texts:
+        rows.append(text)
+        for edits in (1, 2, 8):
+            words = text.split()
+            for _ in range(edits):
+                words[random.randrange(len(words))] = f"new{random.randrange(10**6)}"
+            rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    sets = [fingerprints.word_set(t) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j], 0.8)]
+    want = {min(c) for c in classes_of(near, range(len(rows))).values()}
+    assert len(texts) <= len(want) < len(rows)
+    assert {r["doc_id"] for r in fingerprints.distinct_documents(docs).collect()} == want
+    assert {r["doc_id"] for r in simhash.distinct_documents(docs).collect()} != want  # four bits reach too few
+
+
 def test_op8_names_classes(spark, base):
     random.seed(4)
     texts = [" ".join(random.choices(WORDS, k=80)) for _ in range(30)]
