@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from test_text_operators import DOCS, odd_documents
 
 import corpus_pipeline
 from featurelake.llm import fingerprints, line_dedup, neighbours, queries, simhash
-from featurelake.llm.banding import similar
+from featurelake.llm.banding import links_within, similar
 from featurelake.llm.components import components, hook
 
 WORDS = ("river stone cloud lamp winter garden market silver window bridge letter morning copper forest harbour candle meadow "
@@ -188,6 +189,22 @@ def test_chained_lines_meet_in_open_buckets(spark, monkeypatch):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_links_within_a_piece_equal_all_pairs(seed):
+    random.seed(seed)
+    texts = [x for _, text in line_rows(seed) for x in text.split("\n") if line_dedup.plain(x)]
+    sets = [line_dedup.line_set(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j], 0.8)]
+    known = random.sample(near, len(near) // 3)
+    begun = classes_of(known, range(len(texts)))
+    labels = np.array([min(begun[i]) for i in range(len(texts))])
+    found = links_within(pa.chunked_array([texts[:7], texts[7:]]), labels, line_dedup.line_set, 0.8)
+    assert set(found) <= set(near) and len(found) < len(texts)
+    want = classes_of(near, range(len(texts)))
+    assert classes_of(known + found, range(len(texts))) == want
+    assert labels.tolist() == [min(want[i]) for i in range(len(texts))]
+
+
 def test_documents_without_their_dropped_lines(spark, odd, none):
     rows = line_rows(5)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, dropped string").repartition(3)
