@@ -12,7 +12,7 @@ from featurelake.functions.ordering import global_index
 from featurelake.operators import evaluate as ev
 from featurelake.operators import explain, score, split, train
 from featurelake.plans.training import training_from_wide, training_job, with_entity_id
-from featurelake.session import scratch_path
+from featurelake.session import on_all_cores, scratch_path
 from featurelake.sources.offline import OfflineStore
 from featurelake.sources.serving import ServingStore
 
@@ -354,8 +354,8 @@ def _(spark, sf):
     rows = _vectors(spark, sf)
     model = train.train(rows, "random_forest")
     loaded = train.load_model(train.save_model(model, scratch_path(spark, "model"), "v1"))
-    before = train.predict_rows(model, rows).select("line_id", F.col("score").alias("before"))
-    after = train.predict_rows(loaded, rows).select("line_id", F.col("score").alias("after"))
+    before = train.predict_rows(model, on_all_cores(rows)).select("line_id", F.col("score").alias("before"))
+    after = train.predict_rows(loaded, on_all_cores(rows)).select("line_id", F.col("score").alias("after"))
     return before.join(after, "line_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") != F.col("after")).alias("changed"))
 
@@ -395,7 +395,7 @@ def _(spark, sf):
     path = train.save_model(model, scratch_path(spark, "model"), "v1")
     parts = explain.tree_contributions(rows, explain.tree_nodes(spark, train.stage_path(path, model)), INPUTS, "line_id")
     total = F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x["contribution"])
-    scored = train.predict_rows(model, rows).select("line_id", "score")
+    scored = train.predict_rows(model, on_all_cores(rows)).select("line_id", "score")
     return parts.select("line_id", "base_value", total.alias("total")).join(scored, "line_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("total") - F.col("score")) > 1e-9).alias("off"),
         F.count_distinct(F.round("base_value", 9)).alias("base_values"))

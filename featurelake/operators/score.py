@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from featurelake.operators.features import scoring_defaults
 from featurelake.operators.predictions import label_text
+from featurelake.session import on_all_cores
 from featurelake.sources.serving import ServingStore
 
 
@@ -35,7 +36,7 @@ def score_batch(model, df: DataFrame, version: str, source: str = "file", key: s
     are random.
     """
     ready = scoring_defaults(df, defaults) if defaults is not None else df
-    scored = model.transform(ready)
+    scored = model.transform(on_all_cores(ready))
     p1 = F.element_at(vector_to_array("probability"), 2)
     out = scored.withColumns(score_columns(p1, F.col("prediction"), version, source))
     pid = F.uuid() if key is None else F.col(key).cast("string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from featurelake.operators.evaluate import binary_metrics, roc_auc
 from featurelake.operators.split import SEED, stratified_folds, with_class_weight
-from featurelake.session import cut_lineage
+from featurelake.session import cut_lineage, on_all_cores
 
 # The three model settings.
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2}
@@ -21,6 +23,9 @@ BOOSTING = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1}
 LOGISTIC = {"maxIter": 1000}
 MODEL_TYPES = ("random_forest", "gradient_boosting", "logistic_regression")
 METRICS = ("accuracy", "precision", "recall", "f1_score", "roc_auc")
+TREES = ("random_forest", "gradient_boosting")
+# Fewer rows train trees where they lie; more are dealt out, so many to a task at most.
+DEALT_FROM, ROWS_A_TASK = 100_000, 2_000_000
 
 
 def classifier(model_type: str, rows: int | None = None, seed: int = SEED, **overrides):
@@ -40,13 +45,32 @@ def classifier(model_type: str, rows: int | None = None, seed: int = SEED, **ove
     raise ValueError(f"model type {model_type!r} is not one of {MODEL_TYPES}")
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """Rows with features, dealt evenly to all cores and held on disk, ``ROWS_A_TASK`` to a task at most.
+
+    A level of a forest is one pass over the rows and all trees. In order of their features neighbours reach the same nodes, which
+    then stay in the processor's cache; that takes half the time of a pass in any other order.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * math.ceil(max(rows, 1) / ROWS_A_TASK / cores)
+    columns = [c for c in ("label", "weight", "features") if c in df.columns]
+    return df.select(*columns).repartition(tasks).sortWithinPartitions(vector_to_array("features")).persist(StorageLevel.DISK_ONLY)
+
+
 def train(df: DataFrame, model_type: str, seed: int = SEED, stages: Sequence = (), **overrides) -> PipelineModel:
     """Fit transforms and classifier as one pipeline on rows with ``label``."""
     if model_type not in MODEL_TYPES:
         raise ValueError(f"model type {model_type!r} is not one of {MODEL_TYPES}")
-    rows = df.count() if model_type == "logistic_regression" else None
+    rows = df.count()
     weighted = with_class_weight(df, "label")
-    return Pipeline(stages=[*stages, classifier(model_type, rows, seed, **overrides)]).fit(weighted)
+    if model_type not in TREES or rows < DEALT_FROM:
+        return Pipeline(stages=[*stages, classifier(model_type, rows, seed, **overrides)]).fit(weighted)
+    transforms = Pipeline(stages=list(stages)).fit(weighted)
+    ready = dealt(transforms.transform(weighted), rows)
+    try:
+        return PipelineModel([*transforms.stages, classifier(model_type, rows, seed, **overrides).fit(ready)])
+    finally:
+        ready.unpersist()
 
 
 def predict_rows(model, df: DataFrame) -> DataFrame:
@@ -72,7 +96,7 @@ def held_out_scores(df: DataFrame, model_type: str, key: str, folds: int = 5, se
     held_out = None
     for fold in range(folds):
         model = train(parts.where(F.col("fold") != fold).drop("fold"), model_type, seed, **overrides)
-        scored = predict_rows(model, parts.where(F.col("fold") == fold)).select(key, "fold", "label", "prediction", "score")
+        scored = predict_rows(model, on_all_cores(parts.where(F.col("fold") == fold))).select(key, "fold", "label", "prediction", "score")
         held_out = scored if held_out is None else held_out.unionByName(scored)
     return cut_lineage(held_out)
 

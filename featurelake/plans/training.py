@@ -15,7 +15,7 @@ from featurelake.operators.features import TARGET, FeatureTransform, create_labe
 from featurelake.operators.prepare import prepare_dataset
 from featurelake.operators.split import FOLDS, stratified_split
 from featurelake.operators.train import cross_validate, evaluate, feature_importance, predict_rows, record_model, save_model, train
-from featurelake.session import cut_lineage
+from featurelake.session import cut_lineage, on_all_cores
 from featurelake.sources.offline import OfflineStore
 from featurelake.sources.serving import ServingStore
 
@@ -58,7 +58,7 @@ def training_job(spark: SparkSession, labelled: DataFrame, entity: str, label: s
         ready = transform.fit(train_rows).transform(train_rows).select(entity, "label", "features")
         checked = cross_validate(ready, model_type, entity, folds, **overrides)
     model = train(train_rows, model_type, stages=[transform], **overrides)
-    scored = cut_lineage(predict_rows(model, test_rows).select("label", "prediction", "score"))
+    scored = cut_lineage(predict_rows(model, on_all_cores(test_rows)).select("label", "prediction", "score"))
     metrics = evaluate(scored)
     model_path = save_model(model, f"{base}/model", version)
     weights = model.stages[-1]

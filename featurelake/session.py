@@ -61,3 +61,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as there are cores, for work that costs more than moving them.
+
+    A file of one row group is read by one task, and what is stored in few files by few.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

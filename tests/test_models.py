@@ -131,6 +131,29 @@ def test_each_model_type_learns(rows, kind, settings):
     assert train.evaluate(scored).first().accuracy > 0.8
 
 
+def test_trees_of_many_rows_train_on_all_cores(spark, rows, monkeypatch):
+    """One row group is one task; dealt out, no task has more rows than its share, whatever the size."""
+    one = rows.coalesce(1).withColumn("weight", F.lit(1.0))
+    for limit, tasks in [(10_000, 8), (30, 16)]:
+        monkeypatch.setattr(train, "ROWS_A_TASK", limit)
+        ready = train.dealt(one, 400)
+        sizes = [n for n in ready.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+        assert len(sizes) == tasks and max(sizes) <= 400 / tasks + 2
+        assert ready.exceptAll(one.select("label", "weight", "features")).count() == 0
+        ready.unpersist()
+    used = []
+    monkeypatch.setattr(train, "DEALT_FROM", 1)
+    monkeypatch.setattr(train, "dealt", lambda df, n, real=train.dealt: used.append(n) or real(df, n))
+    for kind, settings in [("random_forest", {"numTrees": 5, "maxDepth": 4}), ("gradient_boosting", {"maxIter": 3, "maxDepth": 3})]:
+        assert train.evaluate(train.predict_rows(train.train(rows.drop("features"), kind, stages=[
+            VectorAssembler(inputCols=NAMES, outputCol="features")], **settings), rows.drop("features"))).first().accuracy > 0.8
+    assert used == [400, 400]
+
+
+def test_batches_are_scored_by_all_cores(rows, forest):
+    assert score.score_batch(forest, rows.coalesce(1), "v1", key="id").rdd.getNumPartitions() == 8
+
+
 def test_unknown_model_type(rows):
     with pytest.raises(ValueError):
         train.train(rows, "nearest_neighbour")
