@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featurelake.session import cut_lineage
+
 # Rows whose products are held at a time.
 EXPLAINED_AT_ONCE = 2048
 
@@ -162,41 +164,63 @@ def tree_values(tree: Tree, x, phi) -> None:
 def tree_contributions(df: DataFrame, trees: Sequence[Tree], names: Sequence[str], key: str, features: str = "features") -> DataFrame:
     """Shapley values per row under path-dependent expectations: (key, base_value, contributions).
 
-    Rows travel as Arrow batches and are explained ``EXPLAINED_AT_ONCE`` at a time. Rows that no limit of the trees tells apart are
-    explained once; Spark's trees have fewer limits per feature than bins, so with few features many rows are. The trees
-    travel as a broadcast variable.
+    Rows that no limit of the trees tells apart lie in one cell and share their values: each cell is explained once, however many
+    rows it holds, ``EXPLAINED_AT_ONCE`` cells at a time, and the rows find their values by a join. Spark's trees have fewer
+    limits per feature than bins, so with few features there are few cells. The trees travel as a broadcast variable.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(list(trees))
-    labels = list(names)
-    kind = df.schema[key].dataType.simpleString()
-    out = f"`{key}` {kind}, base_value double, contributions array<struct<feature: string, contribution: double>>"
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(df.sparkSession.createDataFrame([], out).schema)
+    spark = df.sparkSession
+    shipped = spark.sparkContext.broadcast(list(trees))
+    labels = list(names)
+    place_out = f"`{key}` {df.schema[key].dataType.simpleString()}, __cell binary"
+    out = "__cell binary, base_value double, contributions array<struct<feature: string, contribution: double>>"
+    place_schema, schema = (to_arrow_schema(spark.createDataFrame([], s).schema) for s in (place_out, out))
+
+    def limits() -> list:
+        import numpy as np
+
+        return [np.unique([v for tree in shipped.value for g, v in zip(tree.feature, tree.limit) if g == f]) for f in range(len(labels))]
+
+    def place(batches: Iterator) -> Iterator:
+        """A cell is the number of limits below the value, for each feature."""
+        import numpy as np
+        import pyarrow as pa
+
+        bounds = limits()
+        for batch in batches:
+            n = len(batch)
+            x = np.asarray(batch.column("x").flatten()).reshape(n, len(labels)) if n else np.zeros((0, len(labels)))
+            cells = np.stack([np.searchsorted(b, x[:, f], side="left") for f, b in enumerate(bounds)], axis=1).astype("<i4")
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * len(labels)), n, [None, pa.py_buffer(cells.tobytes())])
+            columns = [batch.column(0), packed.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, place_schema)], schema=place_schema)
 
     def explain(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         base = sum(map(expected_value, shipped.value))
-        limits = [np.unique([v for tree in shipped.value for g, v in zip(tree.feature, tree.limit) if g == f]) for f in range(len(labels))]
+        # A cell's upper limit goes the way of all its values; above the last limit, as for NaN, no comparison holds.
+        corners = [np.append(b, np.nan) for b in limits()]
         for batch in batches:
             n = len(batch)
-            vectors = batch.column("x")
-            x = np.asarray(vectors.flatten()).reshape(n, len(labels)) if n else np.zeros((0, len(labels)))
-            cells = np.stack([np.searchsorted(limits[f], x[:, f], side="left") for f in range(len(labels))], axis=1) if n else x.astype(int)
-            _, first, cell = np.unique(cells, axis=0, return_index=True, return_inverse=True)
-            phi = np.zeros((len(labels), len(first)))
-            for a in range(0, len(first), EXPLAINED_AT_ONCE):
-                part = np.ascontiguousarray(x[first[a:a + EXPLAINED_AT_ONCE]].T)
+            cells = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4").reshape(n, len(labels))
+            x = np.stack([c[cells[:, f]] for f, c in enumerate(corners)])
+            phi = np.zeros(x.shape)
+            for a in range(0, n, EXPLAINED_AT_ONCE):
+                part = np.ascontiguousarray(x[:, a:a + EXPLAINED_AT_ONCE])
                 for tree in shipped.value:
                     tree_values(tree, part, phi[:, a:a + EXPLAINED_AT_ONCE])
-            values = pa.array(phi.T[cell.ravel()].ravel())
+            values = pa.array(phi.T.ravel())
             parts = pa.StructArray.from_arrays([pa.array(labels * n, pa.string()), values], names=["feature", "contribution"])
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * len(labels))
             columns = [batch.column(0), pa.array(np.full(n, base)), pa.ListArray.from_arrays(offsets, parts).cast(schema.field(2).type)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    # Explaining is work for all cores, however few files the rows came from; only keys and inputs move.
-    narrow = df.select(key, vector_to_array(F.col(features)).alias("x"))
-    return narrow.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).mapInArrow(explain, out)
+    placed = cut_lineage(df.select(key, vector_to_array(F.col(features)).alias("x")).mapInArrow(place, place_out))
+    # Explaining is work for all cores, however little room the cells take. By column Spark would leave this step out, as the
+    # distinct cells lie in that order already, and then put the small partitions together.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    explained = placed.select("__cell").distinct().repartition(tasks).mapInArrow(explain, out)
+    return placed.join(explained, "__cell").select(key, "base_value", "contributions")

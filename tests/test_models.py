@@ -275,6 +275,27 @@ def test_tree_contributions_equal_brute_force_and_add_up(spark, rows, forest, ba
     assert explain.tree_contributions(rows.where("false"), trees, NAMES, "id").count() == 0
 
 
+def test_rows_of_one_cell_are_explained_once(spark, rows, forest, base, monkeypatch):
+    """Repeated and null keys keep their rows; the work is that of distinct cells, in all tasks together."""
+    trees = explain.tree_nodes(spark, train.stage_path(train.save_model(forest, base, "v1"), forest))
+    some = rows.where("a < 0.3")
+    want = {tuple(r.contributions) for r in explain.tree_contributions(some, trees, NAMES, "id").collect()}
+    many = some.crossJoin(spark.range(20).toDF("copy")).withColumn("id", F.when(F.col("id") != "r1", F.lit("same")))
+    explained = spark.sparkContext.accumulator(0)
+    real = explain.tree_values
+
+    def counted(tree, x, phi):
+        explained.add(x.shape[1])
+        real(tree, x, phi)
+
+    parts = explain.tree_contributions(some, trees, NAMES, "id")
+    assert "Exchange RoundRobinPartitioning(8)" in parts._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(explain, "tree_values", counted)
+    got = explain.tree_contributions(many.select("id", "features"), trees, NAMES, "id").collect()
+    assert len(got) == 20 * some.count() and {tuple(r.contributions) for r in got} == want
+    assert 0 < explained.value <= len(trees) * some.count()
+
+
 def test_boosted_contributions_add_up_to_the_margin(spark, rows, base):
     model = train.train(rows, "gradient_boosting", maxIter=4, maxDepth=3)
     trees = explain.tree_nodes(spark, train.stage_path(train.save_model(model, base, "v1"), model), boosted=True)
