@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from featurelake.functions.scalars import ratio_or_zero
 
+# Rows to be put in order by one task of the ranks: each takes about 250 bytes there.
+ROWS_A_BUCKET = 250_000
 CELLS = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
 
 
@@ -42,27 +44,33 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
         F.round(f1, 4).alias("f1_score"))
 
 
-def score_cuts(df: DataFrame, score: str, buckets: int) -> list[float]:
+def score_cuts(df: DataFrame, score: str, buckets: int, most: int | None = None) -> list[float]:
     """At most ``buckets`` rising values that cut the scores into about equal parts, from one sketch; NaN and null are left out.
 
-    A score that many rows share is a cut itself.
+    A score that many rows share is a cut itself. If parts held more than ``most`` rows, a second sketch cuts into so many that
+    they do not.
     """
     value = F.when(~F.isnan(F.col(score)), F.col(score).cast("double"))
     steps = [i / buckets for i in range(1, buckets)]
-    return sorted({v + 0.0 for v in df.agg(F.percentile_approx(value, steps, 20 * buckets).alias("cuts")).first()["cuts"] or [] if math.isfinite(v)})
+    found = df.agg(F.percentile_approx(value, steps, 20 * buckets).alias("cuts"), F.count(value).alias("n")).first()
+    if most and found["n"] > most * buckets:
+        return score_cuts(df, score, math.ceil(found["n"] / most))
+    return sorted({v + 0.0 for v in found["cuts"] or [] if math.isfinite(v)})
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve by rank sum, exact and with ties sharing their rank.
 
     The scores are cut into buckets by a sketch. Rows that score exactly a cut, however many, are counted where they are; those
-    between two cuts move once, to their bucket, where distinct scores are put in order. Buckets then add up their negatives. With
+    between two cuts move once, to their bucket, where distinct scores are put in order. There are as many buckets as shuffle
+    partitions, or more, and as many tasks, so that none gets many more than ``ROWS_A_BUCKET`` rows. Buckets then add up their negatives. With
     ``keys`` every key has its own curve. A single class has no area (null). A null score is lower than all others, NaN
     higher.
     """
     keys = keys or []
+    most = None if buckets else ROWS_A_BUCKET
     buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = score_cuts(df, score, buckets)
+    cuts = score_cuts(df, score, buckets, most)
     value = F.col(score).cast("double") + F.lit(0.0)  # minus zero is zero, also to a binary search
     narrow = df.select(*keys, value.alias("__score"), F.col(label).alias("__label"))
     placed = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="__at", outputCol="__bucket").transform(
@@ -79,7 +87,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", keys: lis
     points = placed.where(single).groupBy(*keys, "__place").agg(pos, neg).withColumn(
         "hits", F.col("pos").cast("double") * F.col("neg") / 2.0)
     # One move of the rows: both the counts and the order inside a bucket keep its partitioning.
-    moved = placed.where(~single).repartition(F.col("__place"), *[F.col(k) for k in keys])
+    tasks = [len(cuts) + 1] if len(cuts) >= buckets else []
+    moved = placed.where(~single).repartition(*tasks, F.col("__place"), *[F.col(k) for k in keys])
     scores = moved.groupBy(*keys, "__place", "__score").agg(pos, neg)
     inside = Window.partitionBy(*keys, "__place").orderBy("__score").rowsBetween(Window.unboundedPreceding, 0)
     spans = scores.withColumn("upto", F.sum("neg").over(inside)).groupBy(*keys, "__place").agg(

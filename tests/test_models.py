@@ -111,6 +111,19 @@ def test_auc_moves_rows_once(spark, rows, forest):
     assert text.count("Exchange hashpartitioning(__place") == 2
 
 
+def test_no_task_of_the_ranks_grows_with_the_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    data = [(rng.randrange(2), rng.random() if i % 3 else 0.5) for i in range(3000)]
+    df = spark.createDataFrame(data, "label int, score double")
+    want = ev.roc_auc(df).first().roc_auc
+    assert len(ev.score_cuts(df, "score", 8, 100)) >= 20
+    monkeypatch.setattr(ev, "ROWS_A_BUCKET", 100)
+    many = ev.roc_auc(df)
+    assert many.first().roc_auc == want
+    text = many._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and "REPARTITION_BY_COL" not in text
+
+
 def test_auc_equals_the_library(rows, forest):
     scored = train.predict_rows(forest, rows)
     want = BinaryClassificationEvaluator(rawPredictionCol="score").evaluate(scored)
