@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featurelake.operators import cells
 from featurelake.operators.evaluate import binary_metrics, roc_auc
 from featurelake.operators.split import SEED, stratified_folds, with_class_weight
 from featurelake.session import cut_lineage, on_all_cores
@@ -66,13 +67,26 @@ def train(df: DataFrame, model_type: str, seed: int = SEED, stages: Sequence = (
     if model_type not in TREES or rows < DEALT_FROM:
         return Pipeline(stages=[*stages, classifier(model_type, rows, seed, **overrides)]).fit(weighted)
     transforms = Pipeline(stages=list(stages)).fit(weighted)
-    ready = dealt(transforms.transform(weighted), rows)
+    unfitted = classifier(model_type, rows, seed, **overrides)
+    ready = transforms.transform(weighted)
+    forest = model_type == "random_forest"
+    alike = ready if forest else ready.withColumn("weight", F.lit(1.0))  # boosting does not weigh classes
+    found = cells.cells_of(alike, rows, unfitted.getMaxBins()) if by_cells(unfitted) else None
+    if found is not None:
+        return PipelineModel([*transforms.stages, (cells.forest if forest else cells.boosted)(found, unfitted)])
+    ready = dealt(ready, rows)
     try:
-        return PipelineModel([*transforms.stages, classifier(model_type, rows, seed, **overrides).fit(ready)])
+        return PipelineModel([*transforms.stages, unfitted.fit(ready)])
     finally:
         ready.unpersist()
 
 
+def by_cells(unfitted) -> bool:
+    """Whether rows of one cell are alike to the classifier; boosting on a sample or with rows held back asks for single rows."""
+    return isinstance(unfitted, RandomForestClassifier) or (
+        unfitted.getSubsamplingRate() == 1.0 and not unfitted.isDefined("validationIndicatorCol"))
+
+
 def predict_rows(model, df: DataFrame) -> DataFrame:
     """Prediction as int and the class-1 probability as score."""
     return model.transform(df).withColumns({
