@@ -27,6 +27,8 @@ METRICS = ("accuracy", "precision", "recall", "f1_score", "roc_auc")
 TREES = ("random_forest", "gradient_boosting")
 # Fewer rows train trees where they lie; more are dealt out, so many to a task at most.
 DEALT_FROM, ROWS_A_TASK = 100_000, 2_000_000
+# From so many rows on it is tried whether cells make less work.
+CELLS_FROM = 1_000_000
 
 
 def classifier(model_type: str, rows: int | None = None, seed: int = SEED, **overrides):
@@ -71,7 +73,7 @@ def train(df: DataFrame, model_type: str, seed: int = SEED, stages: Sequence = (
     ready = transforms.transform(weighted)
     forest = model_type == "random_forest"
     alike = ready if forest else ready.withColumn("weight", F.lit(1.0))  # boosting does not weigh classes
-    found = cells.cells_of(alike, rows, unfitted.getMaxBins()) if by_cells(unfitted) else None
+    found = cells.cells_of(alike, rows, unfitted.getMaxBins()) if rows >= CELLS_FROM and by_cells(unfitted) else None
     if found is not None:
         return PipelineModel([*transforms.stages, (cells.forest if forest else cells.boosted)(found, unfitted)])
     ready = dealt(ready, rows)

@@ -82,6 +82,7 @@ def test_each_tree_draws_its_own_bootstrap(spark):
 def test_many_rows_train_on_their_cells(spark, coarse, base, monkeypatch):
     """The trees' passes see cells, so their work does not grow with the rows; the model is saved, loaded and explained like any other."""
     monkeypatch.setattr(train, "DEALT_FROM", 1)
+    monkeypatch.setattr(train, "CELLS_FROM", 1)
     monkeypatch.setattr(train, "dealt", lambda df, n: pytest.fail("trees were trained on rows"))
     for kind, settings in [("gradient_boosting", {"maxIter": 3, "maxDepth": 3}), ("random_forest", {"numTrees": 5, "maxDepth": 4})]:
         model = train.train(coarse.drop("weight", "features"), kind, stages=[VectorAssembler(inputCols=NAMES, outputCol="features")], **settings)
