@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -25,13 +26,15 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from featurelake.llm.common import arrow_map
+from featurelake.llm.common import arrow_map, binary_sizes, slices
 
 # Fixed value: the split pattern of the byte-level vocabulary, with the white space of Unicode spelled out.
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Entries of half of a worker's memo of encoded chunks, of its memo of compatible pairs, and the longest chunk kept.
 MEMO_ENTRIES, PAIR_ENTRIES, MEMO_CHARS = 120_000, 300_000, 48
+#: Bytes of text whose ids are held at a time.
+SLICE_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -284,13 +287,18 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 def encode_checked(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and same of every text: whether the ids decode to the text; a null text counts as empty."""
 
-    def run(batch):
-        bpe = load(path)
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        ids = [bpe.encode(t) for t in texts]
-        yield {"doc_id": batch.column("doc_id"), "ids": ids, "same": [text_of(bpe.decode(i)) == t for i, t in zip(ids, texts)]}
+    return arrow_map(docs.select("doc_id", "text"), lambda batch: checked_slices(load(path), batch),
+                     "doc_id long, ids array<int>, same boolean")
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, same boolean")
+
+def checked_slices(bpe: Bpe, batch) -> Iterator[dict]:
+    """The columns of ``encode_checked`` for about ``SLICE_BYTES`` of text at a time; only one slice's texts and ids are Python objects."""
+    sizes = [n or 0 for n in binary_sizes(batch.column("text"))]
+    for a, b in slices(sizes, SLICE_BYTES):
+        part = batch.slice(a, b - a)
+        texts = [t or "" for t in part.column("text").to_pylist()]
+        ids = [bpe.encode(t) for t in texts]
+        yield {"doc_id": part.column("doc_id"), "ids": ids, "same": [text_of(bpe.decode(i)) == t for i, t in zip(ids, texts)]}
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -359,3 +359,21 @@ def test_mixed_rows_keep_their_columns(spark, odd, none):
     assert mixed.columns == odd.columns
     assert Counter(r["doc_id"] for r in mixed.collect()) == +copies
     assert mixing.mix(none).collect() == [] and mixing.mixed_rows(none).collect() == []
+
+
+def test_encoding_holds_the_ids_of_one_slice(monkeypatch):
+    """A batch of Arrow rows comes back in parts of bounded text; together they are the batch."""
+    import pyarrow as pa
+
+    texts = ["one two " * 40, None, "", "x", "é" * 700, "three " * 60, "end"] * 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 1000)
+    mine = bpe.load(tokenizer_file("byte_bpe_50k.json"))
+    parts = list(bpe.checked_slices(mine, batch))
+    assert len(parts) > 5
+    for part in parts:
+        held = [len((texts[i] or "").encode()) for i in part["doc_id"].to_pylist()]
+        assert sum(held) <= 1000 or len(held) == 1 or sum(held[:-1]) == 0
+    assert [i for p in parts for i in p["doc_id"].to_pylist()] == list(range(len(texts)))
+    assert [i for p in parts for i in p["ids"]] == [mine.encode(t or "") for t in texts]
+    assert all(s for p in parts for s in p["same"])
