@@ -82,6 +82,11 @@ def word_set(text: str) -> set[tuple[bytes, ...]]:
     return {tuple(words[i:i + WORDS]) for i in range(len(words) - WORDS + 1)} or ({tuple(words)} if words else set())
 
 
+def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the members of word_set of each text, repeats included, and the bounds of the texts among them."""
+    return shingle_hashes(*word_hashes([t.encode().lower() for t in texts]), WORDS)
+
+
 def band_hashes(prints: np.ndarray) -> np.ndarray:
     """One number for each of BANDS stretches of DEPTH values of each fingerprint."""
     out = np.empty((len(prints), BANDS), np.uint64)
@@ -123,7 +128,7 @@ def classes(prints: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = members.select("centre", "node").distinct()
     wanted = members.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
     texts = cut_lineage(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    roots = components(all_links(members, pairs, texts, word_set, SIMILAR, PIECE))
+    roots = components(all_links(members, pairs, texts, word_set, word_codes, SIMILAR, PIECE))
     nodes = cut_lineage(prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
                         .select("node", "least", F.coalesce("root", "node").alias("root")))
     return nodes.join(nodes.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")

@@ -21,8 +21,6 @@ A document whose lines have all been removed is left out by ``dedup_lines``.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,27 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurelake.llm.banding import all_links, band_members
-from featurelake.llm.common import arrow_map, binary_sizes, hashable, mixed, powers, slices
+from featurelake.llm.common import arrow_map, binary_sizes, hashable, mixed, slices
 from featurelake.llm.components import components
 from featurelake.session import cut_lineage
 
 #: Characters of a shingle, bands, values of a band, least Jaccard similarity, lines compared in full in one piece.
 SHINGLE, BANDS, DEPTH, SIMILAR, PIECE = 8, 10, 4, 0.8, 2048
 #: Bytes of text cut into lines at a time, characters whose signatures are made at a time.
-BATCH_BYTES, BATCH_CHARS = 4 << 20, 1 << 17
+BATCH_BYTES, BATCH_CHARS = 4 << 20, 1 << 16
 
 _RANDOM = np.random.default_rng(2)
 _A = _RANDOM.integers(1, 2**32, BANDS * DEPTH, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, BANDS * DEPTH, dtype=np.uint32)
 _BAND = _RANDOM.integers(1, 2**64, (BANDS, DEPTH + 1), dtype=np.uint64) | np.uint64(1)
 _BASE = 0xB5297A4D3F84D5B5
-_INVERSE = pow(_BASE, -1, 2**64)
-_SPACE = re.compile(r"\s+")
 
 
 def plain(line: str) -> str:
     """The form in which lines are compared."""
-    return _SPACE.sub(" ", line.lower()).strip()
+    return " ".join(line.lower().split())
 
 
 def shingles(line: str) -> set[str]:
@@ -62,23 +58,53 @@ def line_set(line: str) -> set[str]:
     return shingles(plain(line))
 
 
+def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of each nonempty line, repeats included, and the bounds of the lines among them.
+
+    A shingle's hash is a polynomial of its points, made for all places at once by doubling the width.
+    """
+    lengths = np.array([len(x) for x in lines])
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    points += np.uint64(1)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    hashes, width = points.copy(), 1
+    while width < SHINGLE:
+        wider = hashes[width:] * np.uint64(pow(_BASE, width, 2**64))
+        hashes[:-width] += wider
+        width *= 2
+    # Shingles end with their line; a shorter line is one shingle, its points alone.
+    whole = np.ones(len(points), bool)
+    for k in range(1, SHINGLE):
+        whole[ends[lengths >= k] - k] = False
+    short = np.flatnonzero(lengths < SHINGLE)
+    whole[starts[short]] = True
+    hashes[starts[short]] = 0
+    for k in range(SHINGLE - 1):
+        has = short[lengths[short] > k]
+        hashes[starts[has]] += points[starts[has] + k] * np.uint64(pow(_BASE, k, 2**64))
+    hashes = hashes[whole]
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes, np.concatenate([[0], np.cumsum(np.maximum(lengths - SHINGLE + 1, 1))])
+
+
+def line_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines as they stand in a text; a blank one has a point instead of none."""
+    return shingle_codes([plain(x) or "\0" for x in lines])
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """Band hashes of nonempty lines, a row for each."""
     out = np.empty((len(lines), BANDS), np.uint64)
     for a, b in slices(map(len, lines), BATCH_CHARS):
-        lengths = np.array([len(x) for x in lines[a:b]])
-        points = np.frombuffer("".join(lines[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points + np.uint64(1)) * powers(_BASE, len(points)), out=sums[1:])
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        made = np.maximum(lengths - SHINGLE + 1, 1)
-        cuts = np.cumsum(made) - made
-        first = np.repeat(starts - cuts, made) + np.arange(made.sum())
-        last = np.minimum(first + SHINGLE, np.repeat(ends, made))
-        hashes = (sums[last] - sums[first]) * powers(_INVERSE, len(points) + 1)[first]
-        hashes = ((hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
-        least = [np.minimum.reduceat(hashes * _A[k] + _B[k], cuts).astype(np.uint64) for k in range(BANDS * DEPTH)]
+        hashes, cuts = shingle_codes(lines[a:b])
+        hashes, cuts = (hashes >> np.uint64(32)).astype(np.uint32), cuts[:-1]
+        values = np.empty_like(hashes)
+        least = []
+        for k in range(BANDS * DEPTH):
+            np.multiply(hashes, _A[k], out=values)
+            np.add(values, _B[k], out=values)
+            least.append(np.minimum.reduceat(values, cuts).astype(np.uint64))
         for band in range(BANDS):
             h = np.full(b - a, _BAND[band, DEPTH])
             for j in range(DEPTH):
@@ -148,7 +174,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     pairs = members.select("centre", "node").distinct()
     wanted = members.select(F.explode(F.array("centre", "node")).alias("line")).distinct()
     texts = cut_lineage(line_texts(docs, lines, wanted)).withColumnRenamed("line", "node")
-    names = components(all_links(members, pairs, texts, line_set, SIMILAR, PIECE)).withColumnRenamed("node", "line")
+    names = components(all_links(members, pairs, texts, line_set, line_codes, SIMILAR, PIECE)).withColumnRenamed("node", "line")
     firsts = lines.groupBy("line").agg(F.min(F.struct("__id", "__hash", "line_no")).alias("first"))
     of_root = names.join(firsts, "line").groupBy("root").agg(F.min("first").alias("class"))
     # Stored, so that the last join stands alone and adaptive execution can split a line that many documents hold.

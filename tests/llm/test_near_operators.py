@@ -13,7 +13,7 @@ from test_text_operators import DOCS, odd_documents
 
 import corpus_pipeline
 from featurelake.llm import fingerprints, line_dedup, neighbours, queries, simhash
-from featurelake.llm.banding import links_within, similar
+from featurelake.llm.banding import links_within, near_pairs, numbered, similar
 from featurelake.llm.components import components, hook
 
 WORDS = ("river stone cloud lamp winter garden market silver window bridge letter morning copper forest harbour candle meadow "
@@ -205,6 +205,25 @@ def test_links_within_a_piece_equal_all_pairs(seed):
     assert labels.tolist() == [min(want[i]) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("codes, sets", [(line_dedup.line_codes, line_dedup.line_set), (fingerprints.word_codes, fingerprints.word_set)])
+def test_pairs_by_hashes_equal_pairs_by_sets(codes, sets):
+    """Sets are made only where the clash of two hashes would change the result; before, for every text."""
+    random.seed(6)
+    base = [" ".join(random.choices(WORDS, k=random.choice([1, 2, 3, 9, 40]))) for _ in range(300)]
+    x = [t for t in base for _ in range(3)]
+    y = [t if random.random() < 0.2 else t[:-random.randrange(1, 9)] + random.choice(["", "a", "É x", "\t  B"]) for t in x]
+    x, y = zip(*[(a, b) for a, b in zip(x, y) if a.split() and b.split()])
+    want = [i for i in range(len(x)) if similar(sets(x[i]), sets(y[i]), 0.8)]
+    near, sure = near_pairs(list(x), list(y), codes, 0.8)
+    assert set(near[sure]) <= set(want) <= set(near.tolist()) and sum(sure) > len(want) / 3
+    shingles = [len(sets(t)) for t in x]
+    assert [len(c) for c in numbered(pa.chunked_array([list(x)]), codes)] == shingles
+    long = [a for a, n in zip(x, shingles) if n > 30][::3][:20]
+    texts = pa.chunked_array([[t for a in long for t in (a, a + " end")]])
+    found = links_within(texts, np.arange(len(texts)), lambda t: pytest.fail("a set was made"), 0.8, numbered(texts, codes))
+    assert found == [(i, i - 1) for i in range(1, len(texts), 2)]
+
+
 def test_documents_without_their_dropped_lines(spark, odd, none):
     rows = line_rows(5)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, dropped string").repartition(3)
