@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurelake.llm.common import arrow_map, partitions, ship, slices
@@ -27,6 +27,8 @@ Codes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 PLACES, BATCH_CHARS = 12, 1 << 17
 #: Texts, and cells of the table of texts and members, up to which all pairs of a group are counted at once.
 MOST, TABLE = 1024, 1 << 22
+#: Bits of the largest bitmap of wanted keys.
+SLOTS = 1 << 24
 
 
 def jaccard(a: set, b: set) -> float:
@@ -82,9 +84,21 @@ def band_members(nodes: DataFrame) -> DataFrame:
     """bucket, centre (its least node) and node (any other) for every bucket of more than one node, from rows node and
     bands (null where a node has been given its bands in another row)."""
     cells = nodes.filter(F.size("bands") > 0).select("node", F.explode("bands").alias("bucket"))
-    shared = (cells.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("most"))
-              .filter("centre <> most").select("bucket", "centre"))
-    return cells.join(shared, "bucket").filter("node <> centre").select("bucket", "centre", "node")
+    # Nearly all buckets have one node. A window moves and sorts them once, where minima and a join would do so twice.
+    least = F.min("node").over(Window.partitionBy("bucket")).alias("centre")
+    return cells.select("bucket", least, "node").filter("node <> centre")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a hash) is wanted, and some others, without moving any row: a bitmap of the wanted keys' last bits, of
+    ``SLOTS`` bits at most, is sent to all tasks. A join that moves rows is to follow."""
+    slots = min(SLOTS, 1 << max(16, (16 * wanted.count()).bit_length()))
+
+    word = F.shiftright(F.col(key).bitwiseAND(F.lit(slots - 1)), 6).alias("__word")
+    bit = F.expr(f"shiftleft(1L, cast({key} & 63 AS int))")
+    bitmap = wanted.groupBy(word).agg(F.bit_or(bit).alias("__bits"))
+    return (rows.withColumn("__word", word).join(F.broadcast(bitmap), "__word")
+            .filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, codes: Codes, least: float) -> DataFrame:

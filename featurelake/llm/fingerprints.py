@@ -31,7 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelake.llm.banding import all_links, band_members
+from featurelake.llm.banding import all_links, band_members, likely
 from featurelake.llm.common import arrow_map, hashable, mixed, partitions, shingle_hashes, ship, slices, word_hashes
 from featurelake.llm.components import components
 from featurelake.session import cut_lineage
@@ -101,6 +101,12 @@ def band_hashes(prints: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the least doc_id among the texts joined by links of similarity SIMILAR or more, for every
     document. Texts are known by 64-bit hashes; a class of null ids alone has a null id."""
+    prints, named = classified(docs)
+    return prints.select("doc_id", "node").join(named, "node", "left").select("doc_id", "class_id")
+
+
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored doc_id, node and bands of every document, and class_id of every node."""
     rows = noded(docs)
 
     def run(batch):
@@ -112,7 +118,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = cut_lineage(arrow_map(rows, run, f"doc_id {kind}, node long, bands array<long>"))
-    return prints.select("doc_id", "node").join(classes(prints, rows), "node", "left").select("doc_id", "class_id")
+    return prints, classes(prints, rows)
 
 
 def noded(docs: DataFrame) -> DataFrame:
@@ -126,8 +132,8 @@ def classes(prints: DataFrame, rows: DataFrame) -> DataFrame:
     prints = prints.select("doc_id", "node", "bands")
     members = cut_lineage(band_members(prints))
     pairs = members.select("centre", "node").distinct()
-    wanted = members.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
-    texts = cut_lineage(rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    wanted = cut_lineage(members.select(F.explode(F.array("centre", "node")).alias("node")).distinct())
+    texts = cut_lineage(likely(rows.select("node", "text"), wanted, "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     roots = components(all_links(members, pairs, texts, word_set, word_codes, SIMILAR, PIECE))
     nodes = cut_lineage(prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
                         .select("node", "least", F.coalesce("root", "node").alias("root")))
@@ -152,48 +158,60 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def ordered(docs: DataFrame) -> DataFrame:
+def ordered(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Ranges of ids, each whole in one partition and in order, with a copy of the next range's first document last:
-    range, copied, doc_id, h, text (null as empty)."""
+    range, copied, doc_id, h, text (null as empty), class_id (null). Documents alike in id and h follow their row of ``known``
+    (doc_id, h, class_id), which has no text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     n = partitions(docs)
     steps = [i / (RANGES * n) for i in range(1, RANGES * n)]
     cuts = docs.select(F.col("doc_id").cast("double").alias("at")).approxQuantile("at", steps, 1 / (8 * RANGES * n))
     splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="at", outputCol="range", handleInvalid="keep").transform(
-        rows.withColumn("at", F.col("doc_id").cast("double"))).withColumn("range", F.col("range").cast("int")).drop("at")
+    cutter = Bucketizer(splits=splits, inputCol="at", outputCol="range", handleInvalid="keep")
+
+    def ranged(rows):
+        return cutter.transform(rows.withColumn("at", F.col("doc_id").cast("double"))).withColumn("range", F.col("range").cast("int")).drop("at")
+
+    bucketed = ranged(rows)
     # One row for each range, so this is as small as the list of cuts.
     firsts = (bucketed.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("first"))
               .select("range", "first.doc_id", "first.h").orderBy("range").collect())
     ahead = [(r["doc_id"], r["h"], firsts[i - 1]["range"]) for i, r in enumerate(firsts)]
-    known = docs.sparkSession.createDataFrame(ahead, "doc_id long, h long, before int")
+    next_first = docs.sparkSession.createDataFrame(ahead, "doc_id long, h long, before int")
     copied = (bucketed.drop("range").alias("d").join(
-        F.broadcast(known).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h")))
+        F.broadcast(next_first).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h")))
         .select(F.col("before").alias("range"), F.lit(True).alias("copied"), "d.doc_id", "d.h", "text"))
-    return (bucketed.select("range", F.lit(False).alias("copied"), "doc_id", "h", "text").unionByName(copied)
-            .repartition(n, "range").sortWithinPartitions("range", "copied", F.col("doc_id").asc_nulls_last(), "h"))
+    whole = bucketed.select("range", F.lit(False).alias("copied"), "doc_id", "h", "text").unionByName(copied).withColumn(
+        "class_id", F.lit(None).cast("long"))
+    if known is not None:
+        whole = whole.unionByName(ranged(known).withColumns({"copied": F.lit(False), "text": F.lit(None).cast("string")}))
+    return whole.repartition(n, "range").sortWithinPartitions(
+        "range", "copied", F.col("doc_id").asc_nulls_last(), "h", F.col("text").isNotNull())
 
 
 def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
-    """Ids, texts, next texts and text hashes, about ``BATCH_BYTES`` characters at a time, from batches of an ordered partition."""
-    held, size = None, 0
-    ids, texts, follows, hashes = [], [], [], []
+    """Ids, texts, next texts and classes, about ``BATCH_BYTES`` characters at a time, from batches of an ordered partition."""
+    held, own, size = None, None, 0
+    ids, texts, follows, classes = [], [], [], []
     for batch in batches:
-        for row in zip(*(batch.column(c) for c in ("range", "copied", "doc_id", "text", "h"))):
+        for row in zip(*(batch.column(c) for c in ("range", "copied", "doc_id", "text", "class_id"))):
             row = tuple(x.as_py() for x in row)
+            if row[3] is None:  # the class of the documents that follow
+                own = row[4]
+                continue
             if held is not None and not held[1] and held[0] == row[0]:
                 ids.append(held[2])
                 texts.append(held[3])
                 follows.append(row[3])
-                hashes.append(held[4])
+                classes.append(held[4])
                 size += len(held[3])
                 if size > BATCH_BYTES:
-                    yield ids, texts, follows, hashes
-                    ids, texts, follows, hashes, size = [], [], [], [], 0
-            held = row
+                    yield ids, texts, follows, classes
+                    ids, texts, follows, classes, size = [], [], [], [], 0
+            held = (*row[:4], own)
     if ids:
-        yield ids, texts, follows, hashes
+        yield ids, texts, follows, classes
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -210,14 +228,14 @@ def with_next(docs: DataFrame) -> DataFrame:
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, its edited text and the next text, their likeness, and the text's class of near copies.
 
-    Pairing and hashing are one pass in one Python worker per task; its rows, with the bands, are stored once.
+    Classes are found first, from bands alone, and travel with the texts, so that no fingerprint is stored or moved. Pairing and
+    hashing are one pass in one Python worker per task.
     """
     kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("own", pa.binary()),
-                       ("edited", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("node", pa.int64()),
-                       ("bands", pa.list_(pa.int64()))])
+                       ("edited", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("class_id", pa.int64())])
 
     def run(batches):
-        for ids, texts, following, nodes in followed(batches):
+        for ids, texts, following, named in followed(batches):
             mine, after = [t.encode() for t in texts], [f.encode() for f in following]
             changed = [edited(t, f).encode() for t, f in zip(texts, following)]
             own, other = minhashes(mine), minhashes(changed)
@@ -226,13 +244,14 @@ def compare(docs: DataFrame) -> DataFrame:
             nxt = np.concatenate([own[1:], own[:1]])
             nxt[lone] = minhashes([after[i] for i in lone])
             columns = [ids, [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in changed], packed(own),
-                       packed(other), likeness(own, other), likeness(own, nxt), nodes, list(band_hashes(own).view(np.int64))]
+                       packed(other), likeness(own, other), likeness(own, nxt), named]
             yield pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip(columns, kinds)], schema=kinds)
 
-    stored = cut_lineage(ship(ordered(docs)).mapInArrow(
+    prints, named = classified(docs)
+    known = cut_lineage(prints.select("doc_id", "node").distinct().join(named, "node", "left")
+                        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("node").alias("h"), F.col("class_id").cast("long").alias("class_id")))
+    return ship(ordered(docs, known)).mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, own binary, edited binary, near_edited double, near_next double, "
-             "node long, bands array<long>"))
-    named = cut_lineage(classes(stored, noded(docs)))
-    return stored.drop("bands").join(named, "node", "left").select(
+             "class_id long").select(
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("own")).alias("fingerprint"),
         F.lower(F.hex("edited")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id")

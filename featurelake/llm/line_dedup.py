@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelake.llm.banding import all_links, band_members
+from featurelake.llm.banding import all_links, band_members, likely
 from featurelake.llm.common import arrow_map, binary_sizes, hashable, mixed, slices
 from featurelake.llm.components import components
 from featurelake.session import cut_lineage
@@ -158,9 +158,10 @@ def line_texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFram
     """line and its text for every wanted node (distinct, column line), cut out of the first document that holds it."""
     at = (lines.join(wanted, "line", "left_semi").groupBy("line")
           .agg(F.min(F.struct("__id", "__hash", "line_no")).alias("first")))
-    by_doc = (at.select("line", "first.*").groupBy("__id", "__hash")
-              .agg(F.collect_list(F.struct("line_no", "line")).alias("cut")))
-    found = docs.select("__id", "__hash", F.split("text", "\n", -1).alias("parts")).join(by_doc, ["__id", "__hash"])
+    by_doc = cut_lineage(at.select("line", "first.*").groupBy("__id", "__hash")
+                         .agg(F.collect_list(F.struct("line_no", "line")).alias("cut")))
+    holding = likely(docs.select("__id", "__hash", "text"), by_doc, "__hash")
+    found = holding.join(by_doc, ["__id", "__hash"]).withColumn("parts", F.split("text", "\n", -1))
     picked = F.transform("cut", lambda c: F.struct(c["line"].alias("line"), F.element_at("parts", c["line_no"] + 1).alias("text")))
     # Rows alike in all columns give the same line twice.
     return found.select(F.explode(picked).alias("c")).select("c.*").dropDuplicates(["line"])
