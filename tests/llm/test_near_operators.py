@@ -13,7 +13,7 @@ from test_text_operators import DOCS, odd_documents
 
 import corpus_pipeline
 from featurelake.llm import fingerprints, line_dedup, neighbours, queries, simhash
-from featurelake.llm.banding import links_within, near_pairs, numbered, similar
+from featurelake.llm.banding import band_members, likely, links_within, near_pairs, numbered, similar
 from featurelake.llm.components import components, hook
 
 WORDS = ("river stone cloud lamp winter garden market silver window bridge letter morning copper forest harbour candle meadow "
@@ -345,6 +345,30 @@ def test_op8_names_classes(spark, base):
     assert got == {i: i if i < 30 else i - 30 for i in range(40)}
 
 
+def test_op8_stores_and_moves_no_fingerprints(spark, base, monkeypatch):
+    stored = []
+    monkeypatch.setattr(fingerprints, "cut_lineage", lambda df, cut=fingerprints.cut_lineage: stored.append(df.columns) or cut(df))
+    rows = [(None, "a b"), (3, "a b"), (3, "c"), (3, "a b"), (5, None), (9, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{base}/documents.parquet")
+    got = Counter((r["doc_id"], r["n_chars"], r["class_id"]) for r in queries.op8(spark, base).collect())
+    assert got == Counter({(None, 3, 3): 1, (3, 3, 3): 2, (3, 1, 3): 1, (5, 0, 5): 1, (9, 3, 3): 1})
+    assert stored and not any({"own", "edited"} & set(c) for c in stored)
+
+
+def test_likely_rows_hold_all_wanted_and_few_others(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("key"), "id")
+    wanted = rows.filter("id % 10 = 0").select("key")
+    found = {r["id"] for r in likely(rows, wanted, "key").collect()}
+    assert set(range(0, 20000, 10)) <= found and len(found) < 5000
+    assert likely(rows, wanted.limit(0), "key").count() == 0
+
+
+def test_members_of_shared_buckets(spark):
+    nodes = spark.createDataFrame([(5, [1, 2]), (3, [1, 3]), (5, None), (8, [1]), (-2, [3]), (5, [2])], "node long, bands array<long>")
+    got = {tuple(r) for r in band_members(nodes).select("bucket", "centre", "node").collect()}
+    assert got == {(1, 3, 5), (1, 3, 8), (3, -2, 3)}
+
+
 # -- neighbours ---------------------------------------------------------------------------------------
 
 def brute_nearest(rows, is_query, top):
