@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 from multiprocessing.pool import ThreadPool
 
@@ -34,6 +35,8 @@ QUANTILES, ACCURACY = 2048, 10_000
 ROWS_A_CELL, MOST_FEATURES = 8, 12
 # Cells one task trains a tree on.
 CELLS_A_TASK = 200_000
+# Trees that ask for tasks at the same time, for each core: while the driver plans one tree's next pass, the core works for another.
+AHEAD = 2
 
 
 def values_of(points: Sequence[tuple[float, float]], most: int) -> list[float]:
@@ -53,16 +56,39 @@ def values_of(points: Sequence[tuple[float, float]], most: int) -> list[float]:
     return out
 
 
+def flat(ready: DataFrame, width: int) -> DataFrame:
+    """label, weight, x0, x1, ... of rows with features, or the rows themselves if they are so already."""
+    if "features" not in ready.columns:
+        return ready
+    x = ready.select("label", "weight", vector_to_array("features").alias("x"))
+    return x.select("label", "weight", *[F.col("x")[i].alias(f"x{i}") for i in range(width)])
+
+
 def feature_values(ready: DataFrame, width: int, most: int) -> list[list[float]] | None:
     """The values that stand for each feature's cells, from all rows with label, weight and features; None if some are not finite or
-    labels are not 0 and 1, which is left to Spark's own checks."""
-    x = ready.select("label", "weight", vector_to_array("features").alias("x"))
-    asked = [i / QUANTILES for i in range(QUANTILES + 1)]
-    classes = x.groupBy("label").agg(F.sum("weight").alias("mass"), *[
-        F.percentile_approx(F.col("x")[i], asked, ACCURACY).alias(f"q{i}") for i in range(width)]).collect()  # a row for each class
-    if {r["label"] for r in classes} != {0, 1}:
+    labels are not 0 and 1, which is left to Spark's own checks.
+
+    A feature of no more values than quantiles are asked for is counted by value, which costs far less than its quantiles.
+    """
+    rows = flat(ready, width)
+    classes = {r["label"]: r for r in rows.groupBy("label").agg(  # a row for each class
+        F.sum("weight").alias("mass"), F.count(F.lit(1)).alias("rows"),
+        *[F.approx_count_distinct(f"x{i}").alias(f"n{i}") for i in range(width)]).collect()}
+    if set(classes) != {0, 1}:
         return None
-    points = [[(v, r["mass"] or 0.0) for r in classes for v in r[f"q{i}"] or [math.nan]] for i in range(width)]
+    points: list[list[tuple[float, float]]] = [[] for _ in range(width)]
+    few = [i for i in range(width) if max(r[f"n{i}"] for r in classes.values()) <= QUANTILES]
+    many = [i for i in range(width) if i not in few]
+    if few:
+        listed = [rows.groupBy("label", F.lit(i).alias("feature"), F.col(f"x{i}").alias("value")).count() for i in few]
+        for r in reduce(DataFrame.unionByName, listed).collect():
+            of = classes[r["label"]]
+            points[r["feature"]].append((math.nan if r["value"] is None else r["value"], (of["mass"] or 0.0) * r["count"] / of["rows"]))
+    if many:
+        asked = [i / QUANTILES for i in range(QUANTILES + 1)]
+        for r in rows.groupBy("label").agg(*[F.percentile_approx(f"x{i}", asked, ACCURACY).alias(f"q{i}") for i in many]).collect():
+            for i in many:
+                points[i] += [(v, classes[r["label"]]["mass"] or 0.0) for v in r[f"q{i}"] or [math.nan]]
     if not all(math.isfinite(v) for listed in points for v, _ in listed):
         return None
     return [values_of(listed, most) for listed in points]
@@ -73,8 +99,7 @@ def counted(ready: DataFrame, values: Sequence[Sequence[float]]) -> DataFrame:
 
     A row at a candidate lies below it, as in a tree. A bucketizer puts it above, so it sees the rows' negatives.
     """
-    x = ready.select("label", "weight", vector_to_array("features").alias("x"))
-    rows = x.select("label", "weight", *[(-F.col("x")[i]).alias(f"n{i}") for i in range(len(values))])
+    rows = flat(ready, len(values)).select("label", "weight", *[(-F.col(f"x{i}")).alias(f"n{i}") for i in range(len(values))])
     wide = [i for i, v in enumerate(values) if len(v) > 1]
     if wide:
         splits = [[-math.inf, *[-(a + b) / 2 for a, b in zip(values[i][-2::-1], values[i][:0:-1])], math.inf] for i in wide]
@@ -97,7 +122,7 @@ def cells_of(ready: DataFrame, rows: int, most: int) -> DataFrame | None:
     first = ready.select(F.size(vector_to_array("features")).alias("n")).first()
     if first is None or first["n"] is None or not 0 < first["n"] <= MOST_FEATURES:
         return None
-    held = on_all_cores(ready.select("label", "weight", "features")).persist(StorageLevel.DISK_ONLY)
+    held = on_all_cores(flat(ready, first["n"])).persist(StorageLevel.DISK_ONLY)
     try:
         values = feature_values(held, first["n"], most)
         if values is None:
@@ -109,17 +134,22 @@ def cells_of(ready: DataFrame, rows: int, most: int) -> DataFrame | None:
 
 
 def weighted(cells: DataFrame, count, least: int) -> DataFrame:
-    """label, weight, features of cells that count for ``count`` rows, each as ``least`` rows or, of fewer, as all.
+    """label, weight, features of cells with features that count for ``count`` rows, each as ``least`` rows or, of fewer, as all.
 
     So a node has ``least`` rows here if and only if it has as many of those counted.
     """
-    names = [c for c in cells.columns if c.startswith("x")]
-    parts = F.least(F.lit(least), count)
-    rows = cells.where(count > 0).select("label", (F.col("weight") * count / parts).alias("weight"),
-                                         F.explode(F.array_repeat(F.lit(0), parts.cast("int"))), *names)
     classes = {"ml_attr": {"type": "nominal", "vals": ["0", "1"]}}
-    return VectorAssembler(inputCols=names, outputCol="features").transform(rows).select(
-        F.col("label").cast("double").alias("label", metadata=classes), "weight", "features")
+    label, weight = F.col("label").cast("double").alias("label", metadata=classes), F.col("weight") * count
+    if least == 1:
+        return cells.where(count > 0).select(label, weight.alias("weight"), "features")
+    parts = F.least(F.lit(least), count)
+    return cells.where(count > 0).select(
+        label, (weight / parts).alias("weight"), "features", F.explode(F.array_repeat(F.lit(0), parts.cast("int")))).drop("col")
+
+
+def least_weight(low: float, high: float, least: int) -> float | None:
+    """A weight that ``least`` rows reach and fewer do not, rows weighing from ``low`` to ``high``; None if there is none."""
+    return ((least - 1) * high + least * low) / 2 if 0 < (least - 1) * high < least * low else None
 
 
 def drawn(rate: float, trees: int, replaced: bool, seed: int):
@@ -144,12 +174,27 @@ def bins_for(examples: int, least: int) -> int:
     return max(least, math.isqrt(max(examples, 1)) + 1)
 
 
+def share_to_ask(cells: DataFrame, rate: float) -> float:
+    """Share of a tree's examples that holds every value of every feature, but for a chance of exp(-40) each.
+
+    A cell is in a tree's sample by a chance of 1 - exp(-rate) at least, so the value of fewest cells decides.
+    """
+    names = [c for c in cells.columns if c.startswith("x")]
+    found = cells.select(F.posexplode(F.array(*names)).alias("feature", "value")).groupBy("feature", "value").count()
+    return min(1.0, 40 / (found.agg(F.min("count")).first()[0] * -math.expm1(-rate)))
+
+
+def assembled(cells: DataFrame) -> DataFrame:
+    """Cells with their values as features."""
+    return VectorAssembler(inputCols=[c for c in cells.columns if c.startswith("x")], outputCol="features").transform(cells)
+
+
 def boosted(cells: DataFrame, classifier):
     """Fitted boosting classifier; the cells' weights are those of one row."""
     least = classifier.getMinInstancesPerNode()
     n = cells.count()
     tasks = max(1, math.ceil(n * min(least, 2) / CELLS_A_TASK), cells.sparkSession.sparkContext.defaultParallelism // 2)
-    rows = weighted(cells, F.col("rows"), least).repartition(tasks)
+    rows = weighted(assembled(cells), F.col("rows"), least).repartition(tasks)
     return classifier.copy({classifier.weightCol: "weight", classifier.maxBins: bins_for(n * least, classifier.getMaxBins())}).fit(rows)
 
 
@@ -160,17 +205,24 @@ def forest(cells: DataFrame, classifier):
     rate, replaced, subset = classifier.getSubsamplingRate(), classifier.getBootstrap(), classifier.getFeatureSubsetStrategy()
     if subset == "auto":
         subset = "sqrt" if trees > 1 else "all"
-    n, names = cells.count(), [c for c in cells.columns if c.startswith("x")]
-    sampled = cells.repartition(cores).withColumn("taken", drawn(rate, trees, replaced, classifier.getSeed())("cell", "rows"))
-    sampled = cut_lineage(sampled.select("label", "weight", *names, *[F.col("taken")[t].alias(f"t{t}") for t in range(trees)]))
-    tasks = max(1, math.ceil(n * least / CELLS_A_TASK))
+    found = cells.agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high")).first()
+    limit = least_weight(found["low"], found["high"], least)
+    sampled = assembled(cells.repartition(cores)).withColumn("taken", drawn(rate, trees, replaced, classifier.getSeed())("cell", "rows"))
+    sampled = cut_lineage(sampled.select("label", "weight", "features", *[F.col("taken")[t].alias(f"t{t}") for t in range(trees)]))
+    shares = [classifier.getMinWeightFractionPerNode()] * trees
+    if limit is not None:  # a node's weight tells whether it has the rows, so one row stands for a cell
+        totals = sampled.agg(*[F.sum(F.col("weight") * F.col(f"t{t}")) for t in range(trees)]).first()
+        if all(total and limit / total < 0.5 for total in totals):
+            least, shares = 1, [max(share, limit / total) for share, total in zip(shares, totals)]
+    bins = bins_for(math.ceil(found["n"] * least * share_to_ask(cells, rate)), classifier.getMaxBins())
+    tasks = max(1, math.ceil(found["n"] * least / CELLS_A_TASK))
 
     def one(t: int):
         single = RandomForestClassifier(
             featuresCol="features", labelCol="label", weightCol="weight", numTrees=1, bootstrap=False, subsamplingRate=1.0,
             featureSubsetStrategy=subset, seed=(classifier.getSeed() + t * 1_000_003) % 2**62, impurity=classifier.getImpurity(),
-            maxDepth=classifier.getMaxDepth(), maxBins=bins_for(n * least, classifier.getMaxBins()), minInstancesPerNode=least,
-            minInfoGain=classifier.getMinInfoGain(), minWeightFractionPerNode=classifier.getMinWeightFractionPerNode(),
+            maxDepth=classifier.getMaxDepth(), maxBins=bins, minInstancesPerNode=least,
+            minInfoGain=classifier.getMinInfoGain(), minWeightFractionPerNode=shares[t],
             maxMemoryInMB=classifier.getMaxMemoryInMB())
         sample = weighted(sampled, F.col(f"t{t}"), least).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -178,7 +230,7 @@ def forest(cells: DataFrame, classifier):
         finally:
             sample.unpersist()
 
-    pool = ThreadPool(min(trees, max(2, cores // tasks)))
+    pool = ThreadPool(min(trees, max(2, AHEAD * cores // tasks)))
     try:
         fitted = pool.map(inheritable_thread_target(spark)(one), range(trees), chunksize=1)
     finally:

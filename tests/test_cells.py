@@ -105,3 +105,35 @@ def test_what_cells_cannot_serve_trains_on_rows(spark, coarse):
     codes = VectorAssembler(inputCols=["k"], outputCol="features").transform(
         coarse.select("label", "weight", F.col("b").cast("int").cast("double").alias("k", metadata={"ml_attr": {"type": "nominal", "vals": ["x", "y", "z"]}})))
     assert cells.cells_of(codes, 4000, 32) is None
+
+
+def test_one_row_stands_for_a_cell_where_weights_tell_the_rows(coarse, monkeypatch):
+    """Two rows a node by the nodes' weights: trees see each cell once and are those of the rows."""
+    assert cells.least_weight(1.0, 1.4, 2) == pytest.approx(1.7) and cells.least_weight(1.0, 1.2, 5) == pytest.approx(4.9)
+    assert cells.least_weight(1.0, 2.0, 2) is None and cells.least_weight(1.0, 1.4, 5) is None and cells.least_weight(1.0, 1.0, 1) is None
+    asked, weighted = [], cells.weighted
+    monkeypatch.setattr(cells, "weighted", lambda *a: asked.append(weighted(*a)) or asked[-1])
+    rows = coarse.withColumn("weight", F.when(F.col("label") == 1, 1.4).otherwise(1.0))
+    kind = RandomForestClassifier(weightCol="weight", numTrees=2, bootstrap=False, featureSubsetStrategy="all", maxDepth=10,
+                                  minInstancesPerNode=2, seed=1)
+    found = cells.cells_of(rows, 4000, 32)
+    own, expected = scores(cells.forest(found, kind), rows), scores(kind.fit(rows), rows)
+    assert max(abs(own[i] - expected[i]) for i in expected) < 1e-9
+    assert [sample.count() for sample in asked] == [found.count()] * 2
+
+
+def test_a_value_of_one_row_is_a_cell_of_its_own(spark):
+    """A feature of few values keeps them all; quantiles would pass over the one row between two values of thousands."""
+    rows = spark.range(20_001).select((F.col("id") % 2).cast("double").alias("label"), F.lit(1.0).alias("weight"),
+                                      F.when(F.col("id") == 20_000, 2.5).otherwise((F.col("id") % 5).cast("double")).alias("a"),
+                                      F.xxhash64("id").cast("double").alias("b"))
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    few, many = cells.feature_values(ready, 2, 32)
+    assert few == [0.0, 1.0, 2.0, 2.5, 3.0, 4.0] and len(many) == 32
+
+
+def test_as_many_examples_are_asked_as_the_rarest_value_needs(spark):
+    even = spark.range(10_000).select((F.col("id") % 4).cast("double").alias("x0"), F.lit(0.0).alias("x1"))
+    assert cells.share_to_ask(even, 1.0) == pytest.approx(40 / (2500 * 0.632), rel=0.01)
+    rare = spark.createDataFrame([(9.0, 0.0)], "x0 double, x1 double")
+    assert cells.share_to_ask(even.unionByName(rare), 1.0) == 1.0
